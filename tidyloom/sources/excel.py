@@ -1,0 +1,178 @@
+"""Excel workbooks (.xlsx) as a Spark data source: one file per task, every cell as text.
+
+Only the standard library is needed: a workbook is a zip of XML parts.  Number and date formats are
+not applied, so a date cell shows Excel's day number.  Missing cells are null.
+"""
+
+from __future__ import annotations
+
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+
+from .files import FilesSource
+
+_BATCH_ROWS = 8192
+
+
+class ExcelSource(FilesSource):
+    """``spark.read.format("excel")`` with options ``sheet_name`` (name or position) and ``header``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "excel"
+
+    def file_schema(self, fs: pafs.FileSystem, path: str) -> pa.Schema:
+        with fs.open_input_file(path) as stream:
+            names = next(self._rows(stream))
+        return pa.schema([pa.field(name, pa.string()) for name in names])
+
+    def batches(self, fs, path, part, columns) -> Iterator[pa.RecordBatch]:
+        with fs.open_input_file(path) as stream:
+            rows = self._rows(stream)
+            names = next(rows)
+            block: list[list[str | None]] = []
+            for row in rows:
+                block.append(row)
+                if len(block) == _BATCH_ROWS:
+                    yield _as_batch(names, block)
+                    block = []
+            if block:
+                yield _as_batch(names, block)
+
+    def _rows(self, stream: pa.NativeFile) -> Iterator[list]:
+        """First the column names, then the rows, all of the same width."""
+        with zipfile.ZipFile(stream) as book:
+            cells = _sheet_rows(book, self.options.get("sheet_name", "0"))
+            first = next(cells, [])
+            has_header = self.options.get("header", "true").lower() not in ("false", "none")
+            names = _column_names(first) if has_header else [str(i) for i in range(len(first))]
+            yield names
+            if not has_header and first:
+                yield first
+            waiting = 0  # blank rows count only when another row follows
+            for row in cells:
+                if not any(cell is not None for cell in row):
+                    waiting += 1
+                    continue
+                for _ in range(waiting):
+                    yield [None] * len(names)
+                waiting = 0
+                if len(row) > len(names):
+                    raise ValueError(f"a row has {len(row)} cells under {len(names)} columns")
+                yield row + [None] * (len(names) - len(row))
+
+
+def _as_batch(names: list[str], rows: list[list[str | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, pa.string()) for values in zip(*rows)], names=names
+    )
+
+
+def _column_names(cells: list[str | None]) -> list[str]:
+    """Blank headers by position, repeated ones numbered: ``a``, ``a.1``, ``Unnamed: 2``."""
+    names: list[str] = []
+    for position, cell in enumerate(cells):
+        base = name = cell if cell is not None else f"Unnamed: {position}"
+        copy = 0
+        while name in names:
+            copy += 1
+            name = f"{base}.{copy}"
+        names.append(name)
+    return names
+
+
+def _local(element: ElementTree.Element) -> str:
+    return element.tag.rsplit("}", 1)[-1]
+
+
+def _text(element: ElementTree.Element) -> str:
+    """The text runs of a string, without the phonetic hints some workbooks carry."""
+    if _local(element) == "t":
+        return element.text or ""
+    return "".join(_text(child) for child in element if _local(child) in ("r", "t"))
+
+
+def _sheet_path(book: zipfile.ZipFile, wanted: str) -> str:
+    workbook = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    sheets = [element for element in workbook.iter() if _local(element) == "sheet"]
+    names = [sheet.get("name") for sheet in sheets]
+    if wanted in names:
+        sheet = sheets[names.index(wanted)]
+    elif wanted.isdigit() and int(wanted) < len(sheets):
+        sheet = sheets[int(wanted)]
+    else:
+        raise ValueError(f"no sheet {wanted!r}; there are {names}")
+    link = next(value for key, value in sheet.attrib.items() if key.endswith("}id"))
+    relations = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+    target = next(item.get("Target") for item in relations if item.get("Id") == link)
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
+
+def _shared_strings(book: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in book.namelist():
+        return []
+    strings = []
+    with book.open("xl/sharedStrings.xml") as part:
+        for _, element in ElementTree.iterparse(part):
+            if _local(element) == "si":
+                strings.append(_text(element))
+                element.clear()
+    return strings
+
+
+def _sheet_rows(book: zipfile.ZipFile, wanted: str) -> Iterator[list[str | None]]:
+    """Rows from the first to the last of the sheet, missing ones as empty lists."""
+    shared = _shared_strings(book)
+    line = 0
+    with book.open(_sheet_path(book, wanted)) as part:
+        for _, element in ElementTree.iterparse(part):
+            if _local(element) != "row":
+                continue
+            number = int(element.get("r", line + 1))
+            for _ in range(number - line - 1):
+                yield []
+            line = number
+            yield _cells(element, shared)
+            element.clear()
+
+
+def _cells(row: ElementTree.Element, shared: list[str]) -> list[str | None]:
+    values: list[str | None] = []
+    for cell in row:
+        if _local(cell) != "c":
+            continue
+        position = _position(cell.get("r"), len(values))
+        values += [None] * (position - len(values))
+        values.append(_cell_text(cell, shared))
+    return values
+
+
+def _position(reference: str | None, default: int) -> int:
+    """Column number, from 0, of a reference such as ``AB12``."""
+    letters = re.match(r"[A-Z]+", reference or "")
+    if not letters:
+        return default
+    number = 0
+    for letter in letters.group():
+        number = number * 26 + ord(letter) - ord("A") + 1
+    return number - 1
+
+
+def _cell_text(cell: ElementTree.Element, shared: list[str]) -> str | None:
+    parts = {_local(child): child for child in cell}
+    kind = cell.get("t", "n")
+    if kind == "inlineStr":
+        return _text(parts["is"]) if "is" in parts else None
+    value = parts["v"].text if "v" in parts else None
+    if value is None:
+        return None
+    if kind == "s":
+        return shared[int(value)]
+    if kind == "b":
+        return "True" if value == "1" else "False"
+    return value

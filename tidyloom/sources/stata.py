@@ -1,0 +1,41 @@
+"""Stata files as a Spark data source: one file per task, read in chunks."""
+
+from __future__ import annotations
+
+import warnings
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+
+from .files import FilesSource
+
+_CHUNK_ROWS = 50_000
+
+
+class StataSource(FilesSource):
+    """``spark.read.format("stata")``; labelled values come as their labels, as text."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "stata"
+
+    def file_schema(self, fs: pafs.FileSystem, path: str) -> pa.Schema:
+        return next(self.batches(fs, path, None, [])).schema
+
+    def batches(self, fs, path, part, columns) -> Iterator[pa.RecordBatch]:
+        with fs.open_input_file(path) as stream, warnings.catch_warnings():
+            # Chunks may hold different labels; they are turned into text right away.
+            warnings.simplefilter("ignore")
+            with pd.read_stata(stream, chunksize=_CHUNK_ROWS) as chunks:
+                for chunk in chunks:
+                    if columns:
+                        chunk = chunk[[name for name in chunk.columns if name in set(columns)]]
+                    yield _as_batch(chunk)
+
+
+def _as_batch(chunk: pd.DataFrame) -> pa.RecordBatch:
+    labelled = chunk.select_dtypes("category").columns
+    chunk = chunk.astype({name: object for name in labelled})
+    return pa.RecordBatch.from_pandas(chunk, preserve_index=False)
