@@ -1,0 +1,470 @@
+"""Loading and saving by entry, file formats without a Spark reader, and the file inventory."""
+
+import datetime as dt
+import glob
+import os
+import zipfile
+from decimal import Decimal
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.feather as feather
+import pytest
+from pyspark.sql import functions as F
+
+import tidyloom as tl
+from tidyloom.sources import feather as feather_source
+from tidyloom.sources import files
+
+
+def same(left, right):
+    assert left.columns == right.columns
+    assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rows = [
+        (1, "a", 1.5, dt.datetime(2020, 1, 2, 3, 4, 5, 6), None),
+        (2, 'q"u,o\te', -0.25, dt.datetime(1999, 12, 31), "é"),
+        (3, None, None, None, None),
+        (4, "d", 2.0, dt.datetime(2020, 1, 2), "x"),
+    ]
+    return spark.createDataFrame(rows, "i bigint, s string, d double, t timestamp_ntz, n string")
+
+
+def entry(path, fmt, **more):
+    return {"e": {"file_path": str(path), "file_format": fmt, **more}}
+
+
+# Options
+
+
+def test_call_options_win_and_switches_are_dropped(spark, tmp_path, table):
+    catalog = entry(
+        tmp_path,
+        "CSV",
+        save={"sep": ";", "to_tableau": True, "tableau_env": {"a": 1}, "run_ge": True, "suffix": "no"},
+        load={"sep": ",", "run_ge": True, "pd_df": True, "file_format": "orc"},
+    )
+    tl.save_data(table.select("i", "d"), catalog, "e", suffix="/one")
+    with open(glob.glob(f"{tmp_path}/one/*.csv")[0]) as file:
+        assert file.readline() == "i;d\n"
+    loaded = tl.load_data(spark, catalog, "e", suffix="one", sep=";")
+    assert loaded.dtypes == [("i", "string"), ("d", "string")]
+    typed = tl.load_data(spark, catalog, "e", suffix="one", sep=";", schema="i bigint, d double")
+    same(typed, table.select("i", "d"))
+
+
+def test_unknown_entries_and_refused_formats(spark, tmp_path, table):
+    with pytest.raises(KeyError, match="nothing"):
+        tl.load_data(spark, {}, "nothing")
+    for fmt in ("pkl", "hdf", "sas"):
+        with pytest.raises(ValueError):
+            tl.load_data(spark, entry(tmp_path, fmt), "e")
+    with pytest.raises(ValueError):
+        tl.load_data(spark, entry(tmp_path / "x.pkl", "parquet"), "e")
+    for fmt in ("excel", "html", "stata"):
+        with pytest.raises(ValueError):
+            tl.save_data(table, entry(tmp_path, fmt), "e")
+
+
+def test_input_paths_and_info():
+    catalog = {"a": {"file_path": "s3://b/a/", "file_format": "csv", "load": {"sep": ";"}}}
+    assert tl.get_input_paths(catalog, {"a": "x.csv"}) == {
+        "path_to_a": {"file_path": "s3://b/a/x.csv", "file_format": "csv", "load": {"sep": ";"}}
+    }
+    assert tl.get_input_info(catalog, {"a": None}) == {
+        "input_info": {"a": {"file_path": "s3://b/a/", "file_format": "csv"}}
+    }
+
+
+# Round trips
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "feather", "json", "csv", "xml"])
+def test_round_trip(spark, tmp_path, table, fmt):
+    options = {"xml": {"rowTag": "row"}}.get(fmt, {})
+    load = {**options, "schema": table.schema} if fmt in ("json", "csv", "xml") else options
+    catalog = entry(tmp_path / "t", fmt, load=load, save=options)
+    tl.save_data(table, catalog, "e")
+    same(tl.load_data(spark, catalog, "e"), table)
+    pruned = tl.load_data(spark, catalog, "e", columns=["n", "i"])
+    same(pruned, table.select("n", "i"))
+
+
+def test_tab_separated(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("a\tb\n1\tx y\n2\t\n")
+    loaded = tl.load_data(spark, entry(tmp_path / "t.tsv", "table"), "e")
+    assert loaded.collect() == [("1", "x y"), ("2", None)]
+
+
+def test_load_inputs(spark, tmp_path, table):
+    catalog = entry(tmp_path, "parquet")
+    for name, keep in (("one", table.filter("i = 1")), ("two", table.filter("i > 1"))):
+        tl.save_data(keep, catalog, "e", suffix=name)
+    one = tl.load_inputs(spark, catalog, {"e": "one"})["e"]
+    everything = tl.load_inputs(spark, catalog, {"e": None}, recursiveFileLookup=True)["e"]
+    assert (one.count(), everything.count()) == (1, 4)
+
+
+def test_null_columns_survive_json(spark, tmp_path):
+    df = spark.sql("select 1L a, cast(null as string) b")
+    catalog = entry(tmp_path / "j", "json")
+    tl.save_data(df, catalog, "e")
+    same(tl.load_data(spark, catalog, "e"), df)
+
+
+# Partitioned and unsafe overwrites
+
+
+def test_dynamic_overwrite_keeps_other_partitions(spark, tmp_path, table):
+    catalog = entry(tmp_path / "p", "parquet", save={"partitionBy": "i", "rebalance": True})
+    tl.save_data(table, catalog, "e")
+    changed = table.filter("i = 4").withColumn("s", F.lit("new"))
+    tl.save_data(changed, catalog, "e", partitionOverwriteMode="dynamic")
+    kept = tl.load_data(spark, catalog, "e")
+    assert kept.count() == 4 and kept.filter("s = 'new'").count() == 1
+    # A dynamic overwrite of a partition by its own rows is safe.
+    tl.save_data(kept.filter("i = 4").withColumn("s", F.lit("newer")), catalog, "e", partitionOverwriteMode="dynamic")
+    again = tl.load_data(spark, catalog, "e")
+    assert again.count() == 4 and again.filter("s = 'newer'").count() == 1
+    tl.save_data(changed, catalog, "e")
+    assert tl.load_data(spark, catalog, "e").count() == 1
+
+
+@pytest.mark.parametrize("spelling", ["{}", "file:{}", "file://{}", "{}/"])
+def test_overwriting_the_own_input_is_refused(spark, tmp_path, table, spelling):
+    path = str(tmp_path / "own table")
+    catalog = entry(path, "parquet")
+    tl.save_data(table, catalog, "e")
+    loaded = tl.load_data(spark, catalog, "e")
+    with pytest.raises(ValueError, match="overwrite"):
+        tl.save_data(loaded.filter("i > 1"), entry(spelling.format(path), "parquet"), "e")
+    same(loaded, table)
+    tl.save_data(loaded, catalog, "e", suffix="../other")
+    tl.save_data(loaded, catalog, "e", mode="append")
+    assert tl.load_data(spark, catalog, "e").count() == 8
+
+
+# JSON documents and lines
+
+
+def test_json_forms(spark, tmp_path):
+    forms = {
+        "doc.json": '{\n "a": 1,\n "b": {"c": [1, 2]}\n}',
+        "list.json": '\n[\n {"a": 1},\n {"a": 2}\n]',
+        "lines.json": '{"a": 1}\n{"a": 2}\n{"a": 3}\n',
+        "flat.json": '[{"a": 1}, {"a": 2}]',
+    }
+    counts = {}
+    for name, text in forms.items():
+        (tmp_path / name).write_text(text)
+        # The file name decides, not the format of the entry.
+        df = tl.load_data(spark, entry(tmp_path, "parquet"), "e", suffix=name)
+        assert df.columns[0] == "a"
+        counts[name] = df.count()
+    assert counts == {"doc.json": 1, "list.json": 2, "lines.json": 3, "flat.json": 2}
+
+
+# Fixed width
+
+
+def test_fixed_width(spark, tmp_path):
+    text = "ID  NAME    PRICE\n1   ann\t    1.50\n\n2   é,\"b    oops\nID  NAME    PRICE\n"
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.txt").write_text(text)
+    (tmp_path / "f" / "b.txt").write_text("ID  NAME    PRICE\n3\n")
+    catalog = entry(
+        tmp_path / "f",
+        "fwf",
+        load={"colspecs": [(0, 4), (4, 12), (12, None)], "schema": "id int, name string, price double"},
+    )
+    with_header = tl.load_data(spark, catalog, "e", header=True).collect()
+    assert sorted(with_header, key=str) == sorted(
+        [(1, "ann", 1.5), (2, 'é,"b', None), (None, "NAME", None), (3, None, None)], key=str
+    )
+    widths = tl.read_fixed_width(spark, str(tmp_path / "f"), names=["x", "y"], widths=[4, 8])
+    assert widths.count() == 6
+    for bad in ({}, {"widths": [1]}, {"widths": [1], "names": ["a", "b"]}):
+        with pytest.raises(ValueError):
+            tl.read_fixed_width(spark, str(tmp_path / "f"), **bad)
+
+
+# SQL
+
+
+def test_sql_entries(spark, table):
+    table.createOrReplaceTempView("sql_source")
+    catalog = {
+        "t": {"file_path": "sql_source", "file_format": "sql_table", "load": {"columns": ["i"]}},
+        "q": {"file_path": "select i from sql_source where i > :low", "file_format": "sql_query"},
+        "auto_t": {"file_path": "sql_source", "file_format": "sql"},
+        "auto_q": {"file_path": "select * from sql_source", "file_format": "sql"},
+    }
+    same(tl.load_data(spark, catalog, "t"), table.select("i"))
+    same(tl.load_data(spark, catalog, "q", params={"low": 2}), table.select("i").filter("i > 2"))
+    same(tl.load_data(spark, catalog, "auto_t"), table)
+    same(tl.load_data(spark, catalog, "auto_q"), table)
+    with pytest.raises(ValueError, match="jdbc"):
+        tl.load_data(spark, catalog, "t", con="postgres://x")
+
+
+def test_save_and_publish_tables(spark, tmp_path):
+    df = spark.sql("select id, cast(id as decimal(10,2)) price from range(5)")
+    catalog = {
+        "plain": {"file_path": "plain_table", "file_format": "sql"},
+        "report": {"file_path": "x", "file_format": "parquet", "save": {"to_tableau": True, "mode": "append"}},
+    }
+    tl.save_data(df, catalog, "plain")
+    tl.save_data(df, catalog, "plain", mode="append")
+    assert tl.load_data(spark, catalog, "plain").count() == 10
+    for _ in range(2):
+        name = tl.publish_data(df, catalog, "report", prefix="eu", path=str(tmp_path / "report"))
+    assert name == "eu_report" and tl.publish_data(df, catalog, "report") == "report"
+    assert spark.table(name).dtypes == [("id", "bigint"), ("price", "double")]
+    assert spark.table(name).count() == 5
+
+
+# Feather
+
+
+def test_feather_files_of_other_programs(spark, tmp_path):
+    frame = pd.DataFrame(
+        {
+            "k": pd.Series([1, 2], dtype="uint32"),
+            "c": pd.Categorical(["x", None]),
+            "t": pd.to_datetime(["2020-01-01 00:00:00.123456789", None]),
+            "u": pd.to_datetime(["2020-01-01", None], utc=True),
+        }
+    )
+    for number in range(3):
+        feather.write_feather(frame, str(tmp_path / f"{number}.feather"))
+    feather.write_feather(frame[["k"]], str(tmp_path / "old.feather"), version=1)
+    df = tl.load_data(spark, entry(tmp_path, "feather"), "e")
+    assert df.dtypes == [("k", "bigint"), ("c", "string"), ("t", "timestamp_ntz"), ("u", "timestamp")]
+    assert df.count() == 8 and df.filter("c = 'x'").count() == 3
+    assert df.filter("t is not null").head()["t"] == dt.datetime(2020, 1, 1, 0, 0, 0, 123456)
+    globbed = tl.load_data(spark, entry(tmp_path / "[01].feather", "feather"), "e", columns=["c"])
+    assert globbed.columns == ["c"] and globbed.count() == 4
+
+
+def test_feather_overwrite_append_and_empty(spark, tmp_path, table):
+    catalog = entry(tmp_path / "f", "feather")
+    tl.save_data(table, catalog, "e")
+    tl.save_data(table, catalog, "e", mode="append", compression="zstd")
+    loaded = tl.load_data(spark, catalog, "e")
+    assert loaded.count() == 8
+    # The job reads everything before it replaces the files.
+    tl.save_data(loaded.filter("i = 1"), catalog, "e")
+    assert tl.load_data(spark, catalog, "e").count() == 2
+    tl.save_data(table.filter("i > 100"), catalog, "e")
+    empty = tl.load_data(spark, catalog, "e")
+    assert empty.columns == table.columns and empty.count() == 0
+    assert sorted(os.path.splitext(name)[1] for name in os.listdir(tmp_path / "f")) == [".feather"]
+
+
+def test_failed_feather_job_leaves_the_old_files(spark, tmp_path, table):
+    catalog = entry(tmp_path / "f", "feather")
+    tl.save_data(table, catalog, "e")
+    broken = table.withColumn("s", F.when(F.col("i") == 3, F.raise_error(F.lit("boom"))).otherwise("x"))
+    with pytest.raises(Exception, match="boom"):
+        tl.save_data(broken, catalog, "e")
+    same(tl.load_data(spark, catalog, "e"), table)
+    assert all(name.endswith(".feather") for name in os.listdir(tmp_path / "f"))
+
+
+def test_large_feather_files_are_cut_without_loss(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "big.feather")
+    feather.write_feather(pa.table({"k": range(100_000)}), path, chunksize=7_000)
+    size = os.path.getsize(path)
+    source = feather_source.FeatherSource({"path": path})
+    monkeypatch.setattr(feather_source, "PACK_BYTES", size // 4)
+    pieces = list(source.pieces([(path, size)]))
+    assert len(pieces) > 3
+    fs, _ = files.open_filesystem(path)
+    seen = [v for _, part, _ in pieces for b in source.batches(fs, path, part, ["k"]) for v in b["k"].to_pylist()]
+    assert seen == list(range(100_000))
+
+
+def test_small_files_share_a_task():
+    pieces = [(f"p{i}", None, size) for i, size in enumerate([1, 2, 3, files.PACK_BYTES, 4])]
+    groups = files.pack(pieces)
+    assert [piece for group in groups for piece in group] == pieces
+    assert [len(group) for group in groups] == [3, 1, 1]
+    many = files.pack([(str(i), None, 10) for i in range(1000)])
+    assert 30 <= len(many) <= 34 and sum(map(len, many)) == 1000
+
+
+# Stata and Excel
+
+
+def test_stata(spark, tmp_path):
+    frame = pd.DataFrame(
+        {
+            "k": pd.Series([1, 2, 3], dtype="int32"),
+            "x": [1.5, None, 2.5],
+            "s": ["a", "", "é"],
+            "c": pd.Categorical(["lo", "hi", "lo"]),
+            "t": pd.to_datetime(["2020-01-01", "2021-02-03", None]),
+        }
+    )
+    for number in range(2):
+        frame.to_stata(str(tmp_path / f"{number}.dta"), write_index=False, version=118)
+    df = tl.load_data(spark, entry(tmp_path, "stata"), "e")
+    assert df.dtypes == [
+        ("k", "int"), ("x", "double"), ("s", "string"), ("c", "string"), ("t", "timestamp_ntz")
+    ]
+    rows = sorted(df.distinct().collect())
+    assert df.count() == 6 and rows[0][:4] == (1, 1.5, "a", "lo") and rows[1]["x"] is None
+    assert tl.load_data(spark, entry(tmp_path, "stata"), "e", columns=["s"]).columns == ["s"]
+
+
+SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
+<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>b</t></is></c>
+<c r="C1" t="s"><v>0</v></c><c r="E1"><v>7</v></c></row>
+<row r="2"><c r="A2"><v>3</v></c><c r="B2" t="b"><v>1</v></c><c r="E2" t="s"><v>1</v></c></row>
+<row r="4"><c r="C4"><v>1.5</v></c></row>
+<row r="6"><c r="A6"/></row>
+</sheetData></worksheet>"""
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+
+
+def write_workbook(path, sheets):
+    listed = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets))
+    linked = "".join(
+        f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))
+    )
+    relations = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{relations}"><sheets>{listed}</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{linked}</Relationships>")
+        book.writestr(
+            "xl/sharedStrings.xml",
+            f'<sst xmlns="{MAIN}"><si><t>a</t></si><si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si></sst>',
+        )
+        for i, text in enumerate(sheets.values()):
+            book.writestr(f"xl/worksheets/s{i}.xml", text)
+
+
+def test_excel(spark, tmp_path):
+    other = f'<worksheet xmlns="{MAIN}"><sheetData><row><c><v>1</v></c><c><v>2</v></c></row></sheetData></worksheet>'
+    for number in range(2):
+        write_workbook(tmp_path / f"{number}.xlsx", {"First": SHEET, "Second": other})
+    catalog = entry(tmp_path, "excel")
+    df = tl.load_data(spark, catalog, "e")
+    assert df.columns == ["a", "b", "a.1", "Unnamed: 3", "7"]
+    rows = [tuple(row) for row in df.collect()]
+    assert len(rows) == 6
+    assert set(rows) == {
+        ("3", "True", None, None, "rich"),
+        (None,) * 5,
+        (None, None, "1.5", None, None),
+    }
+    second = tl.load_data(spark, catalog, "e", sheet_name="Second", header=False)
+    assert second.columns == ["0", "1"] and second.distinct().collect() == [("1", "2")]
+    with pytest.raises(Exception, match="no sheet"):
+        tl.load_data(spark, catalog, "e", sheet_name="Third")
+
+
+# HTML
+
+
+PAGE = """<p>x</p><TABLE><thead><tr><th colspan=2>head &amp; more</th><th>z</th></tr></thead>
+<tr><td rowspan="2">r<script>var a="<td>"</script></td><td> a
+ b </td><td>1</td></tr><tr><td>c<td><table><tr><td>in</td></tr></table></tr><tr></tr>
+<!-- <tr><td>hidden</td></tr> --></table><table><tr><td>open"""
+
+
+def test_html_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, PAGE), (2, "no tables"), (3, None)], "id int, html string")
+    rows = tl.html_tables(df, "html", "id").orderBy("table_no", "row_no").collect()
+    assert [tuple(row) for row in rows] == [
+        (1, 0, 0, ["head & more", "head & more", "z"]),
+        (1, 0, 1, ["r", "a  b", "1"]),
+        (1, 0, 2, ["r", "c", "in"]),
+        (1, 1, 0, ["in"]),
+        (1, 2, 0, ["open"]),
+    ]
+    (tmp_path / "p.html").write_text(PAGE)
+    loaded = tl.load_data(spark, entry(tmp_path, "html"), "e")
+    assert loaded.columns == ["file_path", "table_no", "row_no", "cells"] and loaded.count() == 5
+
+
+# Inventory
+
+
+@pytest.fixture()
+def store(tmp_path):
+    for name in ("tables/a/x.csv", "tables/a/_SUCCESS", "tables/a/d=1/y.csv", "tables/ab/z.csv", "one.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    return {
+        "folder": {"file_path": f"{tmp_path}/tables/", "file_format": "csv"},
+        "file": {"file_path": f"file:{tmp_path}/one.csv", "file_format": "csv"},
+        "gone": {"file_path": f"{tmp_path}/gone", "file_format": "csv"},
+        "glob": {"file_path": f"{tmp_path}/tab*/a", "file_format": "csv"},
+    }
+
+
+def test_file_inventory(spark, store):
+    rows = tl.file_inventory(spark, store).select("entry", "name", "length").collect()
+    assert sorted(map(tuple, rows)) == [
+        ("file", "", 7),
+        ("folder", "a/d=1/y.csv", 18),
+        ("folder", "a/x.csv", 14),
+        ("folder", "ab/z.csv", 15),
+        ("glob", "d=1/y.csv", 18),
+        ("glob", "x.csv", 14),
+    ]
+
+
+def test_missing_inputs(spark, store):
+    required = [
+        ("folder", "a/x.csv", True),
+        ("folder", "a", True),
+        ("folder", "/a/d=1/", True),
+        ("folder", "a/x", False),
+        ("folder", "ab/x.csv", False),
+        ("folder", None, True),
+        ("file", None, True),
+        ("file", "one.csv", False),
+        ("gone", "", False),
+        ("glob", "x.csv", True),
+    ]
+    df = spark.createDataFrame(required, "entry string, filename string, there boolean")
+    missing = tl.missing_inputs(df, tl.file_inventory(spark, store))
+    assert sorted(missing.collect(), key=str) == sorted((r for r in required if not r[2]), key=str)
+
+
+def test_single_entry_checks(spark, store):
+    assert tl.is_exists(spark, store, "folder") and tl.is_exists(spark, store, "file")
+    assert tl.is_exists(spark, store, "folder", suffix="a/x.csv")
+    assert not tl.is_exists(spark, store, "folder", suffix="a/x")
+    assert not tl.is_exists(spark, store, "gone")
+    assert tl.is_require_filename(spark, store, "folder")
+    assert not tl.is_require_filename(spark, store, "file")
+    with pytest.raises(FileNotFoundError):
+        tl.is_require_filename(spark, store, "gone")
+
+
+def test_entry_summary(spark, store):
+    rows = tl.entry_summary(spark, store).orderBy("entry").collect()
+    assert [tuple(row) for row in rows] == [
+        ("file", True, False, 1, 7),
+        ("folder", True, True, 3, 47),
+        ("glob", True, True, 2, 32),
+        ("gone", False, None, 0, 0),
+    ]
+
+
+def test_listing_does_not_read_contents(spark, store):
+    plan = tl.file_inventory(spark, store, ["folder"])._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_decimal_feather(spark, tmp_path):
+    df = spark.createDataFrame([(Decimal("1.50"), [1, 2], {"k": 1}, (1, "x"))], "d decimal(10,2), a array<int>, m map<string,int>, s struct<p:int,q:string>")
+    catalog = entry(tmp_path / "n", "feather")
+    tl.save_data(df, catalog, "e")
+    assert tl.load_data(spark, catalog, "e").head() == df.head()

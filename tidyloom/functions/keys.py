@@ -30,6 +30,9 @@ def all_zero(df: DataFrame, cols: Iterable[str]) -> Column:
 def _is_zero(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
         return col.eqNullSafe(F.lit(False))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        # A Parquet scan takes 0.0 and -0.0 for different values, so it is told both.
+        return col.eqNullSafe(F.lit(0.0).cast(dtype)) | col.eqNullSafe(F.lit(-0.0).cast(dtype))
     if isinstance(dtype, T.NumericType):
         return col.eqNullSafe(F.lit(0))
     return F.lit(False)

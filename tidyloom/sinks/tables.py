@@ -18,6 +18,17 @@ from ..sources.feather import FeatherSource
 # Formats that can be loaded but have no distributed writer.
 READ_ONLY_FORMATS = frozenset({"excel", "html", "stata", "fwf", "table", "sql_query"})
 
+# Spark's own text formats cut timestamps to milliseconds, and its JSON leaves null columns out.
+_FULL_TIMESTAMPS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+TEXT_DEFAULTS = {
+    "csv": _FULL_TIMESTAMPS,
+    "json": {**_FULL_TIMESTAMPS, "ignoreNullFields": False},
+    "xml": _FULL_TIMESTAMPS,
+}
+
 
 def save_data(
     df: DataFrame, catalog: Mapping[str, Mapping], catalog_entry: str, **options: Any
@@ -46,10 +57,10 @@ def save_data(
         return
     if fmt == "feather":
         df.sparkSession.dataSource.register(FeatherSource)
-    elif fmt == "csv":
-        options["header"] = True
-    elif fmt == "json":
-        options.setdefault("ignoreNullFields", False)
+    elif fmt in TEXT_DEFAULTS:
+        options = {**TEXT_DEFAULTS[fmt], **options}
+        if fmt == "csv":
+            options["header"] = True
     dynamic = str(options.get("partitionOverwriteMode")).lower() == "dynamic" and partition_by
     # Feather and dynamic overwrites replace files after reading; all others delete them before.
     if mode == "overwrite" and fmt != "feather" and not dynamic:

@@ -100,7 +100,7 @@ def spark_type(dtype: pa.DataType) -> pa.DataType:
 
 def spark_schema(schema: pa.Schema) -> T.StructType:
     fields = [pa.field(f.name, spark_type(f.type)) for f in schema]
-    return from_arrow_schema(pa.schema(fields))
+    return from_arrow_schema(pa.schema(fields), prefer_timestamp_ntz=True)
 
 
 def conform(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
