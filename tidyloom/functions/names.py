@@ -17,8 +17,8 @@ NAME_RULES = (
     (r"[().]+", ""),
 )
 
-# What Python's strip() removes; the Unicode class alone misses the four separators.
-_OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every blank that Python's strip() removes; the last one is U+3000.
+BLANKS = "".join(char for char in map(chr, range(0x3001)) if char.isspace())
 
 
 def clean_column_name(name: str) -> str:
@@ -31,7 +31,10 @@ def clean_column_name(name: str) -> str:
 
 def clean_label(col: Column | str) -> Column:
     """The same rule on the values of a string column, inside the JVM."""
-    text = F.regexp_replace(F.lower(col), _OUTER_SPACE, "")
+    text = F.trim(F.lower(col), F.lit(BLANKS))
     for pattern, replacement in NAME_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
+        if len(pattern) == 1:
+            text = F.replace(text, F.lit(pattern), F.lit(replacement))
+        else:
+            text = F.regexp_replace(text, pattern, replacement)
     return text

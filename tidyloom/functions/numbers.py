@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import BLANKS
 from .text import float_text, plain_text
 
 # Largest magnitude below which every double that is a whole number is exact.
@@ -47,12 +48,8 @@ def _whole_part_of_decimal(col: Column) -> Column:
 
 
 def _normalised_integer_text(col: Column) -> Column:
-    # Any length, as no numeric type is involved: sign, then digits without leading zeros.
-    pattern = r"(?U)^[\s\x1c-\x1f]*([+-]?)0*([0-9]+)[\s\x1c-\x1f]*$"
-    sign = F.regexp_extract(col, pattern, 1)
-    digits = F.regexp_extract(col, pattern, 2)
-    return (
-        F.when(digits == "", col)
-        .when((sign == "-") & (digits != "0"), F.concat(F.lit("-"), digits))
-        .otherwise(digits)
-    )
+    # Any length, as no numeric type is involved: a minus sign, then digits without leading zeros.
+    text = F.trim(col, F.lit(BLANKS))
+    digits = F.regexp_replace(text, r"^(?:\+|(-))?0*([0-9]+)$", "$1$2")
+    whole = F.when(digits == "-0", "0").otherwise(digits)
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), whole).otherwise(col)

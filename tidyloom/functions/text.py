@@ -10,62 +10,86 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Java releases before 19 print some doubles with one digit too many, such as 5.6843418860808015E-14.
-# Only texts at least this long can be affected.
-_LONG_TEXT = {T.DoubleType: 17, T.FloatType: 9}
+# Significant digits of the longest shortest text, and the format that leaves one of them out.  Java
+# releases before 19 print some numbers with a digit too many, such as 9.4349823432545455 for
+# 9.434982343254546, always at this length unless the number is very large or very small.
+_FULL_DIGITS = {T.DoubleType: (17, "%.15e"), T.FloatType: (9, "%.7e")}
+
+# 16 digits before the point and 22 after it hold every number that is written without an exponent.
+_PLAIN = "decimal(38,22)"
 
 
 def float_text(col: Column, dtype: T.DataType, nan: str = "nan", inf: str = "inf") -> Column:
     """Shortest decimal text that reads back as the same number: ``10000000.0``, ``1e+16``, ``1.5e-07``.
 
-    Nearly every value takes the first branch, where Spark's own text already has that form.  From
-    1e-8 to 1e16 the text is always the shortest one; outside, a 17th digit can remain.
+    Most values take the first branch, where Spark's own text already has that form.  From 1e-8 to
+    1e16 the text is always the shortest one; outside, a 17th digit can remain.
     """
     text = col.cast("string")
-    common = (
-        (F.length(text) < _LONG_TEXT[type(dtype)])
-        & ~F.contains(text, F.lit("E"))
-        & ~F.contains(text, F.lit("N"))
-        & ~F.contains(text, F.lit("I"))
+    size = F.abs(col)
+    digits, _ = _FULL_DIGITS[type(dtype)]
+    # Of that many characters one is the point, so the number has fewer digits.
+    short = (F.length(text) <= digits) & (size >= 1e-3) & (size < 1e7)
+    # The other forms are kept out of the generated code, which would outgrow the JVM's compiler.
+    pair = F.array(F.struct(col.alias("number"), text.alias("text")))
+    rare = F.transform(
+        pair, lambda v: _rare_float_text(v["number"], v["text"], dtype, nan, inf)
     )
-    return F.when(common, text).otherwise(_rare_float_text(col, text, dtype, nan, inf))
+    return F.when(short | (size == 0), text).otherwise(F.element_at(rare, 1))
 
 
 def _rare_float_text(col: Column, text: Column, dtype: T.DataType, nan: str, inf: str) -> Column:
-    # A lambda variable per step keeps the generated code small: each step is written out once.
-    def let(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), 1)
-
-    def shortest(java: Column) -> Column:
-        digits = F.length(F.regexp_replace(java, r"^-?[0.]*|\.|E.*$", ""))
-        pattern = F.concat(F.lit("%."), F.greatest(digits - 2, F.lit(0)).cast("string"), F.lit("e"))
-        return let(
-            F.call_function("format_string", pattern, col.cast("double")),
-            lambda shorter: F.when(shorter.try_cast(dtype) == col, shorter).otherwise(java),
+    size = F.abs(col)
+    digits, less = _FULL_DIGITS[type(dtype)]
+    shorter = F.format_string(less, col.cast("double"))
+    is_long = F.length(F.substring_index(text, "E", 1)) > digits
+    return (
+        F.when(
+            (size >= 1e-4) & (size < 1e16) & is_long & (shorter.try_cast(dtype) == col),
+            _without_exponent(shorter),
         )
+        .when((size >= 1e-3) & (size < 1e7), text)
+        .when((size >= 1e7) & (size < 1e16), _shifted_point(col, text))
+        .when((size >= 1e-4) & (size < 1e-3), _without_exponent(text))
+        .otherwise(_other_float_text(col, text, dtype, nan, inf))
+    )
+
+
+def _without_exponent(text: Column) -> Column:
+    """A number up to 1e16 as digits and a point; zeros at the end go, but for one after the point."""
+    return F.regexp_replace(text.try_cast(_PLAIN).cast("string"), r"(\.\d+?)0+$", "$1")
+
+
+def _shifted_point(col: Column, text: Column) -> Column:
+    """``1.2345678E7`` as ``12345678.0``: the whole part as an integer, then the digits left over."""
+    whole = col.try_cast("bigint").cast("string")
+    mantissa = F.substring_index(text, "E", 1)
+    # The mantissa has its point after one digit, so it holds the whole part in one place more.
+    taken = F.length(whole) + 1
+    rest = F.substring(mantissa, taken + 1, F.lit(20))
+    return F.concat(
+        whole, F.lit("."), F.when(F.length(mantissa) > taken, rest).otherwise("0")
+    )
 
-    def python_form(number: Column) -> Column:
-        exponent = F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("int")
-        # 16 integer digits and 22 decimals hold every value printed without an exponent.
-        plain = F.regexp_replace(number.try_cast("decimal(38,22)").cast("string"), r"0+$", "")
-        mantissa = F.regexp_replace(F.regexp_extract(number, r"^[^eE]+", 0), r"\.?0*$", "")
-        scientific = F.concat(
-            mantissa,
-            F.when(exponent < 0, "e-").otherwise("e+"),
-            F.when(F.abs(exponent) < 10, "0").otherwise(""),
-            F.abs(exponent).cast("string"),
-        )
-        return (
-            F.when(exponent.isNull(), number)
-            .when(exponent.between(-4, 15), F.regexp_replace(plain, r"\.$", ".0"))
-            .otherwise(scientific)
-        )
 
+def _other_float_text(col: Column, text: Column, dtype: T.DataType, nan: str, inf: str) -> Column:
+    """Numbers written with an exponent, and those that are none."""
+    digits = F.length(F.regexp_replace(text, r"E.*$|\D", ""))
+    pattern = F.concat(F.lit("%."), F.greatest(digits - 2, F.lit(0)).cast("string"), F.lit("e"))
+    shorter = F.call_function("format_string", pattern, col.cast("double"))
+    number = F.when(shorter.try_cast(dtype) == col, shorter).otherwise(text)
+    for found, replacement in (
+        (r"E(?=\d)", "e+"),
+        (r"E", "e"),
+        (r"\.?0*e", "e"),  # 1.50e and 1.0e as 1.5e and 1e
+        (r"(?<sign>[+-])(?<digit>\d)$", "${sign}0${digit}"),  # two digits at least
+    ):
+        number = F.regexp_replace(number, found, replacement)
     return (
         F.when(F.isnan(col), nan)
         .when(text == "Infinity", inf)
         .when(text == "-Infinity", "-" + inf)
-        .otherwise(let(let(text, shortest), python_form))
+        .otherwise(number)
     )
 
 

@@ -70,6 +70,6 @@ def _lines(spark: SparkSession, path: str, header: bool) -> DataFrame:
 def _field(line: Column, start: int | None, end: int | None, dtype: T.DataType) -> Column:
     start = start or 0
     length = F.length(line) if end is None else F.lit(end - start)
-    text = F.regexp_replace(F.substring(line, F.lit(start + 1), length), r"^[ \t]+|[ \t]+$", "")
+    text = F.trim(F.substring(line, F.lit(start + 1), length), F.lit(" \t"))
     text = F.nullif(text, F.lit(""))
     return text if isinstance(dtype, T.StringType) else text.try_cast(dtype)

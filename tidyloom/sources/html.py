@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,10 +23,10 @@ class _Tables(HTMLParser):
     text of a nested table belongs to its own rows and to the cell around it.
     """
 
-    def __init__(self):
+    def __init__(self, tables: int):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
-        self.tables = 0
+        self.tables = tables
         self.open: list[dict] = []  # the tables around the current position, innermost last
 
     def handle_starttag(self, tag, attrs):
@@ -110,11 +111,38 @@ def _span(attrs: list[tuple[str, str | None]], name: str, most: int) -> int:
     return min(int(value), most) if re.fullmatch("[0-9]+", value) and int(value) else 1
 
 
+# What decides where a table begins and ends: its tags, and text that only looks like tags.
+_MARKS = re.compile(
+    r"<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)|<(/?)table(?=[\s/>])", re.I | re.S
+)
+
+
+def _outer_tables(page: str) -> Iterator[str]:
+    """The parts of a page that hold its tables, each with the tables inside it."""
+    depth, start = 0, 0
+    for mark in _MARKS.finditer(page):
+        if mark.group(2) == "":
+            if depth == 0:
+                start = mark.start()
+            depth += 1
+        elif mark.group(2) == "/" and depth:
+            depth -= 1
+            if depth == 0:
+                yield page[start : mark.end()] + ">"
+    if depth:
+        yield page[start:]
+
+
 def _page_rows(page: str | None) -> list[dict]:
-    parser = _Tables()
-    parser.feed(page or "")
-    parser.close()
-    return parser.rows
+    rows: list[dict] = []
+    tables = 0
+    for part in _outer_tables(page or ""):
+        parser = _Tables(tables)
+        parser.feed(part)
+        parser.close()
+        rows += parser.rows
+        tables = parser.tables
+    return rows
 
 
 def html_table_rows(html: Column | str) -> Column:
