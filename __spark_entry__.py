@@ -77,6 +77,10 @@ def load(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
     return tl.load_data(spark, test_catalog(sf_dir), name, **options)
 
 
+def month(timestamp: str) -> Column:
+    return F.substring(F.col(timestamp).cast("string"), 1, 7)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder name where every executor can write and read."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -297,7 +301,7 @@ def load_fixed_width(spark, sf_dir):
 def load_json_documents(spark, sf_dir):
     """A pretty-printed document per month, each in a file of its own."""
     orders = load(spark, sf_dir, "orders", columns=["o_orderdate", "o_totalprice"])
-    months = orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+    months = orders.groupBy(month("o_orderdate").alias("month")).agg(
         F.count("*").alias("orders"),
         F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"),
     )
@@ -389,7 +393,6 @@ def html_tables(spark, sf_dir):
 
 def monthly_orders(spark: SparkSession, sf_dir: str) -> dict:
     """A catalog whose first entry holds the F orders in one folder per month."""
-    month = F.date_format("o_orderdate", "yyyy-MM")
     orders = load(spark, sf_dir, "orders").filter("o_orderstatus = 'F' AND month(o_orderdate) != 2")
     save = {"partitionBy": "month", "rebalance": True}
     folder = shared_folder(spark)
@@ -397,7 +400,7 @@ def monthly_orders(spark: SparkSession, sf_dir: str) -> dict:
         "orders_by_month": {"file_path": folder, "file_format": "parquet", "save": save},
         "gone": {"file_path": f"{folder}-gone", "file_format": "parquet"},
     }
-    tl.save_data(orders.withColumn("month", month), catalog, "orders_by_month")
+    tl.save_data(orders.withColumn("month", month("o_orderdate")), catalog, "orders_by_month")
     return catalog
 
 
@@ -411,7 +414,7 @@ def missing_inputs(spark, sf_dir):
     catalog = monthly_orders(spark, sf_dir)
     shipped = load(spark, sf_dir, "lineitem", columns=["l_shipdate"]).select(
         F.explode(F.array(*map(F.lit, catalog))).alias("entry"),
-        F.concat(F.lit("month="), F.date_format("l_shipdate", "yyyy-MM")).alias("filename"),
+        F.concat(F.lit("month="), month("l_shipdate")).alias("filename"),
     )
     return tl.missing_inputs(shipped.distinct(), tl.file_inventory(spark, catalog))
 

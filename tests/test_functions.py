@@ -143,17 +143,24 @@ def test_float_text_always_reads_back(spark):
     assert [float(t) for t in results(df, tl.float_text(F.col("v"), T.DoubleType()))] == values
 
 
-def test_instants_do_not_follow_the_session_time_zone(spark):
-    df = spark.sql("select 0 i, timestamp_micros(1583643600000450) v")
+def test_times_do_not_follow_the_session_time_zone(spark):
+    # 02:30 on that day does not exist in New York.
+    df = spark.sql(
+        "select 0 i, timestamp_micros(1583643600000450) t, timestamp_ntz'2020-03-08 02:30:00' n, "
+        "timestamp_ntz'0001-01-01 00:00:00.1' o, date'2018-11-04' d"
+    )
     zone = spark.conf.get("spark.sql.session.timeZone")
-    texts = []
+    texts = set()
     try:
-        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+        for name in ("UTC", "America/New_York", "Asia/Kolkata", "America/Sao_Paulo"):
             spark.conf.set("spark.sql.session.timeZone", name)
-            texts += results(df, tl.iso_text(F.col("v"), T.TimestampType()))
+            columns = [tl.iso_text(F.col(f.name), f.dataType) for f in df.schema if f.name != "i"]
+            texts.add(tuple(df.select(*columns).head()))
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
-    assert set(texts) == {"2020-03-08T05:00:00.000450+00:00"}
+    assert texts == {
+        ("2020-03-08T05:00:00.000450+00:00", "2020-03-08T02:30:00", "0001-01-01T00:00:00.100000", "2018-11-04")
+    }
 
 
 URLS = {

@@ -42,14 +42,14 @@ def _whole_part_of_double(col: Column, dtype: T.DataType) -> Column:
 
 
 def _whole_part_of_decimal(col: Column) -> Column:
-    # Cutting the printed text truncates towards zero at any precision; "-0" comes from -0.5.
-    whole = F.regexp_replace(col.cast("string"), r"\..*$", "")
-    return F.when(whole == "-0", "0").otherwise(whole)
+    # Cutting the printed text truncates towards zero at any precision.
+    return F.when(F.abs(col) < 1, "0").otherwise(F.substring_index(col.cast("string"), ".", 1))
+
+
+# Sign, zeros, digits, within blanks; the minus sign of a zero is not kept.
+_INTEGER = rf"^[{BLANKS}]*(?:\+|-(?=0*[{BLANKS}]*$)|(-))?0*([0-9]+)[{BLANKS}]*$"
 
 
 def _normalised_integer_text(col: Column) -> Column:
-    # Any length, as no numeric type is involved: a minus sign, then digits without leading zeros.
-    text = F.trim(col, F.lit(BLANKS))
-    digits = F.regexp_replace(text, r"^(?:\+|(-))?0*([0-9]+)$", "$1$2")
-    whole = F.when(digits == "-0", "0").otherwise(digits)
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), whole).otherwise(col)
+    # Any length, as no numeric type is involved; a text that does not match stays as it is.
+    return F.regexp_replace(col, _INTEGER, "$1$2")

@@ -100,17 +100,18 @@ def iso_text(col: Column, dtype: T.DataType) -> Column:
     follow the session time zone.
     """
     if isinstance(dtype, T.DateType):
-        return F.date_format(col, "yyyy-MM-dd")
+        return col.cast("string")
     offset = ""
     if isinstance(dtype, T.TimestampType):
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
         col = F.timestamp_add("MICROSECOND", F.unix_micros(col), epoch)
         offset = "+00:00"
-    whole = F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(col, ".SSSSSS")
-    return F.concat(
-        whole, F.when(fraction == ".000000", "").otherwise(fraction), F.lit(offset)
-    )
+    # A plain cast: formatting functions would go through the session time zone.
+    text = F.translate(col.cast("string"), " ", "T")
+    fraction = F.rpad(F.substring_index(text, ".", -1), 6, "0")
+    full = F.concat(F.substring_index(text, ".", 1), F.lit("."), fraction)
+    text = F.when(F.contains(text, F.lit(".")), full).otherwise(text)
+    return F.concat(text, F.lit(offset)) if offset else text
 
 
 def plain_text(col: Column, dtype: T.DataType) -> Column:

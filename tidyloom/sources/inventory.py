@@ -17,7 +17,13 @@ from pyspark.sql import functions as F
 
 from ..catalog import find_entry, join_path, merge_options
 
-INVENTORY = "entry string, path string, name string, length bigint, modified timestamp"
+INVENTORY = {
+    "entry": "string",
+    "path": "string",
+    "name": "string",
+    "length": "bigint",
+    "modified": "timestamp",
+}
 
 
 def file_inventory(
@@ -30,7 +36,13 @@ def file_inventory(
     """
     names = list(catalog if entries is None else entries)
     listings = [_listing(spark, name, find_entry(catalog, name)["file_path"]) for name in names]
-    return reduce(DataFrame.unionAll, listings, spark.createDataFrame([], INVENTORY))
+    return reduce(DataFrame.unionAll, listings) if listings else _no_files(spark)
+
+
+def _no_files(spark: SparkSession) -> DataFrame:
+    """An inventory without rows, which the optimizer removes from any plan."""
+    columns = [F.lit(None).cast(dtype).alias(name) for name, dtype in INVENTORY.items()]
+    return spark.range(0, 1, 1, 1).filter(F.lit(False)).select(*columns)
 
 
 def _listing(spark: SparkSession, name: str, root: str) -> DataFrame:
@@ -39,7 +51,7 @@ def _listing(spark: SparkSession, name: str, root: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], INVENTORY)
+        return _no_files(spark)
     path = F.col("path")
     if "://" not in root:
         root = os.path.abspath(re.sub("^file:", "", root))
@@ -81,7 +93,7 @@ def entry_summary(
     An entry needs a file name unless its path is a single file.
     """
     names = list(catalog if entries is None else entries)
-    known = spark.createDataFrame([(name,) for name in names], "entry string")
+    known = spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, names))).alias("entry"))
     counts = (
         file_inventory(spark, catalog, names)
         .groupBy("entry")
