@@ -26,7 +26,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import tidyloom as tl  # noqa: E402
 from tidyloom.sources.files import open_filesystem  # noqa: E402
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+if __name__ in sys.modules:
+    # Tasks carry the functions below, so this file need not be on the executors.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 TABLES = (

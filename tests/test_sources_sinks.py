@@ -310,16 +310,44 @@ def test_stata(spark, tmp_path):
         }
     )
     for number in range(2):
+        frame["k"] = frame["k"].astype(["int8", "int32"][number])
         frame.to_stata(str(tmp_path / f"{number}.dta"), write_index=False, version=118)
     df = tl.load_data(spark, entry(tmp_path, "stata"), "e")
     assert df.dtypes == [
-        ("k", "int"), ("x", "double"), ("s", "string"), ("c", "string"), ("t", "timestamp_ntz")
+        ("k", "bigint"), ("x", "double"), ("s", "string"), ("c", "string"), ("t", "timestamp_ntz")
     ]
     rows = sorted(df.distinct().collect())
     assert df.count() == 6 and rows[0][:4] == (1, 1.5, "a", "lo") and rows[1]["x"] is None
     assert tl.load_data(spark, entry(tmp_path, "stata"), "e", columns=["s"]).columns == ["s"]
 
 
+def test_empty_stata_file(spark, tmp_path):
+    frame = pd.DataFrame({"k": pd.Series([], dtype="int32"), "s": pd.Series([], dtype="object")})
+    frame.to_stata(str(tmp_path / "a.dta"), write_index=False, version=118)
+    assert tl.load_data(spark, entry(tmp_path, "stata"), "e").columns == ["k", "s"]
+
+
+def test_paths_with_blanks_and_schemes(spark, tmp_path, table):
+    folder = tmp_path / "a b%20c"
+    tl.save_data(table, entry(f"file:{folder}", "feather"), "e")
+    assert tl.load_data(spark, entry(f"file://{folder}", "feather"), "e").count() == 4
+    assert tl.load_data(spark, entry(folder, "feather"), "e").count() == 4
+
+
+def test_instants_survive_feather(spark, tmp_path):
+    df = spark.sql("select timestamp_micros(1583643600000450) t, date'2020-02-29' d")
+    catalog = entry(tmp_path / "f", "feather")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        tl.save_data(df, catalog, "e")
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        loaded = tl.load_data(spark, catalog, "e")
+        same(loaded, df)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
 <row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>b</t></is></c>
 <c r="C1" t="s"><v>0</v></c><c r="E1"><v>7</v></c></row>

@@ -11,6 +11,7 @@ import fnmatch
 import os
 import re
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,9 +29,10 @@ Piece = tuple[str, object, int]  # path, what part of it (None for all), bytes
 def open_filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path and the path inside it."""
     path = re.sub(r"^s3[an]://", "s3://", path)
-    if re.match(r"^[A-Za-z][A-Za-z0-9+.\-]+:", path):
-        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return pafs.LocalFileSystem(), os.path.abspath(path)
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.\-]*://", path) and not path.startswith("file:"):
+        # Paths are written out as they are; only the URI they become is encoded.
+        return pafs.FileSystem.from_uri(quote(path, safe="/:@?=&"))
+    return pafs.LocalFileSystem(), os.path.abspath(re.sub("^file:/+", "/", path))
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
@@ -39,7 +41,7 @@ def list_files(path: str) -> list[tuple[str, int]]:
     pattern = None
     if re.search(r"[*?\[]", inner):
         pattern = inner
-        inner = re.split(r"/[^/]*[*?\[]", inner)[0]
+        inner = re.split(r"/[^/]*[*?\[]", inner)[0] or "/"
     info = fs.get_file_info(inner)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)

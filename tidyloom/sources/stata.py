@@ -22,7 +22,11 @@ class StataSource(FilesSource):
         return "stata"
 
     def file_schema(self, fs: pafs.FileSystem, path: str) -> pa.Schema:
-        return next(self.batches(fs, path, None, [])).schema
+        first = next(self.batches(fs, path, None, []), None)
+        if first is None:  # no rows, so no chunks
+            with fs.open_input_file(path) as stream:
+                first = _as_batch(pd.read_stata(stream))
+        return pa.schema([pa.field(field.name, _widest(field.type)) for field in first.schema])
 
     def batches(self, fs, path, part, columns) -> Iterator[pa.RecordBatch]:
         with fs.open_input_file(path) as stream, warnings.catch_warnings():
@@ -35,6 +39,13 @@ class StataSource(FilesSource):
                     yield _as_batch(chunk)
 
 
+def _widest(dtype: pa.DataType) -> pa.DataType:
+    """A file keeps a column in the smallest type that holds it; the next file may need a larger one."""
+    if pa.types.is_integer(dtype):
+        return pa.int64()
+    return pa.float64() if pa.types.is_floating(dtype) else dtype
+
+
 def _as_batch(chunk: pd.DataFrame) -> pa.RecordBatch:
     labelled = chunk.select_dtypes("category").columns
     chunk = chunk.astype({name: object for name in labelled})
