@@ -8,6 +8,7 @@ import random
 import struct
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,6 +136,21 @@ def test_float_text_equals_python_repr(spark):
     assert results(df, tl.float_text(F.col("v"), T.DoubleType())) == [repr(v) for v in values]
 
 
+def test_float_text_of_32_bits_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate(
+        [rng.standard_normal(20000), rng.random(20000) * 10.0 ** rng.integers(-3, 15, 20000)]
+    ).astype("float32")
+    df = column_of(spark, [float(v) for v in values], "float")
+    expected = [
+        np.format_float_positional(v, unique=True, trim="0") if abs(v) < 1e7 else f"{int(v)}.0"
+        for v in values
+    ]
+    got = results(df, tl.float_text(F.col("v"), T.FloatType()))
+    plain = [(g, e) for g, e, v in zip(got, expected, values) if abs(v) >= 1e-4]
+    assert len(plain) > 39000 and all(g == e for g, e in plain)
+
+
 def test_float_text_always_reads_back(spark):
     rng = random.Random(8)
     values = [struct.unpack("d", rng.randbytes(8))[0] for _ in range(20000)]

@@ -23,7 +23,8 @@ def float_text(col: Column, dtype: T.DataType, nan: str = "nan", inf: str = "inf
     """Shortest decimal text that reads back as the same number: ``10000000.0``, ``1e+16``, ``1.5e-07``.
 
     Most values take the first branch, where Spark's own text already has that form.  From 1e-8 to
-    1e16 the text is always the shortest one; outside, a 17th digit can remain.
+    1e16 the text is always the shortest one; outside, a 17th digit can remain.  32-bit numbers from
+    1e7 to 1e16, all of them whole, are written in full.
     """
     text = col.cast("string")
     size = F.abs(col)
@@ -42,10 +43,12 @@ def _rare_float_text(col: Column, text: Column, dtype: T.DataType, nan: str, inf
     size = F.abs(col)
     digits, less = _FULL_DIGITS[type(dtype)]
     shorter = F.format_string(less, col.cast("double"))
-    is_long = F.length(F.substring_index(text, "E", 1)) > digits
+    mantissa = F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit(""))
+    is_long = F.length(F.ltrim(mantissa, F.lit("-0"))) >= digits
+    limit = 1e16 if isinstance(dtype, T.DoubleType) else 1e7
     return (
         F.when(
-            (size >= 1e-4) & (size < 1e16) & is_long & (shorter.try_cast(dtype) == col),
+            (size >= 1e-4) & (size < limit) & is_long & (shorter.try_cast(dtype) == col),
             _without_exponent(shorter),
         )
         .when((size >= 1e-3) & (size < 1e7), text)
