@@ -7,6 +7,7 @@ import json
 import random
 import struct
 from decimal import Decimal
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -202,6 +203,19 @@ def test_urls(spark):
     assert got == [*URLS.values(), (None, None, None)]
 
 
+def test_urls_equal_the_standard_library(spark):
+    rng = random.Random(3)
+    urls = ["".join(rng.choices("ab/?#;:@.%&=_ \t-S3", k=rng.randint(0, 14))) for _ in range(3000)]
+    urls = [rng.choice(["s3://", "S3a://", "s3:/", " s3://", "\ns3:"]) + url for url in urls]
+    expected = []
+    for url in urls:
+        parts = urlparse(url, allow_fragments=False)
+        path = parts.path.lstrip("/")
+        expected.append((parts.netloc, f"{path}?{parts.query}" if parts.query else path))
+    df = column_of(spark, urls)
+    assert [(r["bucket"], r["key"]) for r in results(df, tl.split_url("v"))] == expected
+
+
 # Fingerprints.  The expected text is built here from Python values, independently of Spark.
 
 

@@ -1,4 +1,7 @@
-"""Bucket and key of object-store URLs."""
+"""Bucket and key of object-store URLs.
+
+What follows a ``;`` or a ``#`` is part of the key, whatever the scheme.
+"""
 
 from __future__ import annotations
 
