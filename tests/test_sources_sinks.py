@@ -167,6 +167,17 @@ def test_json_forms(spark, tmp_path):
     assert counts == {"doc.json": 1, "list.json": 2, "lines.json": 3, "flat.json": 2}
 
 
+@pytest.mark.parametrize("second", ['{"a": 2}\n{"a": 3}', '{\n "a": 2\n}\n\n{\n "a": 3\n}'])
+def test_json_documents_that_would_be_lost_are_refused(spark, tmp_path, second):
+    (tmp_path / "1.json").write_text('{\n "a": "} {",\n "b": [\n  {},\n  {}\n ]\n}')
+    catalog = entry(tmp_path, "json")
+    assert tl.load_data(spark, catalog, "e").count() == 1
+    (tmp_path / "2.json").write_text(second)
+    with pytest.raises(ValueError, match="several"):
+        tl.load_data(spark, catalog, "e")
+    assert tl.load_data(spark, catalog, "e", multiLine=True).count() == 2
+
+
 # Fixed width
 
 

@@ -33,13 +33,22 @@ def url_key(url: Column | str) -> Column:
 
 
 def url_text(url: Column | str) -> Column:
-    """The URL put together again: scheme in lower case, an empty query dropped."""
+    """The URL put together again: scheme in lower case, an empty query dropped.
+
+    Two slashes stand before a bucket, or before a path that would look like one, and one slash
+    between the two.
+    """
     tidy = _tidy(url)
     scheme = F.lower(F.regexp_extract(tidy, _SCHEME, 1))
-    rest = F.regexp_extract(tidy, _SCHEME + r"((?://[^/?#]*)?)" + _REST, 0)
-    without_scheme = F.regexp_replace(F.regexp_replace(rest, _SCHEME, ""), r"^([^?]*)\?$", "$1")
-    return F.when(scheme == "", without_scheme).otherwise(
-        F.concat(scheme, F.lit(":"), without_scheme)
+    bucket = F.regexp_extract(tidy, _SCHEME + _AUTHORITY, 2)
+    rest = F.regexp_extract(tidy, _SCHEME + _AUTHORITY + _REST, 3)
+    has_bucket = bucket != ""
+    return F.concat(
+        F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":"))),
+        F.when(has_bucket | rest.startswith("//"), "//").otherwise(""),
+        bucket,
+        F.when(has_bucket & rest.rlike("^[^/?]"), "/").otherwise(""),
+        rest,
     )
 
 

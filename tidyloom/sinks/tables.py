@@ -9,9 +9,9 @@ from typing import Any
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, DataFrameWriter
-from pyspark.sql import functions as F
 
 from ..catalog import find_entry, join_path, merge_options, table_format
+from ..functions.keys import column
 from ..operators.dtypes import clean_dtypes
 from ..sources.feather import FeatherSource
 
@@ -51,7 +51,7 @@ def save_data(
     mode = options.pop("mode", "overwrite")
     partition_by = _as_list(options.pop("partitionBy", []))
     if options.pop("rebalance", False):
-        df = df.hint("rebalance", *[F.col(name) for name in partition_by])
+        df = df.hint("rebalance", *[column(name) for name in partition_by])
     if fmt == "sql":
         _write_table(df, path, mode, partition_by, options)
         return

@@ -80,15 +80,13 @@ def _load_csv(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFr
 def _load_json(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
     if "multiLine" not in options:
         options = {**options, "multiLine": not _has_json_lines(spark, path)}
+        if options["multiLine"]:
+            _refuse_several_documents(spark, path)
     return _load_spark(spark, "json", path, options)
 
 
 def _has_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a line is a whole JSON value, judged by the first line that is not blank.
-
-    This decides how the files are read: a reader for documents takes only the first value of a file
-    of lines, and a reader for lines finds no values in a document of several lines.
-    """
+    """Whether a line is a whole JSON value, judged by the first line that is not blank."""
     lines = spark.read.text(path, recursiveFileLookup=True)
     first = lines.filter(F.col("value").rlike(r"\S")).head()
     try:
@@ -98,6 +96,21 @@ def _has_json_lines(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _refuse_several_documents(spark: SparkSession, path: str) -> None:
+    """A reader for documents takes only the first of a file and says nothing about the others.
+
+    A closing bracket, a line break and an opening bracket never follow each other inside a document:
+    values have a comma between them, and texts have no line breaks.
+    """
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    several = files.filter(F.col("value").rlike(r"[}\]][ \t\r]*\n\s*[{\[]"))
+    if not several.isEmpty():
+        raise ValueError(
+            f"{path}: some files hold one JSON document over several lines, others hold several; "
+            "load them by separate entries, with multiLine set"
+        )
+
+
 def _load_fixed_width(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
     return read_fixed_width(spark, path, **options)
 
