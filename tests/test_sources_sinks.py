@@ -99,6 +99,16 @@ def test_tab_separated(spark, tmp_path):
     assert loaded.collect() == [("1", "x y"), ("2", None)]
 
 
+def test_formats_that_spark_knows_pass_through(spark, tmp_path):
+    lines = spark.sql("select explode(array('a', 'b,c')) value")
+    tl.save_data(lines, entry(tmp_path / "t", "text"), "e")
+    same(tl.load_data(spark, entry(tmp_path / "t", "text"), "e"), lines)
+    whole = tl.load_data(spark, entry(tmp_path / "t", "binaryFile"), "e", columns=["content"])
+    assert b"".join(sorted(bytes(row["content"]) for row in whole.collect())).split() == [b"a", b"b,c"]
+    with pytest.raises(Exception, match="DATA_SOURCE_NOT_FOUND"):
+        tl.load_data(spark, entry(tmp_path / "t", "no_such_format"), "e")
+
+
 def test_load_inputs(spark, tmp_path, table):
     catalog = entry(tmp_path, "parquet")
     for name, keep in (("one", table.filter("i = 1")), ("two", table.filter("i > 1"))):

@@ -18,7 +18,16 @@ from .keys import column
 from .text import float_text, iso_text
 
 _TEXT = (T.StringType, T.CharType, T.VarcharType)
-_SHORT_ESCAPES = (("\\u0008", "\\b"), ("\\u0009", "\\t"), ("\\u000a", "\\n"), ("\\u000c", "\\f"), ("\\u000d", "\\r"))
+# What JSON writes with a letter or a second mark; the backslash has to come first.
+_ESCAPES = (
+    ("\\", "\\\\"),
+    ('"', '\\"'),
+    ("\n", "\\n"),
+    ("\r", "\\r"),
+    ("\t", "\\t"),
+    ("\b", "\\b"),
+    ("\f", "\\f"),
+)
 
 
 def get_hash_str(
@@ -152,15 +161,23 @@ def _scalar(col: Column, dtype: T.DataType) -> Column:
 
 def _escaped(col: Column) -> Column:
     """JSON string content in ASCII; plain texts are passed on untouched."""
-    quoted = F.regexp_replace(col, r'(["\\])', r"\\$1")
-    runs = F.regexp_extract_all(quoted, F.lit(r"[ -~]+|[^ -~]+"), F.lit(0))
+    marked = col
+    for char, escape in _ESCAPES:
+        marked = F.replace(marked, F.lit(char), F.lit(escape))
+    runs = F.regexp_extract_all(marked, F.lit(r"[ -~]+|[^ -~]+"), F.lit(0))
     written = F.array_join(F.transform(runs, _escaped_run), "")
-    return F.when(col.rlike(r'["\\]|[^ -~]'), written).otherwise(col)
+    return (
+        F.when(col.rlike(r"[^ -~\n\r\t\x08\f]"), written)
+        .when(col.rlike(r'["\\\n\r\t\x08\f]'), marked)
+        .otherwise(col)
+    )
 
 
 def _escaped_run(run: Column) -> Column:
+    """A run of printable ASCII as it is, any other as UTF-16 units; most of those are one unit."""
     units = F.lower(F.hex(F.encode(run, "UTF-16BE")))
-    text = F.regexp_replace(units, "(.{4})", r"\\u$1")
-    for long, short in _SHORT_ESCAPES:
-        text = F.replace(text, F.lit(long), F.lit(short))
-    return F.when(run.rlike("^[ -~]"), run).otherwise(text)
+    return (
+        F.when((run >= " ") & (run < "\x7f"), run)
+        .when((F.length(run) == 1) & (run < "\U00010000"), F.concat(F.lit("\\u"), units))
+        .otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
+    )

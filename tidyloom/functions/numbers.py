@@ -17,7 +17,8 @@ def convert_value(col: Column, dtype: T.DataType, none_text: bool = False) -> Co
     """``3.7`` -> ``"3"``, ``" 3 "`` -> ``"3"``, ``"007"`` -> ``"7"``, ``"abc"`` -> ``"abc"``, true -> ``"1"``.
 
     Numbers lose their fraction towards zero, integer texts are normalised and everything else keeps
-    its text.  Null stays null unless ``none_text`` asks for ``"None"``.
+    its text.  Null stays null unless ``none_text`` asks for ``"None"``.  Doubles beyond 2^53 show their
+    shortest digits followed by zeros.
     """
     if isinstance(dtype, T.BooleanType):
         text = F.when(col, "1").when(~col, "0")
