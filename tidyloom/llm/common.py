@@ -26,11 +26,11 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """The same rows from a table on shared storage: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = work_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -147,6 +147,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def span_hashes(data: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """A hash of the length and every byte, A-Z as a-z, of each ``data[opens[i]:closes[i]]``."""
+    base, inverse = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(CODES[data] * powers(base, len(data)), out=sums[1:])
+    hashes = (sums[closes] - sums[opens]) * powers(inverse, len(data) + 1)[opens]
+    return mix64(hashes + (closes - opens).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, A-Z as a-z, and where each text's begin and the last end.
 
@@ -160,10 +169,6 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.concatenate((word, [False]))
     opens = np.flatnonzero(after & (~before | edge))
     closes = np.flatnonzero(before & (~after | edge))
-    base, inverse = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(CODES[data] * powers(base, len(data)), out=sums[1:])
-    hashes = (sums[closes] - sums[opens]) * powers(inverse, len(data))[opens] if len(opens) else np.zeros(0, np.uint64)
-    hashes = mix64(hashes + (closes - opens).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    hashes = span_hashes(data, opens, closes)
     first = np.searchsorted(opens, starts)  # of each text, among the words
     return hashes, first
