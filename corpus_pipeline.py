@@ -24,8 +24,8 @@ LEAST_LANGUAGE_SCORE = 0.3
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network, learned from the labelled rows, can tell."""
     names = [F.col(f"`{c}`") for c in docs.columns]
-    told = with_language(docs, train_on(docs))
-    return told.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*names)
+    told = with_language(docs, train_on(docs), ("__language", "__chance"))
+    return told.filter((F.col("__language") != UNDETERMINED) & (F.col("__chance") >= LEAST_LANGUAGE_SCORE)).select(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,12 +162,11 @@ def train_on(docs: DataFrame, per_language: int = 1200, max_languages: int = 200
     return train([r[2] for r in rows], [r[0] for r in rows], **settings) if rows else None
 
 
-def with_language(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` of each whole text (replacing columns of these names).
+def with_language(docs: DataFrame, network: ByteNetwork | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and score of each whole text in columns ``names`` (replacing such columns).
 
     ``und`` and 0.0 for a null text, one without a letter, or without a network.  Row-wise: no shuffle.
     """
-    names = ("lang_pred", "score")
     kept = [f for f in docs.schema if f.name.lower() not in names]
     schema = T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
