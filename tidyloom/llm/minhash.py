@@ -33,25 +33,28 @@ def permute32(x: np.ndarray, multipliers: tuple[np.uint32, np.uint32]) -> np.nda
     return x
 
 
-def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts in one array, and where each text's begin and the last end.
+def shingles_in_order(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts' words in their order, and the text of each.
 
     A shingle's hash covers all of its words; a text with fewer than ``width`` words has one shingle of all
     of them, a text without words none.
     """
-    n = len(starts) - 1
-    hashes, first = word_hashes(data, starts)
     words = np.diff(first)
     counts = np.where(words >= width, words - width + 1, np.minimum(words, 1))
-    owner = np.repeat(np.arange(n), counts)
+    owner = np.repeat(np.arange(len(words)), counts)
     at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[:-1][owner]
     shingles = np.zeros(len(at), np.uint64)
-    for k in range(width):
+    for k in range(width if len(at) else 0):
         there = at + k < first[1:][owner]
         salt = np.uint64((k + 1) * 0xA24BAED4963EE407 % (1 << 64))
-        term = mix64(hashes[np.minimum(at + k, len(hashes) - 1)] + salt) if len(at) else shingles
-        shingles += np.where(there, term, np.uint64(0))
-    shingles = mix64(shingles)
+        shingles += np.where(there, mix64(hashes[np.minimum(at + k, len(hashes) - 1)] + salt), np.uint64(0))
+    return mix64(shingles), owner
+
+
+def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts in one array, and where each text's begin and the last end."""
+    n = len(starts) - 1
+    shingles, owner = shingles_in_order(*word_hashes(data, starts), width)
     order = np.lexsort((shingles, owner))
     shingles, owner = shingles[order], owner[order]
     new = np.ones(len(shingles), bool)
