@@ -1,18 +1,23 @@
 """The subpackage's registered queries: thin applications of the operators to whole tables.
 
-None has SQL to be checked with: their methods are iterative, learned or byte-exact.  ``tests/llm`` holds them
-against brute force, round trips and held-out rows instead.
+Where SQL gives the same rows it is in ``ORACLES``.  The others are learned, approximate, or too slow in SQL on whole
+tables; ``tests/llm`` holds them against brute force, round trips and held-out rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidyloom.llm.archives import archived_pages
+from tidyloom.llm.embedding_join import near_vectors
+from tidyloom.llm.kmeans_tree import nearest_vectors
 from tidyloom.llm.language_id import identify_language
+from tidyloom.llm.license_scan import scan_licenses
 from tidyloom.llm.minhash import near_duplicates
 from tidyloom.llm.mixing import mixing_rates
 from tidyloom.llm.packing import pack
 from tidyloom.llm.pii import pii_report
+from tidyloom.llm.suffix_dedup import remove_repeats
 
 #: Wanted shares of tokens by domain; toxic text has none.
 DOMAIN_WEIGHTS = {"high": 0.8, "low": 0.2, "toxic": 0.0}
@@ -29,10 +34,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_subspace_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op2_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -41,6 +62,10 @@ def op7_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op8_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DOMAIN_WEIGHTS)
 
@@ -55,5 +80,78 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op4_mixture_packing, op6_circulant_minhash, op7_pii_anchors, op9_soft_membership_mixing, op10_byte_network_language, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_subspace_pigeonhole_join,
+        op2_license_windows,
+        op3_kmeans_tree_search,
+        op4_mixture_packing,
+        op5_arc_to_warc,
+        op6_circulant_minhash,
+        op7_pii_anchors,
+        op8_merged_transforms,
+        op9_soft_membership_mixing,
+        op10_byte_network_language,
+        pipeline,
+    )
+}
+
+#: Everything that links reach, from pairs ``links (a, b)`` in both directions.
+REACHED = "reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)"
+
+ORACLES = {
+    "op1_subspace_pigeonhole_join": f"""
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        links AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x
+            JOIN vectors y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+            WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+        ),
+        {REACHED},
+        lowest AS (SELECT a, min(b) AS low FROM reached GROUP BY a),
+        degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(d.n, 0) AS n_links, least(e.vec_id, coalesce(l.low, e.vec_id)) AS component_id,
+            e.vec_id = least(e.vec_id, coalesce(l.low, e.vec_id)) AS kept
+        FROM embeddings e LEFT JOIN lowest l ON l.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id""",
+    "op5_arc_to_warc": """
+        WITH payloads AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+        ),
+        latest AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS last_id FROM payloads)
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+            CASE WHEN n >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+        FROM latest""",
+    "op6_circulant_minhash": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM words
+        ),
+        sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+        shingles AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+        common AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x
+            JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL
+        ),
+        links AS (
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * c >= 85 * (x.n + y.n - c)
+        ),
+        {REACHED},
+        lowest AS (SELECT a, min(b) AS low FROM reached GROUP BY a)
+        SELECT d.doc_id, d.n AS n_shingles, least(d.doc_id, coalesce(l.low, d.doc_id)) AS component_id,
+            d.doc_id = least(d.doc_id, coalesce(l.low, d.doc_id)) AS kept
+        FROM sizes d LEFT JOIN lowest l ON l.a = d.doc_id""",
+}
