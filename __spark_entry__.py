@@ -26,6 +26,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import tidyloom as tl  # noqa: E402
 from tidyloom.sources.files import open_filesystem  # noqa: E402
 
+try:  # the training-data operators may be left out
+    from tidyloom.llm import queries as _llm
+except ImportError:
+    _llm = None
+
 if __name__ in sys.modules:
     # Tasks carry the functions below, so this file need not be on the executors.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -54,11 +59,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | (_llm.QUERIES if _llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | (_llm.ORACLES if _llm else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:
