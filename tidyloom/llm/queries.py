@@ -104,8 +104,8 @@ ORACLES = {
     "op1_subspace_pigeonhole_join": f"""
         WITH RECURSIVE vectors AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
-                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ),
         links AS (
             SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x
@@ -136,7 +136,7 @@ ORACLES = {
         ),
         sets AS (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
             FROM words
         ),
         sizes AS (SELECT doc_id, len(s) AS n FROM sets),
