@@ -3,7 +3,6 @@
 import datetime as dt
 import glob
 import os
-import zipfile
 from decimal import Decimal
 
 import pandas as pd
@@ -64,7 +63,7 @@ def test_unknown_entries_and_refused_formats(spark, tmp_path, table):
             tl.load_data(spark, entry(tmp_path, fmt), "e")
     with pytest.raises(ValueError):
         tl.load_data(spark, entry(tmp_path / "x.pkl", "parquet"), "e")
-    for fmt in ("excel", "html", "stata"):
+    for fmt in ("fwf", "html", "table"):
         with pytest.raises(ValueError):
             tl.save_data(table, entry(tmp_path, fmt), "e")
 
@@ -162,30 +161,43 @@ def test_overwriting_the_own_input_is_refused(spark, tmp_path, table, spelling):
 
 def test_json_forms(spark, tmp_path):
     forms = {
-        "doc.json": '{\n "a": 1,\n "b": {"c": [1, 2]}\n}',
-        "list.json": '\n[\n {"a": 1},\n {"a": 2}\n]',
-        "lines.json": '{"a": 1}\n{"a": 2}\n{"a": 3}\n',
-        "flat.json": '[{"a": 1}, {"a": 2}]',
+        "doc.json": ('{\n "a": 1,\n "b": {"c": [1, 2]}\n}', True, 1),
+        "list.json": ('\n[\n {"a": 1},\n {"a": 2}\n]', True, 2),
+        "flat.json": ('[{"a": 1}, {"a": 2}]', True, 2),
+        "lines.json": ('{"a": 1}\n{"a": 2}\n{"a": 3}\n', False, 3),
     }
-    counts = {}
-    for name, text in forms.items():
+    for name, (text, documents, count) in forms.items():
         (tmp_path / name).write_text(text)
         # The file name decides, not the format of the entry.
-        df = tl.load_data(spark, entry(tmp_path, "parquet"), "e", suffix=name)
-        assert df.columns[0] == "a"
-        counts[name] = df.count()
-    assert counts == {"doc.json": 1, "list.json": 2, "lines.json": 3, "flat.json": 2}
+        options = {} if documents else {"multiLine": False}
+        df = tl.load_data(spark, entry(tmp_path, "parquet"), "e", suffix=name, **options)
+        assert df.columns[0] == "a" and df.count() == count
 
 
-@pytest.mark.parametrize("second", ['{"a": 2}\n{"a": 3}', '{\n "a": 2\n}\n\n{\n "a": 3\n}'])
-def test_json_documents_that_would_be_lost_are_refused(spark, tmp_path, second):
+@pytest.mark.parametrize("second", ['{"a": 2}\n{"a": 3}', '{\n "a": 2\n}\n\n{\n "a": 3\n}', '{"a": 2} {"a": 3}'])
+def test_json_documents_that_would_be_lost_stop_the_query(spark, tmp_path, second):
     (tmp_path / "1.json").write_text('{\n "a": "} {",\n "b": [\n  {},\n  {}\n ]\n}')
     catalog = entry(tmp_path, "json")
     assert tl.load_data(spark, catalog, "e").count() == 1
     (tmp_path / "2.json").write_text(second)
-    with pytest.raises(ValueError, match="several"):
-        tl.load_data(spark, catalog, "e")
-    assert tl.load_data(spark, catalog, "e", multiLine=True).count() == 2
+    df = tl.load_data(spark, catalog, "e")
+    for run in (df.count, df.select("a").collect, df.filter("a IS NULL").collect):
+        with pytest.raises(Exception, match="something follows the document"):
+            run()
+
+
+def test_a_document_among_lines_stops_the_query(spark, tmp_path):
+    (tmp_path / "1.json").write_text("".join(f'{{"a": {i}}}\n' for i in range(100)))
+    (tmp_path / "2.json").write_text('{\n "a": 1000\n}')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tl.load_data(spark, entry(tmp_path, "json"), "e", multiLine=False, schema="a int").collect()
+
+
+def test_loading_json_with_a_schema_starts_no_job(spark, tmp_path):
+    (tmp_path / "1.json").write_text('{"a": 1}')
+    spark.sparkContext.setJobGroup("json", "load")
+    tl.load_data(spark, entry(tmp_path, "json"), "e", schema="a int")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("json")
 
 
 # Fixed width
@@ -320,34 +332,6 @@ def test_small_files_share_a_task():
 # Stata and Excel
 
 
-def test_stata(spark, tmp_path):
-    frame = pd.DataFrame(
-        {
-            "k": pd.Series([1, 2, 3], dtype="int32"),
-            "x": [1.5, None, 2.5],
-            "s": ["a", "", "é"],
-            "c": pd.Categorical(["lo", "hi", "lo"]),
-            "t": pd.to_datetime(["2020-01-01", "2021-02-03", None]),
-        }
-    )
-    for number in range(2):
-        frame["k"] = frame["k"].astype(["int8", "int32"][number])
-        frame.to_stata(str(tmp_path / f"{number}.dta"), write_index=False, version=118)
-    df = tl.load_data(spark, entry(tmp_path, "stata"), "e")
-    assert df.dtypes == [
-        ("k", "bigint"), ("x", "double"), ("s", "string"), ("c", "string"), ("t", "timestamp_ntz")
-    ]
-    rows = sorted(df.distinct().collect())
-    assert df.count() == 6 and rows[0][:4] == (1, 1.5, "a", "lo") and rows[1]["x"] is None
-    assert tl.load_data(spark, entry(tmp_path, "stata"), "e", columns=["s"]).columns == ["s"]
-
-
-def test_empty_stata_file(spark, tmp_path):
-    frame = pd.DataFrame({"k": pd.Series([], dtype="int32"), "s": pd.Series([], dtype="object")})
-    frame.to_stata(str(tmp_path / "a.dta"), write_index=False, version=118)
-    assert tl.load_data(spark, entry(tmp_path, "stata"), "e").columns == ["k", "s"]
-
-
 def test_paths_with_blanks_and_schemes(spark, tmp_path, table):
     folder = tmp_path / "a b%20c"
     tl.save_data(table, entry(f"file:{folder}", "feather"), "e")
@@ -369,54 +353,6 @@ def test_instants_survive_feather(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
-SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
-<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>b</t></is></c>
-<c r="C1" t="s"><v>0</v></c><c r="E1"><v>7</v></c></row>
-<row r="2"><c r="A2"><v>3</v></c><c r="B2" t="b"><v>1</v></c><c r="E2" t="s"><v>1</v></c></row>
-<row r="4"><c r="C4"><v>1.5</v></c></row>
-<row r="6"><c r="A6"/></row>
-</sheetData></worksheet>"""
-MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-
-
-def write_workbook(path, sheets):
-    listed = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets))
-    linked = "".join(
-        f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))
-    )
-    relations = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(path, "w") as book:
-        book.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{relations}"><sheets>{listed}</sheets></workbook>')
-        book.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{linked}</Relationships>")
-        book.writestr(
-            "xl/sharedStrings.xml",
-            f'<sst xmlns="{MAIN}"><si><t>a</t></si><si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si></sst>',
-        )
-        for i, text in enumerate(sheets.values()):
-            book.writestr(f"xl/worksheets/s{i}.xml", text)
-
-
-def test_excel(spark, tmp_path):
-    other = f'<worksheet xmlns="{MAIN}"><sheetData><row><c><v>1</v></c><c><v>2</v></c></row></sheetData></worksheet>'
-    for number in range(2):
-        write_workbook(tmp_path / f"{number}.xlsx", {"First": SHEET, "Second": other})
-    catalog = entry(tmp_path, "excel")
-    df = tl.load_data(spark, catalog, "e")
-    assert df.columns == ["a", "b", "a.1", "Unnamed: 3", "7"]
-    rows = [tuple(row) for row in df.collect()]
-    assert len(rows) == 6
-    assert set(rows) == {
-        ("3", "True", None, None, "rich"),
-        (None,) * 5,
-        (None, None, "1.5", None, None),
-    }
-    second = tl.load_data(spark, catalog, "e", sheet_name="Second", header=False)
-    assert second.columns == ["0", "1"] and second.distinct().collect() == [("1", "2")]
-    with pytest.raises(Exception, match="no sheet"):
-        tl.load_data(spark, catalog, "e", sheet_name="Third")
-
-
-# HTML
 
 
 PAGE = """<p>x</p><TABLE><thead><tr><th colspan=2>head &amp; more</th><th>z</th></tr></thead>
@@ -425,6 +361,12 @@ PAGE = """<p>x</p><TABLE><thead><tr><th colspan=2>head &amp; more</th><th>z</th>
 <!-- <tr><td>hidden</td></tr> --></table><table><tr><td>open"""
 
 
+def test_html_spans_have_no_limit(spark):
+    page = "<table><tr><td colspan=1500>x</td></tr></table>"
+    rows = tl.html_tables(spark.createDataFrame([(1, page)], "k int, html string"), "html", "k").collect()
+    assert [len(row["cells"]) for row in rows] == [1500]
+
+
 def test_html_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, PAGE), (2, "no tables"), (3, None)], "id int, html string")
     rows = tl.html_tables(df, "html", "id").orderBy("table_no", "row_no").collect()
@@ -460,14 +402,37 @@ def test_file_inventory(spark, store):
     rows = tl.file_inventory(spark, store).select("entry", "name", "length").collect()
     assert sorted(map(tuple, rows)) == [
         ("file", "", 7),
+        ("folder", "a/_SUCCESS", 17),
         ("folder", "a/d=1/y.csv", 18),
         ("folder", "a/x.csv", 14),
         ("folder", "ab/z.csv", 15),
+        ("glob", "_SUCCESS", 17),
         ("glob", "d=1/y.csv", 18),
         ("glob", "x.csv", 14),
     ]
 
 
+def test_inventory_of_empty_files_and_of_names_like_globs(spark, tmp_path):
+    (tmp_path / "we[ird]" / "in").mkdir(parents=True)
+    (tmp_path / "we[ird]" / "in" / ".x").write_text("")
+    (tmp_path / "empty").write_text("")
+    store = {name: {"file_path": f"{tmp_path}/{name}", "file_format": "csv"} for name in ("we[ird]", "empty")}
+    rows = tl.file_inventory(spark, store).select("entry", "name", "length").collect()
+    assert sorted(map(tuple, rows)) == [("empty", "", 0), ("we[ird]", "in/.x", 0)]
+    assert all(tl.is_exists(spark, store, name) for name in store)
+    assert tl.is_require_filename(spark, store, "we[ird]") and not tl.is_require_filename(spark, store, "empty")
+    assert tl.is_exists(spark, data_url=f"{tmp_path}/empty") and not tl.is_exists(spark, data_url=f"{tmp_path}/no")
+
+
+def test_inventory_of_many_entries_is_one_branch(spark, tmp_path):
+    store = {f"e{i}": {"file_path": f"{tmp_path}/{i}", "file_format": "csv"} for i in range(300)}
+    for i in range(300):
+        (tmp_path / str(i)).write_text(str(i))
+    files = tl.file_inventory(spark, store)
+    assert files.count() == 300
+    assert "Union" not in files._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_missing_inputs(spark, store):
     required = [
         ("folder", "a/x.csv", True),
@@ -501,15 +466,68 @@ def test_entry_summary(spark, store):
     rows = tl.entry_summary(spark, store).orderBy("entry").collect()
     assert [tuple(row) for row in rows] == [
         ("file", True, False, 1, 7),
-        ("folder", True, True, 3, 47),
-        ("glob", True, True, 2, 32),
+        ("folder", True, True, 4, 64),
+        ("glob", True, True, 3, 49),
         ("gone", False, None, 0, 0),
     ]
 
 
-def test_listing_does_not_read_contents(spark, store):
-    plan = tl.file_inventory(spark, store, ["folder"])._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan
+def test_own_input_of_python_sources_and_of_tables_is_safe(spark, tmp_path, table):
+    catalog = entry(tmp_path / "f", "feather")
+    tl.save_data(table, catalog, "e")
+    loaded = tl.load_data(spark, catalog, "e")
+    parquet = entry(tmp_path / "f", "parquet")
+    with pytest.raises(ValueError, match="is read by the table"):
+        tl.save_data(loaded, parquet, "e")
+    assert loaded.count() == table.count()
+    folder = str(tmp_path / "p")
+    tl.save_data(table, entry(folder, "parquet"), "e")
+    again = tl.load_data(spark, entry(folder, "parquet"), "e")
+    with pytest.raises(ValueError, match="is read by the table"):
+        tl.publish_data(again, entry(folder, "parquet"), "e", prefix="own", path=folder)
+    with pytest.raises(ValueError, match="is read by the table"):
+        tl.save_data(again, {"e": {"file_path": "own_table", "file_format": "sql"}}, "e", path=folder)
+    above = again.filter(f"EXISTS (SELECT 1 FROM parquet.`{folder}`)")
+    with pytest.raises(ValueError, match="is read by the table"):
+        tl.save_data(spark.range(1).join(above), entry(tmp_path, "parquet"), "e")
+    assert again.count() == table.count()
+
+
+def test_feather_files_with_other_columns(spark, tmp_path):
+    catalog = entry(tmp_path, "feather")
+    feather.write_feather(pa.table({"a": [1]}), str(tmp_path / "1.feather"))
+    feather.write_feather(pa.table({"A": [2]}), str(tmp_path / "2.feather"))
+    assert sorted(r[0] for r in tl.load_data(spark, catalog, "e").collect()) == [1, 2]
+    feather.write_feather(pa.table({"a": [3], "b": [4]}), str(tmp_path / "3.feather"))
+    with pytest.raises(Exception, match="columns that the first file lacks"):
+        tl.load_data(spark, catalog, "e").collect()
+    assert tl.load_data(spark, catalog, "e", columns=["a"]).count() == 3
+    declared = tl.load_data(spark, catalog, "e", schema="a bigint, b bigint").collect()
+    assert sorted(map(tuple, declared), key=str) == [(1, None), (2, None), (3, 4)]
+    with pytest.raises(ValueError, match="partitioned"):
+        tl.save_data(declared and spark.range(3), catalog, "e", partitionBy="id")
+
+
+def test_texts_survive_csv_and_xml(spark, tmp_path):
+    rows = [(1, " lead"), (2, "trail \t"), (3, 'say "x", y\\'), (4, "x\ny"), (5, "a,b;\\\"")]
+    df = spark.createDataFrame(rows, "k int, s string")
+    options = {"schema": "k int, s string"}
+    for fmt, save, more in (("csv", {}, {"multiLine": True}), ("xml", {"rowTag": "r"}, {"rowTag": "r"})):
+        catalog = {"e": {"file_path": str(tmp_path / fmt), "file_format": fmt, "load": options | more, "save": save}}
+        tl.save_data(df, catalog, "e")
+        assert sorted(map(tuple, tl.load_data(spark, catalog, "e").collect())) == rows
+    with pytest.raises(Exception, match="line break"):
+        tl.save_data(df, entry(tmp_path / "one", "csv"), "e")
+
+
+def test_fixed_width_keeps_partition_columns_and_options(spark, tmp_path):
+    for day, text in (("1", "é 1\n"), ("2", "b 2\n")):
+        (tmp_path / f"day={day}").mkdir()
+        (tmp_path / f"day={day}" / "x.txt").write_text("head\n" + text, encoding="latin-1")
+        (tmp_path / f"day={day}" / "x.skip").write_text("zz9\n")
+    options = {"widths": [2, 1], "names": ["a", "n"], "header": True, "encoding": "iso-8859-1", "pathGlobFilter": "*.txt"}
+    rows = tl.load_data(spark, entry(tmp_path, "fwf"), "e", **options).collect()
+    assert sorted(map(tuple, rows)) == [("b", "2", 2), ("é", "1", 1)]
 
 
 def test_decimal_feather(spark, tmp_path):

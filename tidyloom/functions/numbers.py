@@ -28,6 +28,8 @@ def convert_value(col: Column, dtype: T.DataType, none_text: bool = False) -> Co
         text = _whole_part_of_decimal(col)
     elif isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         text = _normalised_integer_text(col)
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        text = _time_text(col, dtype)
     else:
         text = plain_text(col, dtype)
     return F.coalesce(text, F.lit("None")) if none_text else text
@@ -47,10 +49,18 @@ def _whole_part_of_decimal(col: Column) -> Column:
     return F.when(F.abs(col) < 1, "0").otherwise(F.substring_index(col.cast("string"), ".", 1))
 
 
-# Sign, zeros, digits, within blanks; the minus sign of a zero is not kept.
-_INTEGER = rf"^[{BLANKS}]*(?:\+|-(?=0*[{BLANKS}]*$)|(-))?0*([0-9]+)[{BLANKS}]*$"
+# Sign, zeros, digits, within blanks; the minus sign of a zero is not kept.  Zeros and digits never compete
+# for a character, so a text is passed over once.
+_INTEGER = rf"^[{BLANKS}]*(?:\+|-(?=0+[{BLANKS}]*$)|(-))?0*(0|[1-9][0-9]*)[{BLANKS}]*$"
+_LAST_OF_INTEGER = rf"[0-9{BLANKS}]"
 
 
 def _normalised_integer_text(col: Column) -> Column:
     # Any length, as no numeric type is involved; a text that does not match stays as it is.
-    return F.regexp_replace(col, _INTEGER, "$1$2")
+    ends_well = F.substring(col, -1, 1).rlike(_LAST_OF_INTEGER)
+    return F.when(ends_well, F.regexp_replace(col, _INTEGER, "$1$2")).otherwise(col)
+
+
+def _time_text(col: Column, dtype: T.DataType) -> Column:
+    """A blank between date and time, and no zone."""
+    return F.regexp_replace(F.replace(plain_text(col, dtype), F.lit("T"), F.lit(" ")), r"\+00:00$", "")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Mapping
 from typing import Any
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, DataFrameWriter
+from pyspark.sql import Column, DataFrame, DataFrameWriter
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import find_entry, join_path, merge_options, table_format
 from ..functions.keys import column
@@ -16,15 +19,17 @@ from ..operators.dtypes import clean_dtypes
 from ..sources.feather import FeatherSource
 
 # Formats that can be loaded but have no distributed writer.
-READ_ONLY_FORMATS = frozenset({"excel", "html", "stata", "fwf", "table", "sql_query"})
+READ_ONLY_FORMATS = frozenset({"html", "fwf", "table", "sql_query"})
 
 # Spark's own text formats cut timestamps to milliseconds, and its JSON leaves null columns out.
 _FULL_TIMESTAMPS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
+# Its csv strips blanks, and marks quotes by a backslash that texts may hold themselves.
+_WHOLE_TEXTS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
 TEXT_DEFAULTS = {
-    "csv": _FULL_TIMESTAMPS,
+    "csv": {**_FULL_TIMESTAMPS, **_WHOLE_TEXTS},
     "json": {**_FULL_TIMESTAMPS, "ignoreNullFields": False},
     "xml": _FULL_TIMESTAMPS,
 }
@@ -56,11 +61,15 @@ def save_data(
         _write_table(df, path, mode, partition_by, options)
         return
     if fmt == "feather":
+        if partition_by:
+            raise ValueError(f"{catalog_entry}: feather files cannot be partitioned by columns")
         df.sparkSession.dataSource.register(FeatherSource)
     elif fmt in TEXT_DEFAULTS:
         options = {**TEXT_DEFAULTS[fmt], **options}
         if fmt == "csv":
             options["header"] = True
+            if str(merge_options(entry, "load", {}).get("multiLine", False)).lower() != "true":
+                df = df.select(*[_one_line(field) for field in df.schema])
     dynamic = str(options.get("partitionOverwriteMode")).lower() == "dynamic" and partition_by
     # Feather and dynamic overwrites replace files after reading; all others delete them before.
     if mode == "overwrite" and fmt != "feather" and not dynamic:
@@ -88,6 +97,16 @@ def publish_data(
     return name
 
 
+def _one_line(field: T.StructField) -> Column:
+    """The column, where a line break stops the query: without ``multiLine`` it would be read as two rows."""
+    col = column(field.name)
+    if not isinstance(field.dataType, T.StringType):
+        return col
+    message = f"{field.name} has a text with a line break; set multiLine in the load options of the entry"
+    broken = col.contains("\n") | col.contains("\r")
+    return F.when(broken, F.raise_error(F.lit(message)).cast("string")).otherwise(col).alias(field.name)
+
+
 def _as_list(names: str | list[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
@@ -102,23 +121,52 @@ def _writer(
 def _write_table(
     df: DataFrame, name: str, mode: str, partition_by: list[str], options: dict
 ) -> None:
+    if options.get("path") and mode == "overwrite":
+        _refuse_own_input(df, options["path"])
     _writer(df.write, mode, partition_by, options).saveAsTable(name)
 
 
 def _refuse_own_input(df: DataFrame, path: str) -> None:
-    """An overwrite deletes its target before the plan reads it: stop while the data still exists."""
+    """An overwrite deletes its target before the plan reads it: stop while the data still exists.
+
+    Only the root paths of the plan's scans are compared, however many files are below them.
+    """
     target = _one_spelling(path)
     if not _SCHEME.match(target):
         target = os.path.abspath(target)
-    for file in df.inputFiles():
-        source = _one_spelling(unquote(file))
+    for root in _scanned_roots(df):
+        source = _one_spelling(unquote(root))
         if not _SCHEME.match(target):
             # The target is on the default file system, whichever that is.
             source = _SCHEME.sub("", source)
-        if source == target or source.startswith(target + "/"):
+        if not _SCHEME.match(source):
+            source = os.path.abspath(source)
+        source = _GLOB_TAIL.sub("", source)
+        if f"{source}/".startswith(f"{target}/") or f"{target}/".startswith(f"{source}/"):
             raise ValueError(f"{path} is read by the table that would overwrite it")
 
 
+def _scanned_roots(df: DataFrame) -> list[str]:
+    """The paths that the plan's file relations and data sources were loaded with, subqueries included."""
+    analyzed = df._jdf.queryExecution().analyzed()
+    roots: list[str] = []
+    plans = [analyzed, *_items(analyzed.subqueriesAll())]
+    for leaf in [leaf for plan in plans for leaf in _items(plan.collectLeaves())]:
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots += [str(path) for path in _items(leaf.relation().location().rootPaths())]
+        elif kind.startswith("DataSourceV2"):
+            options = leaf.options()
+            roots += [options.get(key) for key in ("path",) if options.get(key)]
+            roots += json.loads(options.get("paths") or "[]")
+    return roots
+
+
+def _items(found) -> list:
+    return [found.apply(index) for index in range(found.length())]
+
+
+_GLOB_TAIL = re.compile(r"/[^/]*[*?\[{].*$")
 _SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?")
 
 

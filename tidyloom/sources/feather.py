@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .files import PACK_BYTES, FilesSource, Piece, list_files, open_filesystem
+from .files import PACK_BYTES, FilesSource, Piece, list_files, open_filesystem, place_of
 
 _IPC_MAGIC = b"ARROW1"
 _PARALLEL_REQUESTS = 32
@@ -38,25 +38,30 @@ class FeatherSource(FilesSource):
             return pafeather.read_table(stream).schema
 
     def pieces(self, files: list[tuple[str, int]]) -> Iterable[Piece]:
-        """Whole files; files too large for one task in ranges of record batches."""
-        fs, _ = open_filesystem(self.path)
-        with ThreadPoolExecutor(_PARALLEL_REQUESTS) as pool:
-            for found in pool.map(lambda file: _cut(fs, *file), files):
-                yield from found
+        """Whole files; files too large for one task as ``(k, n)``, the k-th of n parts.
+
+        Nothing is opened here: the task that gets a part finds its record batches in the file's footer.
+        """
+        for path, size in files:
+            parts = max(1, -(-size // PACK_BYTES))
+            for part in range(parts):
+                yield path, (part, parts) if parts > 1 else None, size // parts
 
     def batches(self, fs, path, part, columns) -> Iterator[pa.RecordBatch]:
         with fs.open_input_file(path) as stream:
             if not _is_ipc(stream):
-                # The first feather version has no batches: such a file is read in one go.
-                yield from pafeather.read_table(stream).to_batches()
+                # The first feather version has no batches: such a file is read in one go, by its first part.
+                if not part or part[0] == 0:
+                    yield from pafeather.read_table(stream).to_batches()
                 return
             names = pa.ipc.open_file(stream).schema.names
-            wanted = [index for index, name in enumerate(names) if name in set(columns)]
+            wanted = sorted({place for column in columns if (place := place_of(column, names)) is not None})
             # No wanted column (a count, say) still needs one for the number of rows.
             options = pa.ipc.IpcReadOptions(included_fields=wanted or [0])
             reader = pa.ipc.open_file(stream, options=options)
-            first, stop = part or (0, reader.num_record_batches)
-            for index in range(first, stop):
+            k, n = part or (0, 1)
+            total = reader.num_record_batches
+            for index in range(total * k // n, total * (k + 1) // n):
                 yield reader.get_batch(index)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
@@ -70,18 +75,6 @@ def _is_ipc(stream: pa.NativeFile) -> bool:
     return magic == _IPC_MAGIC
 
 
-def _cut(fs: pafs.FileSystem, path: str, size: int) -> list[Piece]:
-    if size <= PACK_BYTES:
-        return [(path, None, size)]
-    with fs.open_input_file(path) as stream:
-        if not _is_ipc(stream):
-            return [(path, None, size)]
-        total = pa.ipc.open_file(stream).num_record_batches
-    ranges = max(1, min(total, -(-size // PACK_BYTES)))
-    edges = [total * index // ranges for index in range(ranges + 1)]
-    return [(path, edge, size // ranges) for edge in zip(edges, edges[1:])]
-
-
 class FileWritten(WriterCommitMessage):
     """What a task reports: its file, or None if it had no rows."""
 

@@ -107,18 +107,28 @@ def spark_schema(schema: pa.Schema) -> T.StructType:
 
 def conform(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     """The batch with exactly the columns and types of ``schema``; columns it lacks are null."""
-    present = set(batch.schema.names)
+    places = {name: place_of(name, batch.schema.names) for name in schema.names}
     return pa.RecordBatch.from_arrays(
         [
-            _converted(batch.column(field.name), field.type)
-            if field.name in present
-            else pa.nulls(batch.num_rows, field.type)
+            pa.nulls(batch.num_rows, field.type)
+            if places[field.name] is None
+            else _converted(batch.column(places[field.name]), field.type)
             for field in schema
         ],
         schema=schema,
     )
 
 
+def place_of(name: str, names: list[str]) -> int | None:
+    """Where a column is: under its own name, or under one that differs in case alone."""
+    if name in names:
+        return names.index(name)
+    same = [i for i, other in enumerate(names) if other.lower() == name.lower()]
+    if len(same) > 1:
+        raise ValueError(f"{name!r} is one of several columns: {[names[i] for i in same]}")
+    return same[0] if same else None
+
+
 def _converted(values: pa.Array, dtype: pa.DataType) -> pa.Array:
     if values.type == dtype:
         return values
@@ -143,13 +153,24 @@ class FilesReader(DataSourceReader):
         schema = to_arrow_schema(self.schema)
         fs, _ = open_filesystem(self.source.path)
         for path, part, _ in partition.value:
+            if self.source.inferred:
+                self._refuse_unknown_columns(self.source.file_schema(fs, path).names, path)
             for batch in self.source.batches(fs, path, part, schema.names):
                 yield conform(batch, schema)
 
 
+    def _refuse_unknown_columns(self, names: list[str], path: str) -> None:
+        unknown = [name for name in names if place_of(name, self.schema.names) is None]
+        if unknown:
+            raise ValueError(f"{path} has columns that the first file lacks: {unknown}; declare a schema, or columns")
+
+
 class FilesSource(DataSource):
     """Base of the formats; a format says how to read a schema and the batches of one piece."""
 
+    #: Whether the columns were taken from the first file, not declared.
+    inferred = False
+
     @property
     def path(self) -> str:
         if "path" not in self.options:
@@ -157,7 +178,8 @@ class FilesSource(DataSource):
         return self.options["path"]
 
     def schema(self) -> T.StructType:
-        """Taken from the first file; declare a schema where files differ."""
+        """Taken from the first file; a file with other columns as well stops the query.  Declare a schema then."""
+        self.inferred = True
         fs, _ = open_filesystem(self.path)
         return spark_schema(self.file_schema(fs, list_files(self.path)[0][0]))
 

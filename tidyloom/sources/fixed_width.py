@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import accumulate
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,14 @@ def read_fixed_width(
     widths: Sequence[int] | None = None,
     schema: str | T.StructType | None = None,
     header: bool = False,
+    **options: Any,
 ) -> DataFrame:
     """One column per ``colspecs`` pair (start from 0, end exclusive) or per width.
 
     Fields are stripped of blanks and tabs; empty ones are null, and so are those that do not fit
     their type in ``schema``.  Without a schema all columns are strings called ``names``.  Blank
-    lines are skipped, and with ``header`` the first line of every file.
+    lines are skipped, and with ``header`` the first line of every file.  Other options are those of Spark's
+    text reader; columns of partition folders follow the fields.
     """
     if (colspecs is None) == (widths is None):
         raise ValueError("fixed-width tables need either colspecs or widths")
@@ -34,12 +37,13 @@ def read_fixed_width(
         ends = list(accumulate(widths))
         colspecs = list(zip([0, *ends], ends))
     fields = _fields(names, schema, len(colspecs))
-    lines = _lines(spark, path, header)
+    lines = _lines(spark, path, header, options)
     return lines.select(
         *[
             _field(F.col("value"), start, end, field.dataType).alias(field.name)
             for (start, end), field in zip(colspecs, fields)
-        ]
+        ],
+        *[F.col(f"`{name}`") for name in lines.columns if name != "value"],
     )
 
 
@@ -56,14 +60,13 @@ def _fields(names, schema, count: int) -> list[T.StructField]:
     return fields
 
 
-def _lines(spark: SparkSession, path: str, header: bool) -> DataFrame:
+def _lines(spark: SparkSession, path: str, header: bool, options: dict) -> DataFrame:
     if header:
         # Only the csv reader knows where a file begins when it is read in splits.
-        lines = spark.read.schema("value string").csv(
-            path, header=True, sep=_NO_SEPARATOR, quote="", recursiveFileLookup=True
-        )
+        whole = {"sep": _NO_SEPARATOR, "quote": "", "ignoreLeadingWhiteSpace": False, "maxCharsPerColumn": -1}
+        lines = spark.read.schema("value string").options(**options).csv(path, header=True, **whole)
     else:
-        lines = spark.read.text(path, recursiveFileLookup=True)
+        lines = spark.read.options(**options).text(path)
     return lines.filter(F.col("value").rlike(r"[^ \t]"))
 
 

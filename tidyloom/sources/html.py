@@ -42,7 +42,7 @@ class _Tables(HTMLParser):
             if self.open[-1]["cells"] is None:
                 self.open[-1]["cells"] = []
             self.open[-1]["text"] = []
-            self.open[-1]["span"] = _span(attrs, "colspan", 1000), _span(attrs, "rowspan", 65534)
+            self.open[-1]["span"] = _span(attrs, "colspan"), _span(attrs, "rowspan")
 
     def handle_endtag(self, tag):
         if not self.open:
@@ -105,10 +105,10 @@ class _Tables(HTMLParser):
             self.open.pop()
 
 
-def _span(attrs: list[tuple[str, str | None]], name: str, most: int) -> int:
-    """A span attribute; what is not a positive number counts as 1.  HTML sets the upper limits."""
+def _span(attrs: list[tuple[str, str | None]], name: str) -> int:
+    """A span attribute; what is not a positive number counts as 1."""
     value = (dict(attrs).get(name) or "").strip()
-    return min(int(value), most) if re.fullmatch("[0-9]+", value) and int(value) else 1
+    return int(value) if re.fullmatch("[0-9]+", value) and int(value) else 1
 
 
 # What decides where a table begins and ends: its tags, and text that only looks like tags.

@@ -1,21 +1,23 @@
 """Which files exist under the catalog's entries, and which expected ones do not.
 
-Spark's own file listing is the scan: file contents are never read.  Existence is decided by exact
-paths, not by prefixes.
+Files are listed by tasks: entries first, then the folders right below them, each by a task of its own.  File
+contents are never read.  Existence is decided by exact paths, not by prefixes; a path that does not
+exist as it is may be a glob.
 """
 
 from __future__ import annotations
 
-import os
+import fnmatch
 import re
-from collections.abc import Iterable, Mapping
-from functools import reduce
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.errors import AnalysisException
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import find_entry, join_path, merge_options
+from .files import open_filesystem
 
 INVENTORY = {
     "entry": "string",
@@ -29,43 +31,98 @@ INVENTORY = {
 def file_inventory(
     spark: SparkSession, catalog: Mapping[str, Mapping], entries: Iterable[str] | None = None
 ) -> DataFrame:
-    """One row per file: ``entry, path, name, length, modified``.
+    """One row per file: ``entry, path, name, length, modified``; empty and hidden files count.
 
     ``name`` is the path below the entry's path, and empty where the entry is a file itself.  An entry
     whose path does not exist has no rows.
     """
     names = list(catalog if entries is None else entries)
-    listings = [_listing(spark, name, find_entry(catalog, name)["file_path"]) for name in names]
-    return reduce(DataFrame.unionAll, listings) if listings else _no_files(spark)
-
-
-def _no_files(spark: SparkSession) -> DataFrame:
-    """An inventory without rows, which the optimizer removes from any plan."""
-    columns = [F.lit(None).cast(dtype).alias(name) for name, dtype in INVENTORY.items()]
-    return spark.range(0, 1, 1, 1).filter(F.lit(False)).select(*columns)
-
-
-def _listing(spark: SparkSession, name: str, root: str) -> DataFrame:
-    try:
-        files = spark.read.format("binaryFile").load(root, recursiveFileLookup=True)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return _no_files(spark)
-    path = F.col("path")
-    if "://" not in root:
-        root = os.path.abspath(re.sub("^file:", "", root))
-        path = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "")
-    # A glob matches whole segments, so its depth tells where the names begin.
-    depth = len(root.rstrip("/").split("/"))
-    below = F.array_join(F.slice(F.split(path, "/"), depth + 1, 2**31 - 1), "/")
-    return files.select(
-        F.lit(name).alias("entry"),
-        "path",
-        below.alias("name"),
-        "length",
-        F.col("modificationTime").alias("modified"),
-    )
+    roots = [(name, find_entry(catalog, name)["file_path"]) for name in names]
+    schema = "entry string, root string, folder string, " + ", ".join(f"{k} {v}" for k, v in INVENTORY.items() if k != "entry")
+    tasks = max(1, min(len(roots), _MOST_TASKS))
+    known = spark.createDataFrame(roots, "entry string, root string").repartition(tasks, "entry")
+    first = known.mapInPandas(_first_level, schema)
+    folders = first.repartition(max(tasks, spark.sparkContext.defaultParallelism), "entry", "folder", "name")
+    return folders.mapInPandas(_all_below, schema).select(*INVENTORY)
+
+
+_MOST_TASKS = 1000
+
+
+def _file_row(entry: str, root: str, info: pafs.FileInfo, name: str) -> tuple:
+    return entry, root, None, info.path, name, info.size, info.mtime
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["entry", "root", "folder", "path", "name", "length", "modified"])
+    frame["modified"] = pd.to_datetime(frame["modified"], utc=True)
+    frame["length"] = frame["length"].astype("Int64")
+    return frame
+
+
+def _first_level(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files at and right below each root, and a row with ``folder`` for each folder there."""
+    for frame in frames:
+        rows: list[tuple] = []
+        for entry, root in zip(frame["entry"], frame["root"]):
+            fs, inner = open_filesystem(root)
+            inner = inner.rstrip("/") or "/"
+            info = fs.get_file_info(inner)
+            if info.type == pafs.FileType.File:
+                rows.append(_file_row(entry, inner, info, ""))
+            elif info.type == pafs.FileType.Directory:
+                rows += _level(fs, entry, root, inner, inner)
+            elif re.search(r"[*?\[]", inner):
+                rows += _matches(fs, entry, root, inner)
+        yield _frame(rows)
+
+
+def _level(fs: pafs.FileSystem, entry: str, root: str, base: str, folder: str) -> list[tuple]:
+    """The files of a folder, and its folders; ``base`` is where names begin."""
+    rows = []
+    for info in fs.get_file_info(pafs.FileSelector(folder, recursive=False)):
+        name = info.path[len(base.rstrip("/")) + 1 :]
+        if info.type == pafs.FileType.Directory:
+            rows.append((entry, root, info.path, None, name, None, None))
+        else:
+            rows.append(_file_row(entry, root, info, name))
+    return rows
+
+
+def _matches(fs: pafs.FileSystem, entry: str, root: str, pattern: str) -> list[tuple]:
+    """What a glob stands for, segment by segment: files, and the first level of folders."""
+    steps = pattern.strip("/").split("/")
+    places = ["/" if pattern.startswith("/") else ""]
+    for step in steps:
+        found = []
+        for place in places:
+            if not re.search(r"[*?\[]", step):
+                found.append(f"{place.rstrip('/')}/{step}" if place else step)
+                continue
+            if fs.get_file_info(place).type != pafs.FileType.Directory:
+                continue
+            inside = fs.get_file_info(pafs.FileSelector(place, recursive=False))
+            found += [info.path for info in inside if fnmatch.fnmatchcase(info.base_name, step)]
+        places = found
+    rows = []
+    for info in fs.get_file_info(places):
+        if info.type == pafs.FileType.File:
+            rows.append(_file_row(entry, root, info, ""))
+        elif info.type == pafs.FileType.Directory:
+            rows += _level(fs, entry, root, info.path, info.path)
+    return rows
+
+
+def _all_below(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files as they are; in place of a folder all files below it."""
+    for frame in frames:
+        rows = [row for row in frame.itertuples(index=False, name=None) if row[2] is None]
+        for entry, root, folder, _, name, _, _ in frame[frame["folder"].notna()].itertuples(index=False, name=None):
+            fs, _ = open_filesystem(root)
+            for info in fs.get_file_info(pafs.FileSelector(folder, recursive=True)):
+                if info.type != pafs.FileType.Directory:
+                    rows.append(_file_row(entry, root, info, f"{name}/{info.path[len(folder) + 1:]}"))
+        yield _frame(rows)
 
 
 def missing_inputs(required: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -113,21 +170,39 @@ def entry_summary(
 
 
 def is_exists(
-    spark: SparkSession, catalog: Mapping[str, Mapping], catalog_entry: str, **options
+    spark: SparkSession,
+    catalog: Mapping[str, Mapping] | None = None,
+    catalog_entry: str | None = None,
+    data_url: str | None = None,
+    **options,
 ) -> bool:
-    """Whether an entry, or ``suffix`` under it, is a file or a folder with files."""
-    entry = find_entry(catalog, catalog_entry)
-    options = merge_options(entry, "load", options)
-    path = join_path(entry["file_path"].rstrip("/"), options.get("suffix"))
-    return not _listing(spark, catalog_entry, path).isEmpty()
+    """Whether ``data_url``, or else an entry or ``suffix`` under it, is a file or a folder.
+
+    One status call; nothing is listed, and the path is taken as it is.
+    """
+    if data_url is None:
+        entry = find_entry(catalog, catalog_entry)
+        options = merge_options(entry, "load", options)
+        data_url = join_path(entry["file_path"].rstrip("/"), options.get("suffix"))
+    return _is_folder(data_url) is not None
 
 
 def is_require_filename(
-    spark: SparkSession, catalog: Mapping[str, Mapping], catalog_entry: str
+    spark: SparkSession,
+    catalog: Mapping[str, Mapping] | None = None,
+    catalog_entry: str | None = None,
+    data_url: str | None = None,
 ) -> bool:
-    """False if the entry's path is a file, True if it is a folder; a missing path is an error."""
-    root = find_entry(catalog, catalog_entry)["file_path"]
-    file = _listing(spark, catalog_entry, root).select("name").head()
-    if file is None:
-        raise FileNotFoundError(f"{catalog_entry}: nothing at {root}")
-    return file["name"] != ""
+    """False if the path is a file, True if it is a folder; a missing path is an error."""
+    root = find_entry(catalog, catalog_entry)["file_path"] if data_url is None else data_url
+    folder = _is_folder(root)
+    if folder is None:
+        raise FileNotFoundError(f"nothing at {root}")
+    return folder
+
+
+def _is_folder(path: str) -> bool | None:
+    """Null where there is nothing."""
+    fs, inner = open_filesystem(path)
+    kind = fs.get_file_info(inner.rstrip("/") or "/").type
+    return None if kind == pafs.FileType.NotFound else kind == pafs.FileType.Directory

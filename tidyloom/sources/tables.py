@@ -3,25 +3,22 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import find_entry, join_path, merge_options, table_format
 from ..functions.keys import column
-from .excel import ExcelSource
 from .feather import FeatherSource
 from .files import FilesSource
 from .fixed_width import read_fixed_width
 from .html import html_tables
-from .stata import StataSource
 
-FILE_SOURCES: dict[str, type[FilesSource]] = {
-    source.name(): source for source in (ExcelSource, FeatherSource, StataSource)
-}
+FILE_SOURCES: dict[str, type[FilesSource]] = {FeatherSource.name(): FeatherSource}
 
 
 def load_data(
@@ -58,7 +55,7 @@ def load_inputs(
 
 
 def register_file_sources(spark: SparkSession) -> None:
-    """Make ``spark.read.format("feather" | "stata" | "excel")`` known to the session."""
+    """Make ``spark.read.format("feather")`` known to the session."""
     for source in FILE_SOURCES.values():
         spark.dataSource.register(source)
 
@@ -73,42 +70,48 @@ def _load_spark(spark: SparkSession, fmt: str, path: str, options: dict) -> Data
 
 
 def _load_csv(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
-    defaults = {"header": True} if fmt == "csv" else {"header": True, "sep": "\t"}
+    # A quote within a quoted text is doubled, as other programs write it.
+    defaults = {"header": True, "escape": '"'} | ({} if fmt == "csv" else {"sep": "\t"})
     return _load_spark(spark, "csv", path, {**defaults, **options})
 
 
 def _load_json(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
-    if "multiLine" not in options:
-        options = {**options, "multiLine": not _has_json_lines(spark, path)}
-        if options["multiLine"]:
-            _refuse_several_documents(spark, path)
-    return _load_spark(spark, "json", path, options)
+    """Documents, one a file, unless the entry says ``multiLine`` is false: then a document a line.
 
+    Nothing is guessed from the files.  A line that is no document stops the query, and so does a file with
+    something after its document, of which the reader would say nothing.
+    """
+    if str(options.get("multiLine", True)).lower() == "false":
+        return _load_spark(spark, "json", path, {"mode": "FAILFAST", **options})
+    df = _load_spark(spark, "json", path, {**options, "multiLine": True})
+    layout = {k: v for k, v in options.items() if k in ("pathGlobFilter", "recursiveFileLookup", "modifiedBefore", "modifiedAfter")}
+    files = spark.read.options(**layout).format("binaryFile").load(path).select("path", "content")
+    encoding = options.get("encoding") or options.get("charset")
+    return df.unionByName(files.mapInArrow(_single_documents(encoding), df.schema))
 
-def _has_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a line is a whole JSON value, judged by the first line that is not blank."""
-    lines = spark.read.text(path, recursiveFileLookup=True)
-    first = lines.filter(F.col("value").rlike(r"\S")).head()
-    try:
-        json.loads(first["value"]) if first else None
-    except ValueError:
-        return False
-    return True
 
+def _single_documents(encoding: str | None) -> Callable:
+    """A part of the scan's own plan that has no rows and stops at a file with several documents."""
 
-def _refuse_several_documents(spark: SparkSession, path: str) -> None:
-    """A reader for documents takes only the first of a file and says nothing about the others.
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = json.JSONDecoder()
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                data = content.as_py()
+                text = data.decode(encoding or json.detect_encoding(data), "replace").lstrip("\ufeff \t\r\n")
+                try:
+                    end = decoder.raw_decode(text)[1] if text else 0
+                except (ValueError, RecursionError):
+                    continue  # the reader decides about what is not strict JSON
+                if text[end:].strip():
+                    raise ValueError(f"{path}: something follows the document; for a document a line set multiLine to false")
+        yield from ()
 
-    A closing bracket, a line break and an opening bracket never follow each other inside a document:
-    values have a comma between them, and texts have no line breaks.
-    """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    several = files.filter(F.col("value").rlike(r"[}\]][ \t\r]*\n\s*[{\[]"))
-    if not several.isEmpty():
-        raise ValueError(
-            f"{path}: some files hold one JSON document over several lines, others hold several; "
-            "load them by separate entries, with multiLine set"
-        )
+    return check
+
+
+def _load_xml(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
+    return _load_spark(spark, fmt, path, {"ignoreSurroundingSpaces": False, **options})
 
 
 def _load_fixed_width(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
@@ -150,6 +153,7 @@ def _load_file_source(
 _LOADERS: dict[str, Callable[[SparkSession, str, str, dict], DataFrame]] = {
     "csv": _load_csv,
     "table": _load_csv,
+    "xml": _load_xml,
     "json": _load_json,
     "fwf": _load_fixed_width,
     "html": _load_html,
