@@ -81,8 +81,12 @@ def fit_domains(texts: list[bytes], labels: list[str], counts: dict[str, int], s
     """
     domains = tuple(sorted(set(labels)))
     y = np.searchsorted(domains, labels)
-    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    words, _, owner, shapes = features(np.frombuffer(b"".join(texts), np.uint8), starts)
+    parts = []
+    for i in range(0, len(texts), 200):  # whole texts, few at a time: hashing needs many times their bytes
+        some = texts[i : i + 200]
+        words, _, owner, shapes = features(np.frombuffer(b"".join(some), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in some]))))
+        parts.append((words, owner + i, shapes))
+    words, owner, shapes = (np.concatenate(x) for x in zip(*parts))
     use = telling(words, owner, y, len(domains), least)[words]
     words, owner = words[use], owner[use]
     weight = np.array([counts[d] for d in domains]) / np.bincount(y, minlength=len(domains))
