@@ -165,7 +165,9 @@ def verified_links(docs: DataFrame, clusters: DataFrame, width: int, percent: in
     downward = F.transform(others, lambda x: group(2, F.col("cluster"), F.col("step") - 1, x, cut, F.lit(2)))
     groups = F.when(F.col("all") <= chunk, small).otherwise(F.concat(within, upward, downward))
     wanted = sized.select("doc_id", groups.alias("groups"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").join(wanted, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    # Candidates grow with the documents, so their list is never sent to all executors.
+    texts = texts.join(wanted.hint("merge"), "doc_id")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
