@@ -329,4 +329,7 @@ def archived_pages(pages: DataFrame, least_bytes: int = 1000, **settings) -> Dat
     files = arc_to_warc(write_arc(pages, f"{folder}/arc", **settings), f"{folder}/warc", least_bytes)
     records = written(read_warc(files), "warc-records")
     targets = records.filter("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
-    return records.join(targets, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    # Most records refer to none: only revisits are shuffled to what they refer to.
+    alone = records.filter("refers_id IS NULL").withColumn("refers_to", F.lit(None).cast("bigint")).select(*columns)
+    return alone.unionAll(records.filter("refers_id IS NOT NULL").join(targets, "refers_id", "left").select(*columns))
