@@ -192,9 +192,14 @@ def opened(path: str) -> BinaryIO:
     return gzip.GzipFile(fileobj=fs.open_input_stream(inner, compression=None))
 
 
-def one_by_one(files: DataFrame, most_tasks: int = 10_000) -> DataFrame:
+def task_count(files: DataFrame, most_tasks: int = 10_000) -> int:
+    """A task for each listed file, up to ``most_tasks``."""
+    return min(most_tasks, max(1, files.count()))
+
+
+def one_by_one(files: DataFrame) -> DataFrame:
     """The listed files dealt out to as many tasks, whatever files the list itself is in."""
-    return files.repartition(min(most_tasks, max(1, files.count())))
+    return files.repartition(task_count(files))
 
 
 def write_arc(pages: DataFrame, folder: str, date: str = "20000101000000", file_bytes: int = 64 << 20) -> DataFrame:
@@ -286,8 +291,10 @@ def arc_to_warc(files: DataFrame, folder: str, least_bytes: int = 1000) -> DataF
             out.append(target.close())
         return pa.Table.from_batches(out)
 
-    one_each = files.select("path").distinct()
-    return written(one_each.groupBy("path").cogroup(repeats.groupBy("path")).applyInArrow(convert, FILE_SCHEMA), "warc-files")
+    # The shuffled rows are short and the files behind them long: a stated number of tasks is not merged by size.
+    tasks = task_count(files)
+    one_each, repeats = (df.repartition(tasks, "path").groupBy("path") for df in (files.select("path").distinct(), repeats))
+    return written(one_each.cogroup(repeats).applyInArrow(convert, FILE_SCHEMA), "warc-files")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
