@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .names import BLANKS
-from .text import float_text, plain_text
+from .text import float_text, plain_text, time_text
 
 # Largest magnitude below which every double that is a whole number is exact.
 _EXACT_DOUBLE = float(2**53)
@@ -29,7 +29,7 @@ def convert_value(col: Column, dtype: T.DataType, none_text: bool = False) -> Co
     elif isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         text = _normalised_integer_text(col)
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        text = _time_text(col, dtype)
+        text = time_text(col, dtype)
     else:
         text = plain_text(col, dtype)
     return F.coalesce(text, F.lit("None")) if none_text else text
@@ -59,8 +59,3 @@ def _normalised_integer_text(col: Column) -> Column:
     # Any length, as no numeric type is involved; a text that does not match stays as it is.
     ends_well = F.substring(col, -1, 1).rlike(_LAST_OF_INTEGER)
     return F.when(ends_well, F.regexp_replace(col, _INTEGER, "$1$2")).otherwise(col)
-
-
-def _time_text(col: Column, dtype: T.DataType) -> Column:
-    """A blank between date and time, and no zone."""
-    return F.regexp_replace(F.replace(plain_text(col, dtype), F.lit("T"), F.lit(" ")), r"\+00:00$", "")

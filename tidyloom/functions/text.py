@@ -96,25 +96,26 @@ def _other_float_text(col: Column, text: Column, dtype: T.DataType, nan: str, in
     )
 
 
-def iso_text(col: Column, dtype: T.DataType) -> Column:
-    """ISO-8601 text; the fraction is left out when zero and has six digits otherwise.
+def time_text(col: Column, dtype: T.DataType) -> Column:
+    """``2020-01-02 03:04:05``; the fraction is left out when zero and has six digits otherwise.
 
-    Instants (time-zone-aware timestamps) are written in UTC with an offset, so the text does not
-    follow the session time zone.
+    Instants (time-zone-aware timestamps) are written in UTC, so the text does not follow the session time zone.
     """
-    if isinstance(dtype, T.DateType):
-        return col.cast("string")
-    offset = ""
     if isinstance(dtype, T.TimestampType):
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
         col = F.timestamp_add("MICROSECOND", F.unix_micros(col), epoch)
-        offset = "+00:00"
     # A plain cast: formatting functions would go through the session time zone.
-    text = F.translate(col.cast("string"), " ", "T")
-    fraction = F.rpad(F.substring_index(text, ".", -1), 6, "0")
-    full = F.concat(F.substring_index(text, ".", 1), F.lit("."), fraction)
-    text = F.when(F.contains(text, F.lit(".")), full).otherwise(text)
-    return F.concat(text, F.lit(offset)) if offset else text
+    text = col.cast("string")
+    point = F.instr(text, ".")
+    return F.when(point > 0, F.rpad(text, point + 6, "0")).otherwise(text)
+
+
+def iso_text(col: Column, dtype: T.DataType) -> Column:
+    """ISO-8601 text; that of an instant ends with its offset."""
+    if isinstance(dtype, T.DateType):
+        return col.cast("string")
+    text = F.translate(time_text(col, dtype), " ", "T")
+    return F.concat(text, F.lit("+00:00")) if isinstance(dtype, T.TimestampType) else text
 
 
 def plain_text(col: Column, dtype: T.DataType) -> Column:
