@@ -31,9 +31,10 @@ class DomainModel:
 
 
 def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed distinct words of all texts, each text's number of words, their owners, and the texts' shapes.
+    """Features of all texts' distinct words, each text's number of words, the features' owners, and the texts' shapes.
 
-    Shapes: a constant, shares of capitals, of marks and of digits, and how much words repeat.
+    A text has at most ``2 ** BITS`` features of words, however long it is.  Shapes: a constant, shares of
+    capitals, of marks and of digits, and how much words repeat.
     """
     hashes, first = word_hashes(data, starts)
     sizes = np.diff(starts)
@@ -48,7 +49,9 @@ def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     words, owner = (hashes[new] >> np.uint64(64 - BITS)).astype(np.int64), owner[new]
     shapes[:, 4] = np.bincount(owner, minlength=len(sizes)) / np.maximum(np.diff(first), 1)
-    return words, np.diff(first), owner, shapes
+    once = np.ones(len(words), bool)
+    once[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
+    return words[once], np.diff(first), owner[once], shapes
 
 
 def chances_of(weights: np.ndarray, words: np.ndarray, owner: np.ndarray, shapes: np.ndarray) -> np.ndarray:
@@ -74,19 +77,13 @@ def telling(words: np.ndarray, owner: np.ndarray, y: np.ndarray, classes: int, l
     return out
 
 
-def fit_domains(texts: list[bytes], labels: list[str], counts: dict[str, int], steps: int = 300, least: float = 5.0) -> DomainModel:
+def fit_domains(words: np.ndarray, owner: np.ndarray, shapes: np.ndarray, labels: list[str], counts: dict[str, int], steps: int = 300, least: float = 5.0) -> DomainModel:
     """Full-batch Adam on the cross entropy over telling words and shapes.
 
     A domain weighs as much as it has labelled documents (``counts``), however many were drawn.
     """
     domains = tuple(sorted(set(labels)))
     y = np.searchsorted(domains, labels)
-    parts = []
-    for i in range(0, len(texts), 200):  # whole texts, few at a time: hashing needs many times their bytes
-        some = texts[i : i + 200]
-        words, _, owner, shapes = features(np.frombuffer(b"".join(some), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in some]))))
-        parts.append((words, owner + i, shapes))
-    words, owner, shapes = (np.concatenate(x) for x in zip(*parts))
     use = telling(words, owner, y, len(domains), least)[words]
     words, owner = words[use], owner[use]
     weight = np.array([counts[d] for d in domains]) / np.bincount(y, minlength=len(domains))
@@ -112,24 +109,43 @@ def quality_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high")
 
 
-def learn_domains(docs: DataFrame, labels: DataFrame, domain: Column | None = None, per_domain: int = 2000) -> DomainModel | None:
+def learn_domains(docs: DataFrame, labels: DataFrame, domain: Column | None = None, per_domain: int = 2000, max_domains: int = 1000) -> DomainModel | None:
     """Learn from at most about ``per_domain`` labelled documents of each domain, drawn by hash of their ids.
 
     A document with several labels takes the greatest; ids and labels that are null are not used.  None if
-    no document is labelled.
+    no document is labelled; more than ``max_domains`` different domains are refused.  Tasks read the drawn whole texts and send
+    their features, at most ``2 * 2 ** BITS`` bytes a text.
     """
     domain = quality_domain() if domain is None else domain
     named = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), domain.alias("domain")).dropna().groupBy("doc_id").agg(F.max("domain").alias("domain"))
-    counts = {r["domain"]: r["count"] for r in named.groupBy("domain").count().collect()}
+    counts = {r["domain"]: r["count"] for r in named.groupBy("domain").count().limit(max_domains + 1).collect()}
     if not counts:
         return None
+    if len(counts) > max_domains:
+        raise ValueError(f"more than {max_domains} different domains")
     parts = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(parts, int(parts * per_domain / n) + 1))])
     drawn = named.filter(F.pmod(F.xxhash64("doc_id", F.lit("domain")), F.lit(parts)) < share[F.col("domain")])
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text <> ''")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_parts(batch, "text", 2 << 20):
+                words, _, owner, shapes = features(*text_bytes(part.column("text")))
+                own = np.split(words.astype("<u2"), np.searchsorted(owner, np.arange(1, part.num_rows)))
+                packed = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (own, shapes)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("domain"), *packed], names=["doc_id", "domain", "words", "shapes"])
+
     # The draw is bounded, so it may go to every executor.
-    rows = sorted((r["doc_id"], r["domain"], r["text"].encode()) for r in texts.join(F.broadcast(drawn), "doc_id").collect())
-    return fit_domains([r[2] for r in rows], [r[1] for r in rows], counts) if rows else None
+    sample = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "domain", "text")
+    described = sample.mapInArrow(describe, "doc_id bigint, domain string, words binary, shapes binary")
+    rows = sorted((r["doc_id"], r["domain"], bytes(r["words"]), bytes(r["shapes"])) for r in described.collect())
+    if not rows:
+        return None
+    words = np.frombuffer(b"".join(r[2] for r in rows), "<u2").astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(r[2]) // 2 for r in rows])
+    shapes = np.frombuffer(b"".join(r[3] for r in rows)).reshape(len(rows), SHAPES)
+    return fit_domains(words, owner, shapes, [r[1] for r in rows], counts)
 
 
 def domain_table(docs: DataFrame, model: DomainModel | None) -> DataFrame:
