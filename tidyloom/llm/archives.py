@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm.common import work_folder, written
+from tidyloom.llm.common import text_parts, work_folder, written
 from tidyloom.sources.files import open_filesystem
 
 # The fields that a header line has in each version, and the line that names them.
@@ -211,8 +211,9 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20000101000000", file_
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, count = None, TaskContext.get().partitionId()
-        for batch in batches:
-            for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+        parts = (part for batch in batches for part in text_parts(batch, "html"))
+        for part in parts:
+            for page, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 if current is None:
                     version = 1 + count % 2
                     count += 1
