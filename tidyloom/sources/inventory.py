@@ -47,6 +47,7 @@ def file_inventory(
 
 
 _MOST_TASKS = 1000
+_FRAME_ROWS = 50_000
 
 
 def _file_row(entry: str, root: str, info: pafs.FileInfo, name: str) -> tuple:
@@ -122,6 +123,9 @@ def _all_below(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for info in fs.get_file_info(pafs.FileSelector(folder, recursive=True)):
                 if info.type != pafs.FileType.Directory:
                     rows.append(_file_row(entry, root, info, f"{name}/{info.path[len(folder) + 1:]}"))
+                if len(rows) >= _FRAME_ROWS:
+                    yield _frame(rows)
+                    rows = []
         yield _frame(rows)
 
 
