@@ -235,3 +235,17 @@ def test_pipeline_stages_take_effect(spark, labelled):
     assert set(mixture) <= set(cleaned) and len(mixture) > 0.5 * len(cleaned)
     assert sum(r["length"] for r in rows["packing"].collect()) == sum(r["doc_tokens"] for r in rows["packing"].filter("start = 0").collect())
     assert {r["doc_id"] for r in rows["packing"].collect()} == set(mixture)
+
+
+def test_features_of_a_text_are_bounded():
+    texts = [" ".join(f"w{i}" for i in range(100_000)).encode(), b"", b"a b a"]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    words, tokens, owner, shapes = mixing.features(data, starts)
+    assert tokens.tolist() == [100_000, 0, 3] and shapes[2, 4] == pytest.approx(2 / 3)
+    assert len(np.unique(words[owner == 0])) == (owner == 0).sum() <= 1 << mixing.BITS and (owner == 2).sum() == 2
+
+
+def test_too_many_domains_are_refused(labelled):
+    _, docs, labels = labelled
+    with pytest.raises(ValueError, match="more than 1 different"):
+        mixing.learn_domains(docs, labels, max_domains=1)
