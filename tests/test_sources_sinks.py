@@ -535,3 +535,18 @@ def test_decimal_feather(spark, tmp_path):
     catalog = entry(tmp_path / "n", "feather")
     tl.save_data(df, catalog, "e")
     assert tl.load_data(spark, catalog, "e").head() == df.head()
+
+
+def test_a_large_folder_is_listed_in_several_frames(tmp_path, monkeypatch):
+    import pandas as pd
+    from tidyloom.sources import inventory
+
+    monkeypatch.setattr(inventory, "_FRAME_ROWS", 3)
+    (tmp_path / "a").mkdir()
+    for i in range(8):
+        (tmp_path / "a" / f"{i}.txt").write_text("x")
+    folder = [("e", str(tmp_path), str(tmp_path / "a"), None, "a", None, None)]
+    columns = ["entry", "root", "folder", "path", "name", "length", "modified"]
+    frames = list(inventory._all_below(iter([pd.DataFrame(folder, columns=columns)])))
+    assert [len(f) for f in frames] == [3, 3, 2]
+    assert sorted(n for f in frames for n in f["name"]) == [f"a/{i}.txt" for i in range(8)]
