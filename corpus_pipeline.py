@@ -41,8 +41,8 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture of quality domains asks for; toxic ones go."""
-    return mixed(docs, mixing_rates(docs, table(spark, sf_dir, "labels"), DOMAIN_WEIGHTS))
+    """Each document as often as the mixture of quality domains asks for, at least once; only toxic ones go."""
+    return mixed(docs, mixing_rates(docs, table(spark, sf_dir, "labels"), DOMAIN_WEIGHTS, keep=True))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,6 +237,35 @@ def test_pipeline_stages_take_effect(spark, labelled):
     assert {r["doc_id"] for r in rows["packing"].collect()} == set(mixture)
 
 
+def test_the_mixture_stage_drops_only_toxic_documents(spark, labelled, monkeypatch):
+    import corpus_pipeline
+
+    _, docs, labels = labelled
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: labels)
+    told = {r["doc_id"]: r["domain"] for r in mixing.mixing_rates(docs, labels, {"high": 1.0}).collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.mix_to_weights(spark, docs, "").collect()}
+    assert "toxic" in told.values() and {d for d in told if d is not None} - kept == {d for d, k in told.items() if k == "toxic" and d is not None}
+
+
+@pytest.mark.parametrize("weights", [[0.8, 0.2, 0.0], [0.2, 0.5, 0.3], [0.1, 0.9, 0.0]])
+def test_keeping_rates_meet_the_targets_from_above(spark, weights):
+    rng = np.random.default_rng(7)
+    chances = np.round(rng.dirichlet([0.9, 0.3, 0.2], 400), 9)
+    tokens = rng.integers(0, 100, 400)
+    table = spark.createDataFrame([(int(t), [float(x) for x in p]) for t, p in zip(tokens, chances)], "tokens bigint, chances array<double>").repartition(5)
+    own, other = mixing.wanted_chances(chances, weights)
+    rates = np.where(other, 0, 1 + np.maximum(0, own @ np.array(mixing.fit_keeping(table, weights))))
+    mass = (rates * tokens) @ own
+    np.testing.assert_allclose(mass / mass.sum(), [w for w in weights if w], atol=1e-5)
+    assert (other == (np.array(weights)[chances.argmax(axis=1)] == 0)).all() and rates[~other].min() >= 1
+
+
+def test_posteriors_that_tell_nothing_keep_the_rates(spark):
+    table = spark.createDataFrame([(5, [0.75, 0.25])] * 4, "tokens bigint, chances array<double>")
+    with pytest.warns(UserWarning, match="no rates"):
+        assert mixing.fit_keeping(table, [0.5, 0.5]) == [0.0, 0.0]
+
+
 def test_features_of_a_text_are_bounded():
     texts = [" ".join(f"w{i}" for i in range(100_000)).encode(), b"", b"a b a"]
     data, starts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])

@@ -8,6 +8,7 @@ residuals of these steps, a few numbers each: tasks compute them afresh, and onl
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -205,7 +206,94 @@ def fit_rates(table: DataFrame, weights: list[float], max_steps: int = 40, toler
     return steps
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: Column | None = None, **settings) -> DataFrame:
+def wanted_chances(chances: np.ndarray, weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors among the domains with a positive weight, and which rows are most probably of another domain."""
+    asked = np.asarray(weights, float) > 0
+    if asked.all():
+        return chances, np.zeros(len(chances), bool)
+    other = ~asked[chances.argmax(axis=1)]
+    own = chances[:, asked]
+    return own / np.where(other, np.maximum(own.sum(axis=1), 1e-9), own.sum(axis=1))[:, None], other
+
+
+def closing_step(table: DataFrame, weights: list[float], steps: list[list[float]] | None, wanted: np.ndarray, basis: np.ndarray, error: float, max_passes: int = 60) -> np.ndarray | None:
+    """The ``m`` in the span of ``basis`` for which ``max(0, rates + chances @ m)`` moves the masses to ``wanted`` along ``basis``.
+
+    ``rates`` are those after ``steps``, or 0 without.  Newton's method on the dual of the projection, convex and quadratic in
+    pieces: a pass gives its value, gradient and Hessian.  None where the masses are out of reach: the dual has no least value then.
+    """
+    k = len(wanted)
+
+    def sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(1 + k + k * k)
+            for batch in batches:
+                chances, other = wanted_chances(np.asarray(batch.column("chances").flatten()).reshape(-1, len(weights)), weights)
+                tokens = np.where(other, 0, np.asarray(batch.column("tokens")))
+                rates = (0 if steps is None else rates_after(chances, steps)) + chances @ at
+                moved = np.maximum(0, rates) * tokens
+                out[0] += (moved * rates).sum() / 2
+                out[1 : k + 1] += moved @ chances
+                out[k + 1 :] += (chances.T @ (chances * (tokens * (rates >= 0))[:, None])).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], names=["place", "value"])
+
+        rows = table.select("tokens", "chances").mapInArrow(partial, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+        out = np.zeros(1 + k + k * k)
+        for row in rows:
+            out[row["place"]] = row["value"]
+        return out[0] - wanted @ at, basis.T @ (out[1 : k + 1] - wanted), basis.T @ out[k + 1 :].reshape(k, k) @ basis
+
+    now = np.zeros(k)
+    value, gradient, curve = sums(now)
+    for _ in range(max_passes):
+        if not len(gradient) or np.abs(gradient).max() <= error:
+            return now
+        ridge = 1e-12 * max(np.trace(curve), 1e-300) * np.eye(len(gradient))
+        move = basis @ np.linalg.lstsq(curve + ridge, -gradient, rcond=None)[0]
+        slope = gradient @ (basis.T @ move)
+        length = 1.0
+        while slope < 0 and length > 1e-6:
+            next_ = now + length * move
+            found = sums(next_)
+            if found[0] <= value + 1e-4 * length * slope + 1e-12 * abs(value):
+                break
+            length /= 2
+        else:
+            return None
+        now, (value, gradient, curve) = next_, found
+    return None
+
+
+def fit_keeping(table: DataFrame, weights: list[float], tolerance: float = 1e-6) -> list[float]:
+    """The ``m`` whose rates ``1 + max(0, chances @ m)`` meet the proportions of ``weights``: no document is thinned.
+
+    Of all rates of at least 1 that do, these are the least squares from 1, their total included.  Where no such
+    rates exist, as when the posteriors tell nothing apart, all rates are 1 and a warning says so.
+    """
+    asked = np.array([w for w in weights if w > 0], float)
+    share = asked / asked.sum()
+    k = len(share)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chances, other = wanted_chances(np.asarray(batch.column("chances").flatten()).reshape(-1, len(weights)), weights)
+            mass = np.where(other, 0, np.asarray(batch.column("tokens"))) @ chances
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in mass], names=[f"m{i}" for i in range(k)])
+
+    parts = table.select("tokens", "chances").mapInArrow(partial, ", ".join(f"m{i} double" for i in range(k)))
+    start = np.array([x or 0.0 for x in parts.agg(*[F.sum(f"m{i}") for i in range(k)]).head()])
+    if not start.sum():
+        return [0.0] * k
+    # Along these the masses have to vanish; across them lies the total, which is free.
+    basis = np.linalg.svd(share[None, :])[2][1:].T
+    found = closing_step(table, weights, None, -start, basis, tolerance * start.sum())
+    if found is None:
+        warnings.warn(f"no rates of at least 1 give the shares {share.tolist()}: they stay {(start / start.sum()).tolist()}", stacklevel=2)
+        return [0.0] * k
+    return [round(float(x), 12) for x in found]
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: Column | None = None, keep: bool = False, **settings) -> DataFrame:
     """``doc_id, tokens, domain, chances, rate, copies`` of every row of ``docs (doc_id, text, ...)``.
 
     ``weights``: the wanted share of tokens by domain; 0 where a domain is not named.  ``domain`` is the most
@@ -213,18 +301,28 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     down at random by a hash of the id, so that its mean is the rate.  Null and empty texts have no tokens and
     their rate follows from their posterior; a null id is rounded as an id of its own.  Without labels all
     documents form the domain ``all`` and have the rate 1.
+
+    With ``keep``, only documents whose ``domain`` has no weight go (rate 0), and every other one has a rate of at least 1;
+    the shares are those among the domains with a weight.
     """
     model = learn_domains(docs, labels, domain)
     table = written(domain_table(docs, model), "domains")
     domains = model.domains if model else ("all",)
     asked = [float(weights.get(name, 0)) for name in domains]
-    steps = fit_rates(table, asked, **settings) if model and sum(asked) > 0 else []
+    fitted = model is not None and sum(asked) > 0
+    steps = fit_rates(table, asked, **settings) if fitted and not keep else []
+    more = fit_keeping(table, asked, **settings) if fitted and keep else None
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chances = np.asarray(batch.column("chances").flatten()).reshape(-1, len(domains))
             best = pa.array([domains[i] for i in chances.argmax(axis=1)], pa.string())
-            columns = [batch.column("doc_id"), batch.column("tokens"), best, batch.column("chances"), pa.array(rates_after(chances, steps))]
+            if more is None:
+                rates = rates_after(chances, steps)
+            else:
+                own, other = wanted_chances(chances, asked)
+                rates = np.where(other, 0, 1 + np.maximum(0, own @ np.asarray(more)))
+            columns = [batch.column("doc_id"), batch.column("tokens"), best, batch.column("chances"), pa.array(rates)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "domain", "chances", "rate"])
 
     rates = table.mapInArrow(rated, "doc_id bigint, tokens bigint, domain string, chances array<double>, rate double")
