@@ -237,6 +237,28 @@ def test_pipeline_stages_take_effect(spark, labelled):
     assert {r["doc_id"] for r in rows["packing"].collect()} == set(mixture)
 
 
+def posterior_table(spark, chances, tokens):
+    return spark.createDataFrame([(int(t), [float(x) for x in p]) for t, p in zip(tokens, chances)], "tokens bigint, chances array<double>").repartition(5)
+
+
+@pytest.mark.parametrize("weights", [[0.3, 0.5, 0.2], [0.8, 0.2, 0.0], [0.3, 0.2, 0.5]])
+def test_overlapping_domains_meet_the_targets(spark, weights):
+    rng = np.random.default_rng(5)
+    kind = rng.choice(3, 800, p=[0.76, 0.13, 0.11])
+    scores = np.log([0.76, 0.13, 0.11]) + rng.normal(0, 1, (800, 3)) + 1.2 * np.eye(3)[kind]
+    chances = np.round(np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True), 9)
+    tokens = rng.integers(1, 100, 800)
+    steps = mixing.fit_rates(posterior_table(spark, chances, tokens), weights)
+    own, other = mixing.wanted_chances(chances, weights)
+    mass = (np.where(other, 0, mixing.rates_after(own, steps)) * tokens) @ own
+    np.testing.assert_allclose(mass / mass.sum(), [w for w in weights if w], atol=2e-4)
+
+
+def test_targets_out_of_reach_are_refused(spark):
+    with pytest.raises(ValueError, match="no rates give the shares"):
+        mixing.fit_rates(posterior_table(spark, [[0.9, 0.1], [0.7, 0.3]] * 5, [10] * 10), [0.5, 0.5])
+
+
 def test_the_mixture_stage_drops_only_toxic_documents(spark, labelled, monkeypatch):
     import corpus_pipeline
 

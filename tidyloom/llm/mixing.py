@@ -178,31 +178,40 @@ def fit_rates(table: DataFrame, weights: list[float], max_steps: int = 40, toler
 
     Least squares of the domains' errors relative to their tokens at rate 1, for which a step of 1 cannot overshoot.
     The total is the smallest that thins no domain with a positive weight.  Stops when every domain
-    is within ``tolerance`` of the total, or after ``max_steps``.
+    is within ``tolerance`` of the total.  Where ``max_steps`` do not get there, a last step is the projection of the rates onto
+    those that meet the targets; targets that no rates meet are refused.  Domains without a weight are not fitted: the steps
+    are for ``wanted_chances``, and rows most probably of such a domain have no tokens.
     """
-    k = len(weights)
+    weights = [float(w) for w in weights]
+    asked = [w for w in weights if w > 0]
+    k = len(asked)
 
     def totals(steps: list[list[float]]) -> np.ndarray:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                chances = np.asarray(batch.column("chances").flatten()).reshape(-1, k)
-                mass = (rates_after(chances, steps) * np.asarray(batch.column("tokens"))) @ chances
+                chances, other = wanted_chances(np.asarray(batch.column("chances").flatten()).reshape(-1, len(weights)), weights)
+                mass = (rates_after(chances, steps) * np.where(other, 0, np.asarray(batch.column("tokens")))) @ chances
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in mass], names=[f"m{i}" for i in range(k)])
 
         parts = table.select("tokens", "chances").mapInArrow(partial, ", ".join(f"m{i} double" for i in range(k)))
         return np.array([x or 0.0 for x in parts.agg(*[F.sum(f"m{i}") for i in range(k)]).head()])
 
-    share = np.asarray(weights, float) / sum(weights)
+    share = np.asarray(asked) / sum(asked)
     start = totals([])
     if not start.sum():
         return []
-    wanted = share * max(start[i] / share[i] for i in range(k) if share[i] > 0)
+    wanted = share * (start / share).max()
     scale = np.maximum(start, 1e-9 * start.sum())
     steps: list[list[float]] = []
     now = start
     while len(steps) < max_steps and np.abs(now - wanted).max() > tolerance * wanted.sum():
         steps.append([round(float(x), 12) for x in (now - wanted) / scale])
         now = totals(steps)
+    if np.abs(now - wanted).max() > tolerance * wanted.sum():
+        last = closing_step(table, weights, steps, wanted, np.eye(k), 1e-2 * tolerance * wanted.sum())
+        if last is None:
+            raise ValueError(f"no rates give the shares {share.tolist()}: {len(steps)} steps end at {(now / now.sum()).tolist()}")
+        steps.append([round(float(-x), 12) for x in last])
     return steps
 
 
@@ -296,14 +305,14 @@ def fit_keeping(table: DataFrame, weights: list[float], tolerance: float = 1e-6)
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: Column | None = None, keep: bool = False, **settings) -> DataFrame:
     """``doc_id, tokens, domain, chances, rate, copies`` of every row of ``docs (doc_id, text, ...)``.
 
-    ``weights``: the wanted share of tokens by domain; 0 where a domain is not named.  ``domain`` is the most
+    ``weights``: the wanted share of tokens by domain, among the domains with a weight; documents most probably of
+    another domain have the rate 0.  ``domain`` is the most
     probable one, ``chances`` the posteriors in the order of the domains' names.  ``copies`` is ``rate`` rounded up or
     down at random by a hash of the id, so that its mean is the rate.  Null and empty texts have no tokens and
     their rate follows from their posterior; a null id is rounded as an id of its own.  Without labels all
     documents form the domain ``all`` and have the rate 1.
 
-    With ``keep``, only documents whose ``domain`` has no weight go (rate 0), and every other one has a rate of at least 1;
-    the shares are those among the domains with a weight.
+    With ``keep``, every document whose ``domain`` has a weight has a rate of at least 1.
     """
     model = learn_domains(docs, labels, domain)
     table = written(domain_table(docs, model), "domains")
@@ -317,11 +326,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
         for batch in batches:
             chances = np.asarray(batch.column("chances").flatten()).reshape(-1, len(domains))
             best = pa.array([domains[i] for i in chances.argmax(axis=1)], pa.string())
-            if more is None:
-                rates = rates_after(chances, steps)
-            else:
-                own, other = wanted_chances(chances, asked)
-                rates = np.where(other, 0, 1 + np.maximum(0, own @ np.asarray(more)))
+            own, other = wanted_chances(chances, asked if fitted else [1.0] * len(domains))
+            rates = np.where(other, 0, rates_after(own, steps) if more is None else 1 + np.maximum(0, own @ np.asarray(more)))
             columns = [batch.column("doc_id"), batch.column("tokens"), best, batch.column("chances"), pa.array(rates)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "domain", "chances", "rate"])
 
