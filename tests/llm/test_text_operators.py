@@ -171,6 +171,29 @@ def test_licenses_in_windows(spark):
     assert license_scan.scan_licenses(docs(spark, []).limit(0)).collect() == []
 
 
+def test_public_licenses_are_told_apart(spark):
+    rng = random.Random(9)
+    texts = license_scan.public_licenses()
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    rows = [(i, f"{prose(rng, 20)} {text} {prose(rng, 20)}") for i, text in enumerate(texts.values())]
+    rows += [(200, gnu.format("General", 2)), (201, gnu.format("Lesser General", "2.1")), (202, gnu.format("Lesser General", 3)), (203, gnu.format("Affero General", 3))]
+    rows += [(204, f"This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. {prose(rng, 20)}"), (205, texts["GPL-3.0"])]
+    found = {}
+    for r in license_scan.scan_licenses(docs(spark, rows)).collect():
+        found.setdefault(r["doc_id"], {})[r["license"]] = r["containment"]
+    for i, name in enumerate(texts):
+        assert found[i][name] == 1.0, name
+    assert [list(found[i]) for i in range(200, 206)] == [["GPL-2.0-header"], ["LGPL-2.1-header"], ["LGPL-3.0-header"], ["AGPL-3.0-header"], ["CC-BY-SA-4.0-notice"], ["GPL-3.0"]]
+
+
+def test_license_templates_from_a_table(spark):
+    table = spark.createDataFrame([("own", "you may read this text but never sell it"), ("none", None)], "license string, text string")
+    rows = [(1, "x y You may read this text, but never sell it. z"), (2, "Released under the MIT License")]
+    assert [(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(docs(spark, rows), table).collect()] == [(1, "own")]
+    with pytest.raises(ValueError, match="different names"):
+        license_scan.scan_licenses(docs(spark, rows), table.unionAll(table))
+
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 

@@ -13,6 +13,7 @@ Jaccard similarity of at least ``c / (4 + 1 - c)``; with ``bands`` bands of one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,79 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction'
     ),
+    "MIT-whole": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software. THE "
+        'SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS "
+        "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    # The clauses that BSD-2 and BSD-3 have in common, and the third.
+    "BSD-2-clauses": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution."
+    ),
+    "BSD-3-clause": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies"
+    ),
+    "0BSD": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        'granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES'
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means"
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software"
+    ),
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
+    "MPL-1.1-header": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "EPL-1.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"
+    ),
+    "EPL-2.0-header": "are made available under the terms of the Eclipse Public License 2.0",
+    "GPL-2.0": "GNU General Public License, version 2",
+    "LGPL-2.1": "GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "GNU Affero General Public License, version 3",
 }
+# The usual GNU header names one license and version: cut so that another one's header shares less than 0.8 of it.
+for name, kind, version in (
+    ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.0", "Library General", "2"),
+    ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"),
+):
+    TEMPLATES[f"{name}-header"] = (
+        f"under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {version} of the License"
+    )
+for code, terms in (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+):
+    for version, kind in (("3.0", "Unported"), ("4.0", "International")):
+        TEMPLATES[f"CC-{code}-{version}"] = f"Licensed under CC {code} {version}"
+        wording = terms.replace("NoDerivatives", "NoDerivs") if version == "3.0" else terms
+        TEMPLATES[f"CC-{code}-{version}-notice"] = f"licensed under a Creative Commons {wording} {version} {kind} License"
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 
 
+def public_licenses() -> dict[str, str]:
+    """The notices of ``TEMPLATES`` and the whole texts in the folder ``licenses``, as ``<name>-text``."""
+    folder = Path(__file__).parent / "licenses"
+    return TEMPLATES | {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted(folder.glob("*.txt"))}
+
+
 def ordered_shingles(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes in text order and their texts; words are runs of letters and digits, A-Z as a-z."""
     word = WORD[data] if len(data) else np.zeros(0, bool)
@@ -114,14 +183,21 @@ class Templates:
         return out
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, width: int = 5, bands: int = 64, rows: int = 1) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, least: float = 0.8, width: int = 5, bands: int = 64, rows: int = 1) -> DataFrame:
     """``doc_id, license, containment, start_word, end_word, matches``: a row for each template found in a document.
 
     Whole texts of ``docs (doc_id, text, ...)`` are scanned row by row, without a shuffle.  Null and empty texts and
     documents with fewer than ``width`` words match nothing; a template needs ``width`` words.  Repeated rows give repeated
-    results; other columns are not read.
+    results; other columns are not read.  ``templates``: texts by name, or a table ``license, text`` that fits in the driver; by
+    default ``public_licenses()``.  Texts that share their wording, such as versions of one license, may match together:
+    the highest ``containment`` tells them apart.
     """
-    known = Templates({k: v for k, v in (TEMPLATES if templates is None else templates).items()}, width, bands, rows)
+    if isinstance(templates, DataFrame):
+        named = [(r["license"], r["text"]) for r in templates.select("license", "text").dropna().collect()]
+        templates = dict(named)
+        if len(templates) < len(named):
+            raise ValueError("templates need different names")
+    known = Templates(public_licenses() if templates is None else templates, width, bands, rows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
