@@ -258,6 +258,30 @@ def test_packing_of_nothing_and_of_many_queues(spark, monkeypatch):
     assert_packed([tuple(r) for r in table.collect()], packing.pack(table, TOKENIZER, size=16).collect(), 16)
 
 
+def test_shares_beyond_the_limit_of_queues(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 10), "hot" if i % 3 == 0 else None if i % 41 == 1 else f"s{i % 20}") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    monkeypatch.setattr(packing, "MAX_QUEUES", 6)
+    pieces = packing.pack(table, TOKENIZER, size=256).collect()
+    sequences = assert_packed(rows, pieces, 256)
+    total = {}
+    for p in pieces:
+        total[p["queue"]] = total.get(p["queue"], 0) + p["length"]
+    whole = sum(total.values())
+    assert len(total) > 6
+    for s in range(len(sequences) - 1):
+        assert abs(sum(p["length"] for p in sequences[s] if p["queue"] == "hot") / 256 - total["hot"] / whole) < 0.03
+    quarter = len(sequences) // 4
+    for k in range(4):
+        some = [p for s in range(k * quarter, (k + 1) * quarter) for p in sequences[s]]
+        for name in total:
+            share = sum(p["length"] for p in some if p["queue"] == name) / sum(p["length"] for p in some)
+            assert abs(share - total[name] / whole) < 0.35 * total[name] / whole, name
+    with pytest.raises(ValueError, match="weights need"):
+        packing.pack(table, TOKENIZER, weights={"hot": 1.0})
+
+
 def test_credit_beyond_64_bits():
     plan = packing.phases([10**14, 3 * 10**14 + 7], None, 4096)
     doc, start, length, place = packing.pieces(plan, np.array([1]), np.array([2 * 10**14]), np.array([9000]), 4096)

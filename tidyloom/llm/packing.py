@@ -35,6 +35,7 @@ ONE_LETTER, TWO_LETTERS = b"stmd", (b"re", b"ve", b"ll")
 
 KNOWN_WORDS = 1_500_000
 MAX_QUEUES = 1024
+BINS = 4096
 
 
 def character_kinds() -> np.ndarray:
@@ -301,31 +302,36 @@ def pack(
 
     A null text is empty and gives its ``end_id``.  A null queue is a queue of its own.  A queue holds its
     documents in the order of the tasks that encoded them, so no ids are shuffled.  Beyond 1024 different
-    values, values share queues by hash (not together with ``weights``).  Repeated rows are packed as
-    often as they occur.
+    values (not together with ``weights``), the 1023 with the most tokens have queues of their own, and the others share one, in which
+    their documents are interleaved: each value's are spread evenly over the queue.  Only their ids are shuffled.  Repeated
+    rows are packed as often as they occur.
     """
     tokens = written(token_table(docs, tokenizer_path, end_id, queue), "tokens", compression="zstd")
     names = [r["queue"] for r in tokens.select("queue").distinct().limit(MAX_QUEUES + 1).collect()]
     lane = F.coalesce("queue", F.lit(""))
+    shared = None
     if len(names) > MAX_QUEUES:
         if weights is not None:
             raise ValueError(f"weights need at most {MAX_QUEUES} queues")
-        number = F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("int")
-        lanes = [None] * MAX_QUEUES
-    else:
-        lanes = sorted(names, key=lambda x: (x is not None, x or ""))
-        number = F.lit(0) if lanes[:1] == [None] else F.lit(-1)
-        known = [x for x in lanes if x is not None]
-        if known:
-            mapped = F.create_map(*[F.lit(x) for i, n in enumerate(lanes) if n is not None for x in (n, i)])
-            number = F.when(F.col("queue").isNull(), number).otherwise(mapped[lane])
-    # Places in the queues: sums by task, then the rows' own places within their tasks.  Values that share a
-    # queue follow each other within a task.
+        most = tokens.groupBy("queue").agg(F.sum("tokens").alias("all")).orderBy(F.desc("all"), F.asc_nulls_first("queue"))
+        names = [r["queue"] for r in most.limit(MAX_QUEUES - 1).collect()]
+        shared = len(names)
+    lanes = sorted(names, key=lambda x: (x is not None, x or ""))
+    number = F.lit(0) if lanes[:1] == [None] else F.lit(-1 if shared is None else shared)
+    known = [x for x in lanes if x is not None]
+    if known:
+        mapped = F.create_map(*[F.lit(x) for i, n in enumerate(lanes) if n is not None for x in (n, i)])
+        own = mapped[lane] if shared is None else F.coalesce(F.try_element_at(mapped, lane), F.lit(shared))
+        number = F.when(F.col("queue").isNull(), number).otherwise(own)
+    elif shared is not None:
+        number = F.when(F.col("queue").isNull(), number).otherwise(F.lit(shared))
+    # Places in the queues: sums by task, then the rows' own places within their tasks.
     slim = tokens.withColumn("lane", number.cast("int"))
     sums = slim.groupBy("lane", "task", "queue").agg(F.sum("tokens").alias("all"))
-    ahead = Window.partitionBy("lane").orderBy("task", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    sums = written(sums.select("lane", "task", "queue", "all", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("ahead")), "queues")
-    totals = [0] * max(1, len(lanes))
+    ahead = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("all").over(Window.partitionBy("queue"))
+    sums = written(sums.select("lane", "task", "queue", "all", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("ahead"), total.alias("total")), "queues")
+    totals = [0] * max(1, len(lanes) + (shared is not None))
     for row in sums.groupBy("lane").agg(F.sum("all").alias("all")).collect():
         totals[row["lane"]] = row["all"]
     plan = phases(totals, None if weights is None else [weights.get(x, 0.0) for x in lanes], size)
@@ -364,5 +370,25 @@ def pack(
 
     # A row for each queue and task: Spark sends it to all executors while it is below its size limit.
     same = (F.col("t.task") == F.col("s.task")) & F.col("t.queue").eqNullSafe(F.col("s.queue"))
-    placed = slim.alias("t").join(sums.select("task", "queue", "ahead").alias("s"), same)
-    return placed.select("t.doc_id", "t.queue", "t.tokens", "t.ids", "t.wide", "t.lane", (F.col("s.ahead") + F.col("t.inner")).alias("begin")).mapInArrow(cut, schema)
+    placed = slim.alias("t").join(sums.select("task", "queue", "ahead", "total").alias("s"), same)
+    names_in = ["doc_id", "queue", "tokens", "ids", "wide", "lane", "begin"]
+    placed = placed.select("t.*", "s.total", (F.col("s.ahead") + F.col("t.inner")).alias("begin"))
+    if shared is not None:
+        placed = placed.filter(F.col("lane") != shared).select(names_in).unionAll(interleaved(placed.filter(F.col("lane") == shared)).select(names_in))
+    return placed.select(names_in).mapInArrow(cut, schema)
+
+
+def interleaved(rows: DataFrame) -> DataFrame:
+    """``rows`` of several values with their places in one queue as ``begin``, before that their places in their own.
+
+    A document's turn is the part of its value's tokens before it, moved around by a hash of the value: every stretch of
+    turns has the values in their proportions, so bins of turns are of like size, and sums of bins give their places.
+    """
+    phase = F.pmod(F.xxhash64(F.coalesce("queue", F.lit("")), F.col("queue").isNull()), F.lit(1 << 30)) / (1 << 30)
+    turn = F.pmod(F.col("begin") / F.col("total") + phase, F.lit(1.0))
+    rows = rows.withColumn("turn", turn).withColumn("bin", F.floor(F.col("turn") * BINS).cast("int"))
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy("bin").agg(F.sum("tokens").alias("all")).select("bin", F.coalesce(F.sum("all").over(upto), F.lit(0)).alias("first"))
+    before = Window.partitionBy("bin").orderBy("turn", "queue", "task", "inner").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("inside", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    return own.join(F.broadcast(bins), "bin").withColumn("begin", F.col("first") + F.col("inside"))
