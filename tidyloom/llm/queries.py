@@ -7,9 +7,11 @@ tables; ``tests/llm`` holds them against brute force, round trips and held-out r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidyloom.llm.archives import archived_pages
 from tidyloom.llm.embedding_join import near_vectors
+from tidyloom.llm.hidden_markov import hidden_markov_scores
 from tidyloom.llm.kmeans_tree import nearest_vectors
 from tidyloom.llm.language_id import identify_language
 from tidyloom.llm.license_scan import scan_licenses
@@ -74,6 +76,10 @@ def op10_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +99,7 @@ QUERIES = {
         op8_merged_transforms,
         op9_soft_membership_mixing,
         op10_byte_network_language,
+        op11_hidden_markov,
         pipeline,
     )
 }
