@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyloom.llm.archives import archived_pages
+from tidyloom.llm.collocations import collocations
 from tidyloom.llm.embedding_join import near_vectors
 from tidyloom.llm.hidden_markov import hidden_markov_scores
 from tidyloom.llm.kmeans_tree import nearest_vectors
@@ -18,6 +19,7 @@ from tidyloom.llm.license_scan import scan_licenses
 from tidyloom.llm.minhash import near_duplicates
 from tidyloom.llm.mixing import mixing_rates
 from tidyloom.llm.packing import pack
+from tidyloom.llm.periodic_runs import periodic_runs
 from tidyloom.llm.pii import pii_report
 from tidyloom.llm.suffix_dedup import remove_repeats
 
@@ -80,6 +82,37 @@ def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov_scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
 
+def op12_rollup_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def echoed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words of every tenth text (by a hash of its id) from some word on repeating with a period."""
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string"))).withColumn("g", F.expr("h div 10"))
+    chosen = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')")))
+    chosen = chosen.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    chosen = chosen.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[CAST(a + (i - a) % p AS INT)])), ' ')")
+    return chosen.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_suffix_automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(echoed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("best", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        "best.length",
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +133,8 @@ QUERIES = {
         op9_soft_membership_mixing,
         op10_byte_network_language,
         op11_hidden_markov,
+        op12_rollup_collocations,
+        op13_suffix_automaton_runs,
         pipeline,
     )
 }
@@ -161,4 +196,38 @@ ORACLES = {
         SELECT d.doc_id, d.n AS n_shingles, least(d.doc_id, coalesce(l.low, d.doc_id)) AS component_id,
             d.doc_id = least(d.doc_id, coalesce(l.low, d.doc_id)) AS kept
         FROM sizes d LEFT JOIN lowest l ON l.a = d.doc_id""",
+    "op12_rollup_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ),
+        lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        windows AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+        grams AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+            FROM windows, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+        ),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+        candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2 AND f >= 30),
+        cuts AS (
+            SELECT lang, phrase, w, a, cut, array_to_string(w[:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)
+        ),
+        scored AS (
+            SELECT c.lang, c.phrase, c.w, c.a, c.cut, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+            FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.head JOIN grams y ON y.lang = c.lang AND y.phrase = c.rest
+        ),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_phrases AS (
+            SELECT lang, a AS around, array_to_string(w[i:i + m - 1], ' ') AS phrase
+            FROM (SELECT lang, a, w, k, m, unnest(range(1, k - m + 2)) AS i FROM candidates, (VALUES (2), (3)) AS sizes(m) WHERE m < k)
+        ),
+        around AS (SELECT lang, phrase, max(around) AS around FROM inner_phrases GROUP BY ALL),
+        ranked AS (
+            SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+            FROM lowest s LEFT JOIN around o ON o.lang = s.lang AND o.phrase = s.phrase
+            WHERE o.around IS NULL OR 100::HUGEINT * o.around < 80::HUGEINT * s.a
+        )
+        SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000""",
 }
