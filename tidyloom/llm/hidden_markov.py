@@ -28,6 +28,7 @@ from tidyloom.llm.common import SPACES, text_bytes, text_parts, written
 from tidyloom.llm.words import word_array, word_edges
 
 SEGMENT = 1024
+PART_TOKENS = 1_000_000
 END = ""  # no word is empty
 
 
@@ -223,13 +224,16 @@ def word_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in text_parts(batch, "text", block_bytes):
-                data, starts = text_bytes(part.column("text"))
-                opens, closes = word_edges(data, starts, SPACES)
-                coded = pa.concat_arrays([word_array(data, opens, closes), pa.array([END])]).dictionary_encode()
-                ids = np.asarray(coded.indices)
-                upto = np.searchsorted(opens, starts)
-                ids = np.insert(ids[:-1], upto[1:], ids[-1])
-                sizes = np.diff(upto) + 1
+                found, sizes = [], []
+                for piece in text_parts(part, "text"):
+                    data, starts = text_bytes(piece.column("text"))
+                    opens, closes = word_edges(data, starts, SPACES)
+                    found.append(word_array(data, opens, closes))
+                    sizes.append(np.diff(np.searchsorted(opens, starts)))
+                coded = pa.concat_arrays([*found, pa.array([END])]).dictionary_encode()
+                ids, sizes = np.asarray(coded.indices), np.concatenate(sizes)
+                ids = np.insert(ids[:-1], np.cumsum(sizes), ids[-1])
+                sizes += 1
                 held = np.asarray(part.column("held").to_pylist(), bool)
                 counts = np.bincount(ids[~np.repeat(held, sizes)], minlength=len(coded.dictionary))
                 columns = [pa.array([block]), *(in_lists(part.column(c)) for c in ("doc_id", "held")), in_lists(sizes), pa.array([ids.astype("<i4").tobytes()]), in_lists(coded.dictionary), in_lists(counts)]
@@ -269,10 +273,20 @@ def coded_blocks(blocks: DataFrame, words: DataFrame, own: int, tied: int) -> tu
         sizes = np.asarray(left.column("sizes").combine_chunks().values)
         first = np.cumsum(sizes) - sizes
         sums = [np.add.reduceat(x[ids], first) if len(first) else x[:0] for x in ((c > 0).astype(np.int64), base, inside)]
-        kept = [left.column(c).combine_chunks() for c in ("doc_ids", "held", "sizes")]
-        return pa.Table.from_arrays([*kept, *(in_lists(x) for x in sums), pa.array([symbol[ids].astype("<i4").tobytes()])], names=names_of(CODED))
-
-    return blocks.groupBy("block").cogroup(asked.groupBy("asker")).applyInArrow(code, CODED), amount, total
+        columns = [np.asarray(left.column("doc_ids").combine_chunks().values.to_pylist(), object), np.asarray(left.column("held").combine_chunks().values.to_pylist(), bool), sizes, *sums]
+        # The recursions work on about a million tokens at a time.
+        part = first // PART_TOKENS
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        out = []
+        for a, b in zip(edges, edges[1:]):
+            low, high = int(first[a]), int(first[b - 1] + sizes[b - 1])
+            row = [*(in_lists(pa.array(x[a:b], t)) for x, t in zip(columns, types)), pa.array([symbol[ids[low:high]].astype("<i4").tobytes()])]
+            out.append(pa.Table.from_arrays(row, names=names_of(CODED)))
+        return pa.concat_tables(out)
+
+    texts = blocks.select("block", "doc_ids", "held", "sizes", "ids")
+    return texts.groupBy("block").cogroup(asked.groupBy("asker")).applyInArrow(code, CODED), amount, total
 
 
 def training_pass(coded: DataFrame, model: Model, prior: float) -> Model:
@@ -292,9 +306,9 @@ def training_pass(coded: DataFrame, model: Model, prior: float) -> Model:
                 table[symbols:-1] += moved
                 table[-1] += started
         at = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(table[at, z]) for z in range(states))], names=["symbol", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(table[at, z].astype(np.float32)) for z in range(states))], names=["symbol", *names])
 
-    sums = coded.select("held", "sizes", "symbols").mapInArrow(count, ", ".join(["symbol int", *(f"{n} double" for n in names)]))
+    sums = coded.select("held", "sizes", "symbols").mapInArrow(count, ", ".join(["symbol int", *(f"{n} float" for n in names)]))
     sums = sums.groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     table = np.zeros((symbols + states + 1, states))
     table[np.asarray(sums.column("symbol").combine_chunks())] = np.stack([np.asarray(sums.column(n).combine_chunks()) for n in names], axis=1)
@@ -311,11 +325,11 @@ def hidden_markov_scores(
     held_out: Column,
     states: int = 8,
     steps: int = 4,
-    own: int = 65_536,
+    own: int = 32_768,
     tied: int = 4_096,
     prior: float = 50.0,
     seed: int = 1,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Score every whole text of ``docs (doc_id, text, ...)`` by a model of those that are not ``held_out``.
 

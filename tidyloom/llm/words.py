@@ -32,6 +32,6 @@ def word_array(data: np.ndarray, opens: np.ndarray, closes: np.ndarray, lower: b
     if len(ends) and ends[-1] >= 1 << 31:
         raise ValueError("more than 2 GB of words in one part")
     offsets = np.concatenate(([0], ends)).astype(np.int32)
-    at = np.arange(offsets[-1]) + np.repeat(opens - offsets[:-1], sizes)
+    at = np.arange(offsets[-1], dtype=np.int32) + np.repeat((opens - offsets[:-1]).astype(np.int32), sizes)
     used = data[at]
     return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(LOWER[used] if lower else used))
