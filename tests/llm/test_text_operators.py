@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -236,54 +237,73 @@ def assert_packed(rows, pieces, size):
     return by_sequence
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 3.0, "b": 1.0}])
-def test_packing_places_each_id_once(spark, weights):
+def carried(pieces, size, share):
+    """The most that a queue's tokens up to the end of any sequence differ from ``share(queue, position)``."""
+    sent, worst = {}, 0
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        sent[p["queue"]] = sent.get(p["queue"], 0) + p["length"]
+        if p["offset"] + p["length"] == size:
+            worst = max([worst, *(abs(n - share(q, (p["sequence_id"] + 1) * size)) for q, n in sent.items())])
+    return worst
+
+
+@pytest.mark.parametrize("weights, unit, bins", [(None, 16, 1 << 20), ({"a": 3.0, "b": 1.0}, 16, 512), (None, 1024, 256)])
+def test_packing_places_each_id_once(spark, weights, unit, bins):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(80)), rng.choice(["a", "a", "a", "b", None])) for i in range(200)]
     rows += [(500, None, "b"), (501, "", "c"), (502, prose(rng, 5000), "a")]
-    table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, source string, queue int").repartition(4)
-    pieces = packing.pack(table, TOKENIZER, size=256, weights=weights).collect()
-    sequences = assert_packed(rows, pieces, 256)
-    share = lambda s: sum(p["length"] for p in sequences[s] if p["queue"] == "a") / 256
-    total = sum(p["length"] for p in pieces)
-    wanted = sum(p["length"] for p in pieces if p["queue"] == "a") / total if weights is None else 0.75
-    middle = range(len(sequences) - 1) if weights is None else range(3)
-    assert max(abs(share(s) - wanted) for s in middle) < 0.03
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, source string, queue int, bin int").repartition(4)
+    pieces = packing.pack(table, TOKENIZER, size=256, weights=weights, unit=unit, bin_tokens=bins).collect()
+    assert_packed(rows, pieces, 256)
+    total = Counter()
+    for p in pieces:
+        total[p["queue"]] += p["length"]
+    whole = sum(total.values())
+    if weights is None:
+        # Each queue is within a unit of its credit, so the stream is within as many units as there are queues.
+        assert carried(pieces, 256, lambda q, at: at * total[q] / whole) <= 2 * unit * len(total)
+    else:
+        first = [p for p in pieces if (p["sequence_id"] + 1) * 256 <= total["b"] * 4 - 1024]
+        assert first and {p["queue"] for p in first} == {"a", "b"}
+        assert carried(first, 256, lambda q, at: at * (0.75 if q == "a" else 0.25)) <= 4 * unit
 
 
-def test_packing_of_nothing_and_of_many_queues(spark, monkeypatch):
+def test_packing_of_nothing_long_units_and_repeated_rows(spark):
     table = spark.createDataFrame([(i, f"w{i} x", f"s{i % 7}") for i in range(60)], "doc_id bigint, text string, source string")
     assert packing.pack(table.limit(0), TOKENIZER).collect() == []
-    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
-    assert_packed([tuple(r) for r in table.collect()], packing.pack(table, TOKENIZER, size=16).collect(), 16)
+    assert_packed([tuple(r) for r in table.collect()], packing.pack(table, TOKENIZER, size=16, unit=1).collect(), 16)
+    twice = packing.pack(table.unionAll(table), TOKENIZER, size=16).collect()
+    once = packing.pack(table, TOKENIZER, size=16).collect()
+    assert sum(p["length"] for p in twice) == 2 * sum(p["length"] for p in once)
+    whole = packing.pack(table.withColumn("doc_id", F.lit(None).cast("bigint")), TOKENIZER, size=1 << 20).collect()
+    assert {p["doc_id"] for p in whole} == {None} and {p["length"] for p in whole} == {p["doc_tokens"] for p in whole}
 
 
-def test_shares_beyond_the_limit_of_queues(spark, monkeypatch):
+@pytest.mark.parametrize("sources", [1000, 5000])
+def test_packing_of_many_sources(spark, sources):
+    """Documents stay in long pieces, and every id has one place, with one source that holds a third of all rows."""
     rng = random.Random(3)
-    rows = [(i, prose(rng, 10), "hot" if i % 3 == 0 else None if i % 41 == 1 else f"s{i % 20}") for i in range(3000)]
-    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
-    monkeypatch.setattr(packing, "MAX_QUEUES", 6)
-    pieces = packing.pack(table, TOKENIZER, size=256).collect()
-    sequences = assert_packed(rows, pieces, 256)
-    total = {}
-    for p in pieces:
-        total[p["queue"]] = total.get(p["queue"], 0) + p["length"]
-    whole = sum(total.values())
-    assert len(total) > 6
-    for s in range(len(sequences) - 1):
-        assert abs(sum(p["length"] for p in sequences[s] if p["queue"] == "hot") / 256 - total["hot"] / whole) < 0.03
-    quarter = len(sequences) // 4
-    for k in range(4):
-        some = [p for s in range(k * quarter, (k + 1) * quarter) for p in sequences[s]]
-        for name in total:
-            share = sum(p["length"] for p in some if p["queue"] == name) / sum(p["length"] for p in some)
-            assert abs(share - total[name] / whole) < 0.35 * total[name] / whole, name
-    with pytest.raises(ValueError, match="weights need"):
-        packing.pack(table, TOKENIZER, weights={"hot": 1.0})
-
-
-def test_credit_beyond_64_bits():
-    plan = packing.phases([10**14, 3 * 10**14 + 7], None, 4096)
-    doc, start, length, place = packing.pieces(plan, np.array([1]), np.array([2 * 10**14]), np.array([9000]), 4096)
-    assert length.sum() == 9000 and (start == np.concatenate(([0], np.cumsum(length)[:-1]))).all()
-    assert (place % 4096 + length <= 4096).all() and pa.array(place).null_count == 0
+    words = [rng.choice(WORDS) for _ in range(20_000)]
+    rows = []
+    for i in range(10_000):
+        at, n = rng.randrange(10_000), 9000 if i == 77 else rng.randrange(150, 450)
+        rows.append((i, " ".join(words[at : at + n]), "hot" if i % 3 == 0 else f"s{i % sources}"))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(8)
+    pieces = packing.pack(table, TOKENIZER).toPandas()
+    by_doc = pieces.sort_values(["doc_id", "start"]).groupby("doc_id")
+    assert len(by_doc) == 10_000 and (by_doc["length"].sum() == by_doc["doc_tokens"].first()).all()
+    assert (pieces.sort_values(["doc_id", "start"]).groupby("doc_id")["length"].cumsum() - pieces["length"]).eq(pieces["start"]).all()
+    by_sequence = pieces.sort_values(["sequence_id", "offset"]).groupby("sequence_id")["length"]
+    assert (by_sequence.cumsum() - pieces["length"]).eq(pieces["offset"]).all()
+    assert (by_sequence.sum().iloc[:-1] == 4096).all()
+    assert pieces["length"].mean() > 100
+    hot = pieces[pieces["queue"] == "hot"].groupby("sequence_id")["length"].sum()
+    share = pieces[pieces["queue"] == "hot"]["length"].sum() / pieces["length"].sum()
+    quarters = np.array_split(hot.reindex(range(pieces["sequence_id"].max())).fillna(0).to_numpy(), 4)
+    assert all(abs(q.mean() / 4096 - share) < 0.05 for q in quarters)
+
+
+def test_phases_hand_a_dry_queues_credit_on():
+    plan = packing.phases({"a": 10**14, "b": 3 * 10**14 + 7, "none": 0}, {"a": 1.0, "b": 1.0})
+    assert plan == [("a", 0, 10**14, 0, 2 * 10**14), ("b", 0, 10**14, 0, 2 * 10**14), ("b", 10**14, 3 * 10**14 + 7, 2 * 10**14, 2 * 10**14 + 7)]
+    assert packing.phases({}, {"a": 1.0}) == []

@@ -1,10 +1,10 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills windows of tokens.
 
-Every source is a queue of tokens.  In each round a queue earns credit in proportion to its target, sends as
-many whole tokens as it has credit for, and carries the rest, its deficit, into the next round.  The
-sent tokens form one stream, cut every ``size`` tokens into sequences.  The state of the rounds is a
-function of the round's number, so a partition can start anywhere with the deficits carried so far, and a
-document's pieces follow from its place in its queue: nothing is shuffled by sequence.
+Every source is a queue of documents.  In each round a queue earns credit in proportion to its target, sends the
+documents (long ones in units) that its credit covers, and carries the rest, its deficit, into the next round.  What is
+sent forms one stream, cut every ``size`` tokens into sequences.  The credit after any number of rounds is known, so the
+round that sends a unit follows from its place in its queue, and a unit's place in the stream from sums over the rounds
+before: rounds are dealt out to tasks in bins, each with the sum of the bins before it.
 
 Where targets differ from what the queues hold, a queue that runs dry ends a phase, and the others share
 its credit in the next one.
@@ -17,7 +17,6 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,6 @@ SPACE, LETTER, DIGIT, MARK = range(4)
 ONE_LETTER, TWO_LETTERS = b"stmd", (b"re", b"ve", b"ll")
 
 KNOWN_WORDS = 1_500_000
-MAX_QUEUES = 1024
-BINS = 4096
 
 
 def character_kinds() -> np.ndarray:
@@ -208,81 +205,76 @@ def tokenizer_of(path: str) -> WordTokenizer:
     return shared.tokenizer[1]
 
 
-@dataclass(frozen=True)
-class Phase:
-    """Rounds in which the same queues send: queue ``q`` its tokens ``begin[q]`` to ``begin[q] + sends[q]``."""
-
-    begin: tuple[int, ...]
-    sends: tuple[int, ...]
-    rounds: int
-    offset: int
-
-
-def phases(totals: list[int], weights: list[float] | None, size: int) -> list[Phase]:
-    """Split the queues' tokens into phases; without weights all queues run dry together, in one phase."""
-    left, begin, offset, out = list(totals), [0] * len(totals), 0, []
-    share = [float(t) for t in totals] if weights is None else [float(w) for w in weights]
-    while any(left):
-        active = [q for q, n in enumerate(left) if n and share[q] > 0] or [q for q, n in enumerate(left) if n]
-        pace = {q: share[q] if share[q] > 0 else 1.0 for q in active}
-        length = min(left[q] / pace[q] for q in active)
-        sends = [0] * len(totals)
-        for q in active:
-            dry = weights is None or left[q] / pace[q] <= length * (1 + 1e-12)
-            sends[q] = left[q] if dry else min(left[q], int(length * pace[q]))
-        out.append(Phase(tuple(begin), tuple(sends), max(1, sum(sends) // size), offset))
-        offset += sum(sends)
-        left = [n - s for n, s in zip(left, sends)]
-        begin = [b + s for b, s in zip(begin, sends)]
+def phases(totals: dict[str | None, int], weights: dict[str, float]) -> list[tuple[str | None, int, int, int, int]]:
+    """``queue, begin, end, offset, width``: while the stream goes from ``offset`` on for ``width`` tokens, the queue sends
+    its tokens from ``begin`` to ``end``.
+
+    Queues with a weight send in proportion to it; one that runs dry ends a phase, and the others share its credit in the
+    next one.
+    """
+    left = {q: n for q, n in totals.items() if n > 0}
+    begin, offset, out = dict.fromkeys(left, 0), 0, []
+    while left:
+        length = min(n / weights[q] for q, n in left.items())
+        sends = {q: n if n / weights[q] <= length * (1 + 1e-12) else min(n, int(length * weights[q])) for q, n in left.items()}
+        width = sum(sends.values())
+        out += [(q, begin[q], begin[q] + n, offset, width) for q, n in sends.items() if n]
+        offset += width
+        begin = {q: begin[q] + n for q, n in sends.items()}
+        left = {q: n - sends[q] for q, n in left.items() if n > sends[q]}
     return out
 
 
-def sent_by(phase: Phase, rounds: np.ndarray) -> np.ndarray:
-    """``(rounds, queues)`` tokens sent before each round: the whole part of the credit earned so far."""
-    sends = np.array(phase.sends, dtype=object if max(phase.sends) * (phase.rounds + 1) >= 1 << 62 else np.int64)
-    rounds = rounds.astype(sends.dtype)
-    return (rounds[:, None] * sends[None, :] // phase.rounds).astype(np.int64)
-
-
-def pieces(plan: list[Phase], queue: np.ndarray, begin: np.ndarray, tokens: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Cut documents at their places in their queues: ``document, start, length, place in the stream`` of each piece."""
-    out = []
-    for phase in plan:
-        first, sends = np.asarray(phase.begin)[queue], np.asarray(phase.sends)[queue]
-        low = np.clip(begin - first, 0, sends)
-        high = np.clip(begin + tokens - first, 0, sends)
-        use = np.flatnonzero(high > low)
-        if not len(use):
-            continue
-        low, high, sends, q = low[use], high[use], sends[use], queue[use]
-        exact = [(int(a) * phase.rounds) // int(s) for a, s in zip(low, sends)]
-        start = np.array(exact, np.int64)
-        stop = np.array([-(-int(b) * phase.rounds // int(s)) for b, s in zip(high, sends)], np.int64)
-        start, stop = np.maximum(start - 1, 0), np.minimum(stop + 1, phase.rounds)
-        count = stop - start
-        owner = np.repeat(np.arange(len(use)), count)
-        turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + start[owner]
-        turns, at = np.unique(np.concatenate((turn, turn + 1)), return_inverse=True)
-        sent = sent_by(phase, turns)
-        before, after = sent[at[: len(turn)]], sent[at[len(turn) :]]
-        lane = q[owner]
-        rows = np.arange(len(turn))
-        here, there = before[rows, lane], after[rows, lane]
-        ahead = np.concatenate((np.zeros((len(rows), 1), np.int64), np.cumsum(after - before, axis=1)), axis=1)[rows, lane]
-        a, b = np.maximum(low[owner], here), np.minimum(high[owner], there)
-        full = b > a
-        place = phase.offset + before.sum(axis=1) + ahead + a - here
-        out.append((use[owner][full], (a + np.asarray(phase.begin)[lane] - begin[use][owner])[full], (b - a)[full], place[full]))
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    doc, start, length, place = (np.concatenate(x) for x in zip(*out))
-    # A piece ends where its sequence ends.
-    parts = (place % size + length + size - 1) // size
-    owner = np.repeat(np.arange(len(doc)), parts)
-    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    lead = np.where(k == 0, 0, k * size - (place % size)[owner])
-    rest = np.minimum(length[owner] - lead, size - (place[owner] + lead) % size)
-    return doc[owner], start[owner] + lead, rest, place[owner] + lead
+def timed_units(tokens: DataFrame, unit: int, size: int, weights: dict[str, float] | None, bin_tokens: int) -> DataFrame:
+    """The units of all documents with the round that sends them.
+
+    A unit is a document, or ``unit`` tokens of a longer one.  Its queue sends it in the round in which the credit has
+    earned a share of it that a hash of the queue fixes, the same for all its units: so the queue is never further than a unit
+    from its credit, and queues of few documents do not all send them in the same round.
+    """
+    spark = tokens.sparkSession
+    # Places in the queues: sums by task, then the rows' own places within their tasks.
+    sums = tokens.groupBy("queue", "task").agg(F.sum("tokens").alias("all"))
+    ahead = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("all").over(Window.partitionBy("queue"))
+    sums = written(sums.select("queue", "task", "all", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("ahead"), total.alias("total")), "queues")
+    same = (F.col("t.task") == F.col("s.task")) & F.col("t.queue").eqNullSafe(F.col("s.queue"))
+    placed = tokens.alias("t").join(sums.select("queue", "task", "ahead", "total").alias("s"), same)
+    placed = placed.select("t.doc_id", "t.queue", "t.ids", "t.wide", F.col("t.tokens").alias("doc_tokens"), "s.total", (F.col("s.ahead") + F.col("t.inner")).alias("place"))
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(doc_tokens - 1) div {unit}")))
+    units = placed.select("*", number.alias("k")).withColumn("start", F.col("k") * unit)
+    units = units.withColumn("length", F.least(F.lit(unit).cast("bigint"), F.col("doc_tokens") - F.col("start"))).withColumn("place", F.col("place") + F.col("start"))
+    share = F.pmod(F.xxhash64("queue"), F.lit(1 << 30)) / (1 << 30)
+    units = units.withColumn("earned", F.col("place") + share * F.col("length"))
+    if weights is None:
+        stream = sums.agg(F.sum("all")).head()[0] or 0
+        units = units.withColumn("time", F.col("earned") / F.col("total") * stream)
+    else:
+        named = {q: float(w) for q, w in weights.items() if w > 0}
+        rows = sums.filter(F.col("queue").isin(list(named))).groupBy("queue").agg(F.sum("all").alias("all")).collect()
+        plan = phases({r["queue"]: r["all"] for r in rows}, named)
+        weighed = sum(r["all"] for r in rows)
+        rest = (sums.agg(F.sum("all")).head()[0] or 0) - weighed
+        plan = spark.createDataFrame(plan, "queue string, first bigint, stop bigint, offset bigint, width bigint").alias("p")
+        here = (F.col("u.queue") == F.col("p.queue")) & (F.col("u.earned") >= F.col("p.first")) & (F.col("u.earned") < F.col("p.stop"))
+        units = units.alias("u").join(plan, here, "left")
+        inside = F.col("p.offset") + (F.col("u.earned") - F.col("p.first")) / (F.col("p.stop") - F.col("p.first")) * F.col("p.width")
+        behind = F.lit(weighed) + F.col("u.earned") / F.col("u.total") * rest
+        units = units.select("u.*", F.coalesce(inside, behind).alias("time"))
+    round_of = F.floor(F.col("time") / size).cast("bigint")
+    return units.withColumn("round", round_of).withColumn("bin", F.expr(f"round div {max(1, bin_tokens // size)}"))
+
+
+def offsets(units: DataFrame) -> DataFrame:
+    """``bin, first``: the tokens of the bins before it; two levels, so that no task reads all bins of a long stream."""
+    bins = units.groupBy("bin").agg(F.sum("length").alias("all")).withColumn("high", F.expr("bin div 10000"))
+    before = Window.orderBy("high").rowsBetween(Window.unboundedPreceding, -1)
+    highs = bins.groupBy("high").agg(F.sum("all").alias("all")).select("high", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("high").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    return bins.join(highs, "high").select("bin", (F.col("base") + F.coalesce(F.sum("all").over(within), F.lit(0))).alias("first"))
+
+
+PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, queue string, padded_length bigint"
 
 
 def pack(
@@ -292,103 +284,65 @@ def pack(
     size: int = 4096,
     queue: str = "source",
     weights: dict[str, float] | None = None,
+    unit: int = 1024,
+    bin_tokens: int = 1 << 20,
 ) -> DataFrame:
     """Pack every document of ``docs (doc_id, text, <queue>, ...)``; a row per piece.
 
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, padded_length``.  Each id, and
     ``end_id`` after each text, lies in exactly one piece, and all sequences but the last are full; the last is
-    padded to the next power of two.  Every ``size`` tokens follow ``weights`` (tokens by queue, relative; by
-    default what the queues hold) within one token a queue, as long as the queues named last.
+    padded to the next power of two.  In each round of ``size`` tokens a queue earns credit by its weight (tokens by queue,
+    relative; by default what the queues hold, so that all run dry together) and sends the documents, or units of ``unit`` tokens of
+    longer ones, that its credit covers; the rest is carried on, over windows and partitions.  What a queue has sent
+    after any round differs from its credit by less than ``unit`` tokens.  Queues without a weight follow the others, in the
+    proportions of what they hold.  There may be any number of queues.
 
     A null text is empty and gives its ``end_id``.  A null queue is a queue of its own.  A queue holds its
-    documents in the order of the tasks that encoded them, so no ids are shuffled.  Beyond 1024 different
-    values (not together with ``weights``), the 1023 with the most tokens have queues of their own, and the others share one, in which
-    their documents are interleaved: each value's are spread evenly over the queue.  Only their ids are shuffled.  Repeated
-    rows are packed as often as they occur.
+    documents in the order of the tasks that encoded them.  Repeated rows are packed as often as they occur, and ids
+    need not differ.  An empty table gives no rows.  Units of about ``bin_tokens`` tokens of the stream are ordered together.
     """
     tokens = written(token_table(docs, tokenizer_path, end_id, queue), "tokens", compression="zstd")
-    names = [r["queue"] for r in tokens.select("queue").distinct().limit(MAX_QUEUES + 1).collect()]
-    lane = F.coalesce("queue", F.lit(""))
-    shared = None
-    if len(names) > MAX_QUEUES:
-        if weights is not None:
-            raise ValueError(f"weights need at most {MAX_QUEUES} queues")
-        most = tokens.groupBy("queue").agg(F.sum("tokens").alias("all")).orderBy(F.desc("all"), F.asc_nulls_first("queue"))
-        names = [r["queue"] for r in most.limit(MAX_QUEUES - 1).collect()]
-        shared = len(names)
-    lanes = sorted(names, key=lambda x: (x is not None, x or ""))
-    number = F.lit(0) if lanes[:1] == [None] else F.lit(-1 if shared is None else shared)
-    known = [x for x in lanes if x is not None]
-    if known:
-        mapped = F.create_map(*[F.lit(x) for i, n in enumerate(lanes) if n is not None for x in (n, i)])
-        own = mapped[lane] if shared is None else F.coalesce(F.try_element_at(mapped, lane), F.lit(shared))
-        number = F.when(F.col("queue").isNull(), number).otherwise(own)
-    elif shared is not None:
-        number = F.when(F.col("queue").isNull(), number).otherwise(F.lit(shared))
-    # Places in the queues: sums by task, then the rows' own places within their tasks.
-    slim = tokens.withColumn("lane", number.cast("int"))
-    sums = slim.groupBy("lane", "task", "queue").agg(F.sum("tokens").alias("all"))
-    ahead = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("all").over(Window.partitionBy("queue"))
-    sums = written(sums.select("lane", "task", "queue", "all", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("ahead"), total.alias("total")), "queues")
-    totals = [0] * max(1, len(lanes) + (shared is not None))
-    for row in sums.groupBy("lane").agg(F.sum("all").alias("all")).collect():
-        totals[row["lane"]] = row["all"]
-    plan = phases(totals, None if weights is None else [weights.get(x, 0.0) for x in lanes], size)
-    stream = sum(totals)
+    units = timed_units(tokens, unit, size, weights, bin_tokens)
+    first = offsets(units)
+    stream = tokens.agg(F.sum("tokens")).head()[0] or 0
     tail = stream % size
-    last = (stream // size, 1 << max(0, int(tail - 1).bit_length())) if tail else (-1, size)
+    last, padded = stream // size, 1 << max(0, int(tail - 1).bit_length()) if tail else size
 
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, queue string, padded_length bigint"
-    names_out = [c.split()[0] for c in schema.split(", ")]
+    wide = F.when(F.col("wide"), 4).otherwise(2)
+    ids = F.expr("substring(ids, CAST(start * bytes + 1 AS INT), CAST(length * bytes AS INT))")
+    slim = units.withColumn("bytes", wide).select("bin", "round", "queue", "place", "doc_id", "start", "length", ids.alias("ids"), "bytes", "doc_tokens")
+    ordered = Window.partitionBy("bin").orderBy("round", "queue", "place").rowsBetween(Window.unboundedPreceding, -1)
+    slim = slim.withColumn("inside", F.coalesce(F.sum("length").over(ordered), F.lit(0)))
+    sent = slim.join(first, "bin").withColumn("at", F.col("first") + F.col("inside"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                amount = np.asarray(part.column("tokens"))
-                doc, start, length, place = pieces(plan, np.asarray(part.column("lane")).astype(np.int64), np.asarray(part.column("begin")), amount, size)
-                wide = np.asarray(part.column("wide").to_pylist())
-                views = [memoryview(np.frombuffer(x.as_buffer(), "<u4" if w else "<u2").astype("<u4")).cast("B") for x, w in zip(part.column("ids"), wide)]
-                crc = [zlib.crc32(views[d][4 * s : 4 * (s + n)]) for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist())]
-                sequence = place // size
-                doc_index = pa.array(doc)
+            for part in text_parts(batch, "ids"):
+                at, length, start = (np.asarray(part.column(c)) for c in ("at", "length", "start"))
+                # A piece ends where its sequence ends.
+                parts = (at % size + length + size - 1) // size
+                owner = np.repeat(np.arange(len(at)), parts)
+                k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                lead = np.where(k == 0, 0, k * size - (at % size)[owner])
+                amount = np.minimum(length[owner] - lead, size - (at[owner] + lead) % size)
+                place = at[owner] + lead
+                kinds = np.asarray(part.column("bytes"))
+                views = [memoryview(np.frombuffer(x.as_buffer(), "<u4" if b == 4 else "<u2").astype("<u4")).cast("B") for x, b in zip(part.column("ids"), kinds)]
+                crc = [zlib.crc32(views[d][4 * s : 4 * (s + n)]) for d, s, n in zip(owner.tolist(), lead.tolist(), amount.tolist())]
+                rows = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").take(doc_index),
-                        pa.array(start),
-                        pa.array(length),
+                        part.column("doc_id").take(rows),
+                        pa.array(start[owner] + lead),
+                        pa.array(amount),
                         pa.array(crc, pa.int64()),
-                        pa.array(amount[doc]),
-                        pa.array(sequence),
+                        part.column("doc_tokens").take(rows),
+                        pa.array(place // size),
                         pa.array(place % size),
-                        part.column("queue").take(doc_index),
-                        pa.array(np.where(sequence == last[0], last[1], size)),
+                        part.column("queue").take(rows),
+                        pa.array(np.where(place // size == last, padded, size)),
                     ],
-                    names=names_out,
+                    names=[c.split()[0] for c in PIECE.split(", ")],
                 )
 
-    # A row for each queue and task: Spark sends it to all executors while it is below its size limit.
-    same = (F.col("t.task") == F.col("s.task")) & F.col("t.queue").eqNullSafe(F.col("s.queue"))
-    placed = slim.alias("t").join(sums.select("task", "queue", "ahead", "total").alias("s"), same)
-    names_in = ["doc_id", "queue", "tokens", "ids", "wide", "lane", "begin"]
-    placed = placed.select("t.*", "s.total", (F.col("s.ahead") + F.col("t.inner")).alias("begin"))
-    if shared is not None:
-        placed = placed.filter(F.col("lane") != shared).select(names_in).unionAll(interleaved(placed.filter(F.col("lane") == shared)).select(names_in))
-    return placed.select(names_in).mapInArrow(cut, schema)
-
-
-def interleaved(rows: DataFrame) -> DataFrame:
-    """``rows`` of several values with their places in one queue as ``begin``, before that their places in their own.
-
-    A document's turn is the part of its value's tokens before it, moved around by a hash of the value: every stretch of
-    turns has the values in their proportions, so bins of turns are of like size, and sums of bins give their places.
-    """
-    phase = F.pmod(F.xxhash64(F.coalesce("queue", F.lit("")), F.col("queue").isNull()), F.lit(1 << 30)) / (1 << 30)
-    turn = F.pmod(F.col("begin") / F.col("total") + phase, F.lit(1.0))
-    rows = rows.withColumn("turn", turn).withColumn("bin", F.floor(F.col("turn") * BINS).cast("int"))
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = rows.groupBy("bin").agg(F.sum("tokens").alias("all")).select("bin", F.coalesce(F.sum("all").over(upto), F.lit(0)).alias("first"))
-    before = Window.partitionBy("bin").orderBy("turn", "queue", "task", "inner").rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("inside", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    return own.join(F.broadcast(bins), "bin").withColumn("begin", F.col("first") + F.col("inside"))
+    return sent.select("doc_id", "start", "length", "ids", "bytes", "doc_tokens", "queue", "at").mapInArrow(cut, PIECE)
