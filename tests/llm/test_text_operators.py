@@ -118,6 +118,18 @@ def test_pii_report_and_redaction(spark):
     assert pii.pii_report(docs(spark, []).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("cue", [*pii.STREET_KINDS, *(c.capitalize() for c in pii.STREET_CUES), *pii.STREET_CUES, "ST"])
+def test_every_kind_of_street_is_a_cue(cue):
+    found = pii.automaton()
+    assert pii.redact(f"lives at 12 Old Oak {cue}. Then", found) == "lives at <address>. Then"
+    for other in (f"12 old oak {cue}", f"Old Oak {cue}", f"12 Old Oak {cue}x", f"12 {cue}"):
+        assert pii.redact(other, found) == other
+
+
+def test_small_words_are_no_cues():
+    assert pii.redact("in 2019 Apple way ahead, 3 Months drive", pii.automaton()) == "in 2019 Apple way ahead, 3 Months drive"
+
+
 LANGUAGES = {"aa": "kolu tami resa", "bb": "strü wölk gläß", "cc": "ñandú caño peña"}
 
 
@@ -139,6 +151,37 @@ def test_network_on_held_out_rows(spark):
     assert language_id.identify_language(table.limit(0)).collect() == []
 
 
+def test_posteriors_equal_a_plain_convolution():
+    """Windows, filters at every place, the greatest answers, a dense layer, and means weighted by bytes."""
+    rng = np.random.default_rng(3)
+    network = language_id.train([b"abca", b"cddc", "éa".encode()] * 9, ["x", "y", "z"] * 9, steps=30, window=16, crop=16)
+    for size in (0, 1, 2, 13, 14, 15, 16, 17, 40):
+        text = bytes(rng.integers(1, 256, size).astype(np.uint8))
+        padded = text + bytes(64)
+        out, used = np.zeros(3), 0
+        for at in range(0, size + 3, 16):
+            maps = [[sum(network.filters[j][padded[at + i + j]][f] for j in range(4)) for f in range(network.filters.shape[2])] for i in range(16)]
+            hidden = np.maximum(np.max(maps, axis=0) + network.bias, 0)
+            scores = hidden @ network.dense + network.offset
+            chance = np.exp(scores - scores.max())
+            weight = min(max(size - at, 0), 16)
+            out += chance / chance.sum() * weight
+            used += weight
+        found = language_id.posteriors(network, np.frombuffer(text, np.uint8), np.array([0, size]))[0]
+        np.testing.assert_allclose(found, out / max(used, 1), atol=1e-5)
+
+
+def test_too_many_languages_are_refused_and_repeated_rows_are_told_alike(spark):
+    rows = [(i, f"kolu{i % 5} tami", f"l{i % 5}") for i in range(60)] * 2
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="more than 4 different languages"):
+        language_id.identify_language(table, max_languages=4)
+    told = {}
+    for r in language_id.identify_language(table, steps=20).collect():
+        told.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
+    assert all(len(x) == 2 and x[0] == x[1] for x in told.values())
+
+
 def test_posteriors_do_not_depend_on_neighbours():
     network = language_id.train([b"abab", b"cdcd"] * 20, ["x", "y"] * 20, steps=50, window=16, crop=16)
     texts = [b"ab" * 20, b"", b"cd" * 8, b"a" * 16, b"d"]

@@ -34,6 +34,14 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame, name: str = "links", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` of every node of ``edges (a, b)``; a component is named by its smallest node.
 

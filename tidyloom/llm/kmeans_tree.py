@@ -97,11 +97,11 @@ def leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_bins(tree: Tree, query: np.ndarray, most: int) -> list[int]:
-    """The first ``most`` leaves of a best-bin-first traversal."""
+def best_bins(tree: Tree, query: np.ndarray, visits: int, rows: np.ndarray, least: int) -> list[int]:
+    """The leaves of a best-bin-first traversal: ``visits`` of them, and more until they hold ``least`` of ``rows`` by leaf."""
     gaps = ((tree.centres - query) ** 2).sum(axis=1).tolist()
-    queue, out = [(0.0, 0)], []
-    while queue and len(out) < most:
+    queue, out, held = [(0.0, 0)], [], 0
+    while queue and (len(out) < visits or held < least):
         node = heapq.heappop(queue)[1]
         while tree.children[node]:
             kids = sorted(tree.children[node], key=gaps.__getitem__)
@@ -109,6 +109,7 @@ def best_bins(tree: Tree, query: np.ndarray, most: int) -> list[int]:
                 heapq.heappush(queue, (gaps[kid], kid))
             node = kids[0]
         out.append(int(tree.leaf[node]))
+        held += int(rows[out[-1]])
     return out
 
 
@@ -150,11 +151,11 @@ def exact_leaves(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int
     return out
 
 
-def widened(tree: Tree, queries: list[tuple[int, list[float]]], truth: dict[int, list[int]], recall: float) -> int:
+def widened(tree: Tree, queries: list[tuple[int, list[float]]], truth: dict[int, list[int]], recall: float, rows: np.ndarray) -> int:
     """The fewest leaf visits, in steps of an eighth, with which the queries find ``recall`` of their neighbours."""
     places = []
     for q, vector in queries:
-        order = {leaf: i for i, leaf in enumerate(best_bins(tree, np.asarray(vector), tree.leaves))}
+        order = {leaf: i for i, leaf in enumerate(best_bins(tree, np.asarray(vector), tree.leaves, rows, 0))}
         places += [order[leaf] for leaf in truth[q]]
     visits = 1
     while visits < tree.leaves and np.mean(np.asarray(places) < visits) < recall:
@@ -177,7 +178,10 @@ def nearest_vectors(
 
     Queries are the rows for which ``is_query`` holds; every other row, and every row but the query's
     own, is a candidate.  Ties go to the smaller id.  Vectors that are null, empty, zero, or hold null or non-finite components
-    take no part, nor do rows with a null id or of another length than most rows.  Ids must be unique.
+    take no part, nor do rows with a null id or of another length than most rows (of the smaller, if two are as frequent).
+    Rows that share an id are candidates each by itself, so an id may be found more than once; if they ask, the smallest of their vectors
+    does, and none of them is its candidate.  Every query gets ``k`` rows, or all candidates if there are fewer: it goes on through
+    the leaves until it has seen as many.  An empty table, or one without queries, gives no rows; other columns are not read.
 
     The tree is fitted on about ``sample`` rows drawn by hash, has about a leaf for ``leaf_rows`` rows and at most
     ``max_leaves``, and goes to every task.  ``calibration`` queries at most, drawn by hash, are searched exactly
@@ -210,15 +214,20 @@ def nearest_vectors(
 
     marked = ready.withColumn("asked", F.coalesce(condition, F.lit(False)))
     index = written(marked.mapInArrow(put, "vec_id bigint, vector array<double>, asked boolean, leaf bigint"), "index")
-    asked = index.filter("asked").select("vec_id", "vector")
+    asked = index.filter("asked").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    shared = index.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").cast("int").alias("own"))
+    asked = written(asked.join(shared, "vec_id"), "queries")
+    held = np.zeros(tree.leaves, np.int64)
+    for r in index.groupBy("leaf").count().collect():  # one row for each leaf
+        held[r["leaf"]] = r["count"]
     amount = asked.count()
     chosen = [(r[1], r[2]) for r in drawn(asked, calibration, amount)]
-    visits = widened(tree, chosen, exact_leaves(index.select("vec_id", "vector", "leaf"), chosen, k), recall) if chosen else 1
+    visits = widened(tree, chosen, exact_leaves(index.select("vec_id", "vector", "leaf"), chosen, k), recall, held) if chosen else 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column("vector").flatten()).reshape(batch.num_rows, -1)
-            bins = [best_bins(tree, q, visits) for q in x]
+            bins = [best_bins(tree, q, visits, held, k + own) for q, own in zip(x, batch.column("own").to_pylist())]
             owner = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(owner)), pa.array([b for row in bins for b in row], pa.int64())], names=["vec_id", "leaf"])
 
@@ -229,7 +238,7 @@ def nearest_vectors(
     plan = F.broadcast(sizes.join(asks, "leaf"))
     keys = ["leaf", "cut", "turn"]
     candidates = index.join(plan, "leaf").select("vec_id", "vector", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
-    walkers = routes.join(plan, "leaf").join(asked, "vec_id").select("vec_id", "vector", "leaf", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int").alias("turn"))
+    walkers = routes.join(plan, "leaf").join(asked.select("vec_id", "vector"), "vec_id").select("vec_id", "vector", "leaf", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int").alias("turn"))
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidyloom.llm.common import text_bytes, text_parts
+from tidyloom.llm.common import free_name, text_bytes, text_parts
 
 UNDETERMINED = "und"
 
@@ -140,20 +140,22 @@ def train_on(docs: DataFrame, per_language: int = 1200, max_languages: int = 200
     """Train on a bounded sample: at most about ``per_language`` rows of each ``lang``, drawn by hash.
 
     Each row gives ``sample_chars`` characters from a place drawn by hash.  Only ``text`` and ``lang`` of
-    documents that are not held out are read; the ``max_languages`` most frequent values are learned.
-    No labelled row: None.
+    documents that are not held out are read.  More than ``max_languages`` different values are refused, none is left
+    out.  No labelled row: None.  Rows that share an id are drawn together or not at all; every one that is drawn counts.
     """
     known = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = known.groupBy("lang").count().limit(max_languages + 1).collect()
     if not counts:
         return None
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} different languages")
+    counts.sort(key=lambda r: r["lang"])
     parts = 1 << 30
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(parts, int(parts * per_language / r["count"]) + 1))])
     draw = F.xxhash64("doc_id", F.lit("language"))
     start = F.pmod(F.shiftright(draw, 32), F.greatest(F.length("text") - sample_chars, F.lit(1))) + 1
     sample = (
-        known.filter(F.col("lang").isin([r["lang"] for r in counts]))
-        .filter(F.pmod(draw, F.lit(parts)) < share[F.col("lang")])
+        known.filter(F.pmod(draw, F.lit(parts)) < share[F.col("lang")])
         .filter(F.col("text").rlike(r"\p{L}"))
         .select("lang", F.substring(F.col("text"), start, F.lit(sample_chars)).alias("text"), draw.alias("draw"))
     )
@@ -165,17 +167,19 @@ def train_on(docs: DataFrame, per_language: int = 1200, max_languages: int = 200
 def with_language(docs: DataFrame, network: ByteNetwork | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the language and score of each whole text in columns ``names`` (replacing such columns).
 
-    ``und`` and 0.0 for a null text, one without a letter, or without a network.  Row-wise: no shuffle.
+    ``und`` and 0.0 for a null text, one without a letter, or without a network.  Of equally likely languages the first by name.
+    Row-wise: no shuffle; repeated rows are told each by itself, and an empty table gives no rows.
     """
     kept = [f for f in docs.schema if f.name.lower() not in names]
     schema = T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    told = free_name(docs, "__letters")
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(told))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.pair_tables() if network else []
         for batch in batches:
             for part in text_parts(batch, "text"):
-                letters = np.asarray(part.column("__letters").to_pylist(), dtype=bool)
+                letters = np.asarray(part.column(told).to_pylist(), dtype=bool)
                 if network and letters.any():
                     data, starts = text_bytes(part.column("text"))
                     chances = posteriors(network, data, starts, tables)

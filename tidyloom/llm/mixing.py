@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyloom.llm.common import text_bytes, text_parts, word_hashes, written
+from tidyloom.llm.common import free_name, text_bytes, text_parts, word_hashes, written
 
 BITS = 15
 SHAPES = 5
@@ -165,50 +165,81 @@ def domain_table(docs: DataFrame, model: DomainModel | None) -> DataFrame:
     return source.mapInArrow(describe, "doc_id bigint, tokens bigint, chances array<double>")
 
 
-def rates_after(chances: np.ndarray, steps: list[list[float]]) -> np.ndarray:
-    """All rates start at 1; each step moves them against the gradient and projects them onto 0 and more."""
+def rates_after(chances: np.ndarray, steps: list[list[float]], floor: float = 0.0) -> np.ndarray:
+    """All rates start at 1; each step moves them against the gradient and projects them onto ``floor`` and more."""
     rates = np.ones(len(chances))
     for step in steps:
-        rates = np.maximum(0, rates - chances @ np.asarray(step))
+        rates = np.maximum(floor, rates - chances @ np.asarray(step))
     return rates
 
 
-def fit_rates(table: DataFrame, weights: list[float], max_steps: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
+def summed(table: DataFrame, columns: list[str], sums, size: int) -> np.ndarray:
+    """The sums over all rows of the ``size`` numbers that ``sums(batch)`` gives; one row reaches the driver."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            out += sums(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(out)], names=["place", "value"])
+
+    rows = table.select(*columns).mapInArrow(partial, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(size)
+    for row in rows:
+        out[row["place"]] = row["value"]
+    if not np.isfinite(out).all():
+        raise ArithmeticError("sums over the documents are not finite")
+    return out
+
+
+def weighed(batch: pa.RecordBatch, weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's chances among the domains with a weight, and its tokens that count."""
+    chances, other = wanted_chances(np.asarray(batch.column("chances").flatten()).reshape(-1, len(weights)), weights)
+    return chances, np.where(other, 0, np.asarray(batch.column("tokens")))
+
+
+def fit_rates(table: DataFrame, weights: list[float], max_steps: int = 40, tolerance: float = 1e-4, keep: bool = False) -> list[list[float]]:
     """The steps that lead to rates whose expected domain tokens are in the proportions of ``weights``.
 
-    Least squares of the domains' errors relative to their tokens at rate 1, for which a step of 1 cannot overshoot.
-    The total is the smallest that thins no domain with a positive weight.  Stops when every domain
+    Projected gradient on the least squares of the domains' errors relative to their tokens at rate 1, for which a step of 1
+    cannot overshoot.  The total is the smallest that thins no domain with a positive weight; with ``keep`` every rate stays
+    at least 1 and the total is in each step the one that fits the masses best.  Stops when every domain
     is within ``tolerance`` of the total.  Where ``max_steps`` do not get there, a last step is the projection of the rates onto
     those that meet the targets; targets that no rates meet are refused.  Domains without a weight are not fitted: the steps
     are for ``wanted_chances``, and rows most probably of such a domain have no tokens.
     """
     weights = [float(w) for w in weights]
     asked = [w for w in weights if w > 0]
-    k = len(asked)
+    k, floor = len(asked), float(keep)
 
     def totals(steps: list[list[float]]) -> np.ndarray:
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                chances, other = wanted_chances(np.asarray(batch.column("chances").flatten()).reshape(-1, len(weights)), weights)
-                mass = (rates_after(chances, steps) * np.where(other, 0, np.asarray(batch.column("tokens")))) @ chances
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in mass], names=[f"m{i}" for i in range(k)])
+        def mass(batch: pa.RecordBatch) -> np.ndarray:
+            chances, tokens = weighed(batch, weights)
+            return (rates_after(chances, steps, floor) * tokens) @ chances
 
-        parts = table.select("tokens", "chances").mapInArrow(partial, ", ".join(f"m{i} double" for i in range(k)))
-        return np.array([x or 0.0 for x in parts.agg(*[F.sum(f"m{i}") for i in range(k)]).head()])
+        return summed(table, ["tokens", "chances"], mass, k)
 
     share = np.asarray(asked) / sum(asked)
     start = totals([])
     if not start.sum():
         return []
-    wanted = share * (start / share).max()
     scale = np.maximum(start, 1e-9 * start.sum())
+
+    def targets(now: np.ndarray) -> np.ndarray:
+        if not keep:
+            return share * (start / share).max()
+        fit = share / scale**2
+        return share * max((fit @ now) / (fit @ share), start.sum())
+
     steps: list[list[float]] = []
     now = start
-    while len(steps) < max_steps and np.abs(now - wanted).max() > tolerance * wanted.sum():
-        steps.append([round(float(x), 12) for x in (now - wanted) / scale])
+    while len(steps) < max_steps and np.abs(now - targets(now)).max() > tolerance * now.sum():
+        steps.append([round(float(x), 12) for x in (now - targets(now)) / scale])
         now = totals(steps)
+    wanted = targets(now)
     if np.abs(now - wanted).max() > tolerance * wanted.sum():
-        last = closing_step(table, weights, steps, wanted, np.eye(k), 1e-2 * tolerance * wanted.sum())
+        # With `keep` the total stays free: along the basis the masses are in proportion, across it lies their total.
+        basis = np.linalg.svd(share[None, :])[2][1:].T if keep else np.eye(k)
+        last = closing_step(table, weights, steps, wanted - floor * start, basis, 1e-2 * tolerance * wanted.sum(), floor)
         if last is None:
             raise ValueError(f"no rates give the shares {share.tolist()}: {len(steps)} steps end at {(now / now.sum()).tolist()}")
         steps.append([round(float(-x), 12) for x in last])
@@ -225,31 +256,23 @@ def wanted_chances(chances: np.ndarray, weights: list[float]) -> tuple[np.ndarra
     return own / np.where(other, np.maximum(own.sum(axis=1), 1e-9), own.sum(axis=1))[:, None], other
 
 
-def closing_step(table: DataFrame, weights: list[float], steps: list[list[float]] | None, wanted: np.ndarray, basis: np.ndarray, error: float, max_passes: int = 60) -> np.ndarray | None:
+def closing_step(table: DataFrame, weights: list[float], steps: list[list[float]], wanted: np.ndarray, basis: np.ndarray, error: float, floor: float = 0.0, max_passes: int = 60) -> np.ndarray | None:
     """The ``m`` in the span of ``basis`` for which ``max(0, rates + chances @ m)`` moves the masses to ``wanted`` along ``basis``.
 
-    ``rates`` are those after ``steps``, or 0 without.  Newton's method on the dual of the projection, convex and quadratic in
+    ``rates`` are those after ``steps`` above ``floor``.  Newton's method on the dual of the projection, convex and quadratic in
     pieces: a pass gives its value, gradient and Hessian.  None where the masses are out of reach: the dual has no least value then.
     """
     k = len(wanted)
 
     def sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(1 + k + k * k)
-            for batch in batches:
-                chances, other = wanted_chances(np.asarray(batch.column("chances").flatten()).reshape(-1, len(weights)), weights)
-                tokens = np.where(other, 0, np.asarray(batch.column("tokens")))
-                rates = (0 if steps is None else rates_after(chances, steps)) + chances @ at
-                moved = np.maximum(0, rates) * tokens
-                out[0] += (moved * rates).sum() / 2
-                out[1 : k + 1] += moved @ chances
-                out[k + 1 :] += (chances.T @ (chances * (tokens * (rates >= 0))[:, None])).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], names=["place", "value"])
-
-        rows = table.select("tokens", "chances").mapInArrow(partial, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        out = np.zeros(1 + k + k * k)
-        for row in rows:
-            out[row["place"]] = row["value"]
+        def parts(batch: pa.RecordBatch) -> np.ndarray:
+            chances, tokens = weighed(batch, weights)
+            rates = rates_after(chances, steps, floor) - floor + chances @ at
+            moved = np.maximum(0, rates) * tokens
+            hessian = chances.T @ (chances * (tokens * (rates >= 0))[:, None])
+            return np.concatenate(([(moved * rates).sum() / 2], moved @ chances, hessian.ravel()))
+
+        out = summed(table, ["tokens", "chances"], parts, 1 + k + k * k)
         return out[0] - wanted @ at, basis.T @ (out[1 : k + 1] - wanted), basis.T @ out[k + 1 :].reshape(k, k) @ basis
 
     now = np.zeros(k)
@@ -261,6 +284,8 @@ def closing_step(table: DataFrame, weights: list[float], steps: list[list[float]
         move = basis @ np.linalg.lstsq(curve + ridge, -gradient, rcond=None)[0]
         slope = gradient @ (basis.T @ move)
         length = 1.0
+        if not np.isfinite(move).all() or np.abs(now + move).max() > 1e9:
+            return None  # the dual falls for ever
         while slope < 0 and length > 1e-6:
             next_ = now + length * move
             found = sums(next_)
@@ -273,65 +298,48 @@ def closing_step(table: DataFrame, weights: list[float], steps: list[list[float]
     return None
 
 
-def fit_keeping(table: DataFrame, weights: list[float], tolerance: float = 1e-6) -> list[float]:
-    """The ``m`` whose rates ``1 + max(0, chances @ m)`` meet the proportions of ``weights``: no document is thinned.
-
-    Of all rates of at least 1 that do, these are the least squares from 1, their total included.  Where no such
-    rates exist, as when the posteriors tell nothing apart, all rates are 1 and a warning says so.
-    """
-    asked = np.array([w for w in weights if w > 0], float)
-    share = asked / asked.sum()
-    k = len(share)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chances, other = wanted_chances(np.asarray(batch.column("chances").flatten()).reshape(-1, len(weights)), weights)
-            mass = np.where(other, 0, np.asarray(batch.column("tokens"))) @ chances
-            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in mass], names=[f"m{i}" for i in range(k)])
-
-    parts = table.select("tokens", "chances").mapInArrow(partial, ", ".join(f"m{i} double" for i in range(k)))
-    start = np.array([x or 0.0 for x in parts.agg(*[F.sum(f"m{i}") for i in range(k)]).head()])
-    if not start.sum():
-        return [0.0] * k
-    # Along these the masses have to vanish; across them lies the total, which is free.
-    basis = np.linalg.svd(share[None, :])[2][1:].T
-    found = closing_step(table, weights, None, -start, basis, tolerance * start.sum())
-    if found is None:
-        warnings.warn(f"no rates of at least 1 give the shares {share.tolist()}: they stay {(start / start.sum()).tolist()}", stacklevel=2)
-        return [0.0] * k
-    return [round(float(x), 12) for x in found]
-
-
-def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: Column | None = None, keep: bool = False, **settings) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain: Column | None = None, keep: bool = False, most: float = 100.0, **settings) -> DataFrame:
     """``doc_id, tokens, domain, chances, rate, copies`` of every row of ``docs (doc_id, text, ...)``.
 
     ``weights``: the wanted share of tokens by domain, among the domains with a weight; documents most probably of
     another domain have the rate 0.  ``domain`` is the most
     probable one, ``chances`` the posteriors in the order of the domains' names.  ``copies`` is ``rate`` rounded up or
     down at random by a hash of the id, so that its mean is the rate.  Null and empty texts have no tokens and
-    their rate follows from their posterior; a null id is rounded as an id of its own.  Without labels all
+    their rate follows from their posterior; a null id is rounded as an id of its own.  Rows that share an id are rated each by
+    itself and rounded alike.  Of equally probable domains the first by name is ``domain``.  Without labels all
     documents form the domain ``all`` and have the rate 1.
 
-    With ``keep``, every document whose ``domain`` has a weight has a rate of at least 1.
+    With ``keep``, every document whose ``domain`` has a weight has a rate of at least 1; where no such rates meet the
+    weights, as when the posteriors tell nothing apart, all of these rates are 1 and a warning says so.  Targets that need a
+    document more than ``most`` times are refused.
     """
     model = learn_domains(docs, labels, domain)
     table = written(domain_table(docs, model), "domains")
     domains = model.domains if model else ("all",)
     asked = [float(weights.get(name, 0)) for name in domains]
     fitted = model is not None and sum(asked) > 0
-    steps = fit_rates(table, asked, **settings) if fitted and not keep else []
-    more = fit_keeping(table, asked, **settings) if fitted and keep else None
+    steps: list[list[float]] = []
+    if fitted:
+        try:
+            steps = fit_rates(table, asked, keep=keep, **settings)
+        except ValueError as error:
+            if not keep:
+                raise
+            warnings.warn(f"all rates stay 1: {error}", stacklevel=2)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chances = np.asarray(batch.column("chances").flatten()).reshape(-1, len(domains))
             best = pa.array([domains[i] for i in chances.argmax(axis=1)], pa.string())
             own, other = wanted_chances(chances, asked if fitted else [1.0] * len(domains))
-            rates = np.where(other, 0, rates_after(own, steps) if more is None else 1 + np.maximum(0, own @ np.asarray(more)))
+            rates = np.where(other, 0, rates_after(own, steps, float(keep)))
             columns = [batch.column("doc_id"), batch.column("tokens"), best, batch.column("chances"), pa.array(rates)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tokens", "domain", "chances", "rate"])
 
     rates = table.mapInArrow(rated, "doc_id bigint, tokens bigint, domain string, chances array<double>, rate double")
+    highest = rates.agg(F.max("rate")).head()[0] if steps else None
+    if highest is not None and highest > most:
+        raise ValueError(f"the weights need a document {highest:.1f} times, more than {most}")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
     return rates.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
@@ -341,4 +349,4 @@ def mixed(docs: DataFrame, rates: DataFrame) -> DataFrame:
     names = [F.col(f"d.`{c}`") for c in docs.columns]
     known = rates.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     joined = docs.alias("d").join(known.alias("r"), F.col("d.doc_id") == F.col("r.doc_id"), "left")
-    return joined.withColumn("__times", F.expr("explode(array_repeat(0, coalesce(r.copies, 1)))")).select(*names)
+    return joined.withColumn(free_name(docs, "__times"), F.expr("explode(array_repeat(0, coalesce(r.copies, 1)))")).select(*names)

@@ -27,6 +27,11 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 SCHEMES = ("https://", "http://", "ftp://")
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn")
 STREET_CUES = ("avenue", "boulevard", "lane", "road", "street")
+#: Short or common words: cues only when written with a capital.
+STREET_KINDS = (
+    "Alley", "Ave", "Blvd", "Circle", "Close", "Court", "Crescent", "Ct", "Dr", "Drive", "Highway", "Hwy", "Ln", "Parkway",
+    "Pkwy", "Place", "Plaza", "Rd", "Sq", "Square", "St", "Terrace", "Trail", "Way",
+)
 
 # Anchored matches at one place only; none of them is used to search.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,6 +54,9 @@ def automaton() -> ahocorasick.Automaton:
         for word in words:
             for form in {word, word.upper(), word.capitalize()}:
                 found.add_word(form, (kind, len(form)))
+    for word in STREET_KINDS:
+        for form in {word, word.upper()}:
+            found.add_word(form, ("address", len(form)))
     found.make_automaton()
     return found
 
