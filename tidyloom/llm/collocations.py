@@ -4,9 +4,9 @@ A window is a word and the ``order - 1`` words that lead on from it within its p
 count equal windows of their texts, and one ROLLUP over language and window columns sums them: the sums at the
 first ``k`` columns are the occurrences of phrases of ``k`` words, those at the language all its words.
 
-A phrase that is asked for is frequent, and so is every pair of neighbours in it.  So windows of two words are counted
-first, by the same operator, and the frequent ones become a Bloom filter of a fixed size; windows of full order are
-padded behind the first pair that it does not hold.  A pair that it holds by mistake costs rows, never results.
+A phrase that is asked for is frequent, and so is every pair of neighbours in it.  So hashes of neighbours are counted
+first, and the frequent ones become a Bloom filter of a fixed size; windows are padded behind the first pair that
+it does not hold.  A pair that it holds by mistake costs rows, never results.
 """
 
 from __future__ import annotations
@@ -27,84 +27,98 @@ BREAKS = byte_set(b".,;:!?\n\x0b\x0c\r")
 SALTS = 64
 
 
-def pair_bits(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in a filter of ``bits`` for each pair of word hashes."""
-    both = mix64(left * np.uint64(0x9E3779B97F4A7C15) + right)
-    return both % np.uint64(bits), mix64(both) % np.uint64(bits)
+def places(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter of ``bits`` for each hash of a pair of words."""
+    return pairs % np.uint64(bits), mix64(pairs) % np.uint64(bits)
 
 
-def counted_windows(docs: DataFrame, order: int, words_of: np.ndarray | None, part_bytes: int) -> DataFrame:
-    """``lang, w1, ..., n`` (and ``left_hash, right_hash`` of windows of two words): equal windows of a task's texts as one row.
+class Pieces:
+    """The words of texts of one language, numbered, and which words are followed by another one of their piece."""
 
-    Pads are nulls.  ``words_of``: a Bloom filter of pairs, behind the first pair that it lacks all is padding.
-    """
-    names = [f"w{k}" for k in range(1, order + 1)]
-    hashed = ["left_hash", "right_hash"] if words_of is None else []
-
-    def count(texts: pa.Array, lang: int) -> list[pa.Array]:
+    def __init__(self, texts: pa.Array, lang: str):
         data, starts = text_bytes(texts)
         opens, closes = word_edges(data, starts, BETWEEN)
         coded = word_array(data, opens, closes).dictionary_encode()
-        ids = np.asarray(coded.indices).astype(np.int64)
-        first = np.zeros(len(coded.dictionary), np.int64)
-        first[ids[::-1]] = np.arange(len(ids))[::-1]
-        hashes = mix64(span_hashes(data, opens[first], closes[first]) + np.uint64(lang))
+        self.words, self.ids = coded.dictionary, np.asarray(coded.indices)
         # A word and its successor are in one piece if no break and no text's end lies between them.
-        broken = np.concatenate(([0], np.cumsum(BREAKS[data] if len(data) else np.zeros(0, bool))))
+        broken = np.concatenate(([0], np.cumsum(BREAKS[data] if len(data) else np.zeros(0, bool), dtype=np.int32)))
         text = np.searchsorted(starts, opens, side="right")
-        joined = (broken[closes[:-1]] == broken[opens[1:]]) & (text[1:] == text[:-1])
-        if words_of is not None and len(ids):
-            bits = len(words_of) * 64
-            held = np.ones(len(joined), bool)
-            for place in pair_bits(hashes[ids[:-1]], hashes[ids[1:]], bits):
-                held &= (words_of[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-            joined &= held
-        # Windows are numbered column by column: equal numbers so far and equal next words are equal windows.
-        columns, alive = [ids], np.ones(len(ids), bool)
-        for k in range(1, order):
-            alive = alive[:-1] & joined[k - 1 :] if len(alive) else alive
-            lead = np.full(len(ids), -1)
-            lead[: len(alive)] = np.where(alive, ids[k:], -1)
-            columns.append(lead)
-        number, wide = columns[0], len(first) + 1
-        for lead in columns[1:]:
-            number = np.unique(number, return_inverse=True)[1] * wide + lead + 1
-        _, at, times = np.unique(number, return_index=True, return_counts=True)
-        out = []
-        for column in columns:
-            index = column[at]
-            out.append(coded.dictionary.take(pa.array(index, mask=index < 0)))
-        if hashed:
-            right = columns[1][at]
-            out += [pa.array(hashes[columns[0][at]].view(np.int64)), pa.array(np.where(right < 0, 0, hashes[np.maximum(right, 0)].view(np.int64)))]
-        return [*out, pa.array(times)]
-
-    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_parts(batch, "text", part_bytes):
-                langs = part.column("lang").dictionary_encode()
-                for code, lang in enumerate(langs.dictionary.to_pylist()):
-                    texts = part.column("text").filter(pc.equal(langs.indices, code))
-                    salt = int(span_hashes(np.frombuffer(lang.encode() or b"\0", np.uint8), np.array([0]), np.array([len(lang.encode()) or 1]))[0])
-                    columns = count(texts, salt)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(columns[0]), pa.string()), *columns], names=["lang", *names, *hashed, "n"])
+        self.joined = (broken[closes[:-1]] == broken[opens[1:]]) & (text[1:] == text[:-1])
+        first = np.zeros(len(self.words), np.int64)
+        first[self.ids[::-1]] = np.arange(len(self.ids))[::-1]
+        name = np.frombuffer(lang.encode() or b"\0", np.uint8)
+        salt = span_hashes(name, np.array([0]), np.array([len(name)]))
+        self.hashes = mix64(span_hashes(data, opens[first], closes[first]) + salt)
+
+    def pairs(self) -> np.ndarray:
+        """A hash of each word and its successor, whether they are joined or not."""
+        return mix64(self.hashes[self.ids[:-1]] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.ids[1:]])
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[tuple[str, Pieces]]:
+    for batch in batches:
+        for part in text_parts(batch, "text", part_bytes):
+            langs = part.column("lang").dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                yield lang, Pieces(part.column("text").filter(pc.equal(langs.indices, code)), lang)
+
 
-    schema = ", ".join(["lang string", *(f"{c} string" for c in names), *(f"{c} bigint" for c in hashed), "n bigint"])
-    return docs.mapInArrow(batches_of, schema)
+def counted_windows(docs: DataFrame, order: int, words_of: np.ndarray, part_bytes: int) -> DataFrame:
+    """``lang, w1, ..., n``: equal windows of a part of a task's texts as one row.
+
+    Pads are nulls.  ``words_of``: a Bloom filter of pairs, behind the first pair that it lacks all is padding.
+    """
+    names = [f"w{k}" for k in range(1, order + 1)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, pieces in pieces_of(batches, part_bytes):
+            ids, joined = pieces.ids, pieces.joined
+            if len(joined):
+                held = np.ones(len(joined), bool)
+                for place in places(pieces.pairs(), len(words_of) * 64):
+                    held &= (words_of[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                joined = joined & held
+            # Windows are numbered column by column: equal numbers so far and equal next words are equal windows.
+            columns, alive = [ids], np.ones(len(ids), bool)
+            for k in range(1, order):
+                alive = alive[:-1] & joined[k - 1 :] if len(alive) else alive
+                lead = np.full(len(ids), -1, ids.dtype)
+                lead[: len(alive)] = np.where(alive, ids[k:], -1)
+                columns.append(lead)
+            number, wide = ids.astype(np.int64), len(pieces.words) + 1
+            for lead in columns[1:]:
+                number = np.unique(number, return_inverse=True)[1] * wide + lead + 1
+            _, at, times = np.unique(number, return_index=True, return_counts=True)
+            del number
+            for low in range(0, len(at), 100_000):
+                some = at[low : low + 100_000]
+                out = [pieces.words.take(pa.array(c[some], mask=c[some] < 0)) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), *out, pa.array(times[low : low + 100_000])], names=["lang", *names, "n"])
+
+    schema = ", ".join(["lang string", *(f"{c} string" for c in names), "n bigint"])
+    return docs.mapInArrow(count, schema)
 
 
 def frequent_pairs(docs: DataFrame, least: int, bits: int, part_bytes: int) -> np.ndarray:
-    """A Bloom filter of all pairs of neighbours that occur ``least`` times; at most ``bits / 63`` sums reach the driver."""
-    pairs = counted_windows(docs, 2, None, part_bytes).filter("w2 IS NOT NULL")
-    pairs = pairs.groupBy("lang", "w1", "w2", "left_hash", "right_hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    """A Bloom filter of all pairs of neighbours that occur ``least`` times; at most ``bits / 32`` sums reach the driver.
+
+    Pairs are counted by 64-bit hashes: where two share one, the filter may hold a pair too many, never one too few.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in pieces_of(batches, part_bytes):
+            pairs, times = np.unique(pieces.pairs()[pieces.joined], return_counts=True) if len(pieces.joined) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            for low in range(0, len(pairs), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[low : low + 500_000].view(np.int64)), pa.array(times[low : low + 500_000])], names=["pair", "n"])
+
+    pairs = docs.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.asarray(batch.column(c)).view(np.uint64) for c in ("left_hash", "right_hash"))
-            place = np.unique(np.concatenate(pair_bits(left, right, bits)))
+            place = np.unique(np.concatenate(places(np.asarray(batch.column("pair")).view(np.uint64), bits)))
             yield pa.RecordBatch.from_arrays([pa.array((place // 32).astype(np.int64)), pa.array(np.uint64(1) << place % np.uint64(32)).cast(pa.int64())], names=["slot", "bit"])
 
-    marked = pairs.select("left_hash", "right_hash").mapInArrow(places, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marked = pairs.select("pair").mapInArrow(mark, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     halves = np.zeros(bits // 32, np.uint32)
     halves[np.asarray(marked.column("slot").combine_chunks())] = np.asarray(marked.column("bits").combine_chunks())
     return halves.view("<u8").astype(np.uint64)
@@ -130,7 +144,7 @@ def collocations(
     top: int = 2000,
     cover_percent: int = 80,
     filter_bits: int = 1 << 25,
-    part_bytes: int = 32 << 20,
+    part_bytes: int = 8 << 20,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the best ``top`` phrases of 2 to ``order`` words of each language.
 
