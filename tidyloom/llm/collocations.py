@@ -4,9 +4,9 @@ A window is a word and the ``order - 1`` words that lead on from it within its p
 count equal windows of their texts, and one ROLLUP over language and window columns sums them: the sums at the
 first ``k`` columns are the occurrences of phrases of ``k`` words, those at the language all its words.
 
-A phrase that is asked for is frequent, and so is every pair of neighbours in it.  So hashes of neighbours are counted
-first, and the frequent ones become a Bloom filter of a fixed size; windows are padded behind the first pair that
-it does not hold.  A pair that it holds by mistake costs rows, never results.
+A phrase that is asked for is frequent, and so is every word and every pair of neighbours in it.  So hashes of words and of
+neighbours are counted first, and the frequent ones become a Bloom filter of a fixed size; windows are padded behind the
+first pair that it does not hold, and words that it does not hold are pads.  What it holds by mistake costs rows, never results.
 """
 
 from __future__ import annotations
@@ -27,9 +27,16 @@ BREAKS = byte_set(b".,;:!?\n\x0b\x0c\r")
 SALTS = 64
 
 
-def places(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in a filter of ``bits`` for each hash of a pair of words."""
-    return pairs % np.uint64(bits), mix64(pairs) % np.uint64(bits)
+def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter of ``bits`` for each hash of a word or a pair of words."""
+    return hashes % np.uint64(bits), mix64(hashes) % np.uint64(bits)
+
+
+def in_filter(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = np.ones(len(hashes), bool)
+    for place in places(hashes, len(held) * 64):
+        out &= (held[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return out
 
 
 class Pieces:
@@ -63,10 +70,11 @@ def pieces_of(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[tu
                 yield lang, Pieces(part.column("text").filter(pc.equal(langs.indices, code)), lang)
 
 
-def counted_windows(docs: DataFrame, order: int, words_of: np.ndarray, part_bytes: int) -> DataFrame:
+def counted_windows(docs: DataFrame, order: int, frequent: np.ndarray, part_bytes: int) -> DataFrame:
     """``lang, w1, ..., n``: equal windows of a part of a task's texts as one row.
 
-    Pads are nulls.  ``words_of``: a Bloom filter of pairs, behind the first pair that it lacks all is padding.
+    Pads are nulls.  ``frequent``: a Bloom filter of words and pairs; a word that it lacks, and all behind the first pair that it lacks,
+    is padding.
     """
     names = [f"w{k}" for k in range(1, order + 1)]
 
@@ -74,10 +82,8 @@ def counted_windows(docs: DataFrame, order: int, words_of: np.ndarray, part_byte
         for lang, pieces in pieces_of(batches, part_bytes):
             ids, joined = pieces.ids, pieces.joined
             if len(joined):
-                held = np.ones(len(joined), bool)
-                for place in places(pieces.pairs(), len(words_of) * 64):
-                    held &= (words_of[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                joined = joined & held
+                joined = joined & in_filter(frequent, pieces.pairs())
+            ids = np.where(in_filter(frequent, pieces.hashes)[ids], ids, -1) if len(ids) else ids
             # Windows are numbered column by column: equal numbers so far and equal next words are equal windows.
             columns, alive = [ids], np.ones(len(ids), bool)
             for k in range(1, order):
@@ -85,7 +91,7 @@ def counted_windows(docs: DataFrame, order: int, words_of: np.ndarray, part_byte
                 lead = np.full(len(ids), -1, ids.dtype)
                 lead[: len(alive)] = np.where(alive, ids[k:], -1)
                 columns.append(lead)
-            number, wide = ids.astype(np.int64), len(pieces.words) + 1
+            number, wide = ids.astype(np.int64) + 1, len(pieces.words) + 1
             for lead in columns[1:]:
                 number = np.unique(number, return_inverse=True)[1] * wide + lead + 1
             _, at, times = np.unique(number, return_index=True, return_counts=True)
@@ -99,26 +105,28 @@ def counted_windows(docs: DataFrame, order: int, words_of: np.ndarray, part_byte
     return docs.mapInArrow(count, schema)
 
 
-def frequent_pairs(docs: DataFrame, least: int, bits: int, part_bytes: int) -> np.ndarray:
-    """A Bloom filter of all pairs of neighbours that occur ``least`` times; at most ``bits / 32`` sums reach the driver.
+def frequent_words(docs: DataFrame, least: int, bits: int, part_bytes: int) -> np.ndarray:
+    """A Bloom filter of all words and all pairs of neighbours that occur ``least`` times; at most ``bits / 32`` sums reach the driver.
 
-    Pairs are counted by 64-bit hashes: where two share one, the filter may hold a pair too many, never one too few.
+    They are counted by 64-bit hashes: where two share one, the filter may hold one too many, never one too few.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in pieces_of(batches, part_bytes):
             pairs, times = np.unique(pieces.pairs()[pieces.joined], return_counts=True) if len(pieces.joined) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            for low in range(0, len(pairs), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[low : low + 500_000].view(np.int64)), pa.array(times[low : low + 500_000])], names=["pair", "n"])
+            hashes = np.concatenate((pieces.hashes, pairs))
+            times = np.concatenate((np.bincount(pieces.ids, minlength=len(pieces.hashes)), times)).astype(np.int64)
+            for low in range(0, len(hashes), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[low : low + 500_000].view(np.int64)), pa.array(times[low : low + 500_000])], names=["hash", "n"])
 
-    pairs = docs.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counted = docs.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = np.unique(np.concatenate(places(np.asarray(batch.column("pair")).view(np.uint64), bits)))
+            place = np.unique(np.concatenate(places(np.asarray(batch.column("hash")).view(np.uint64), bits)))
             yield pa.RecordBatch.from_arrays([pa.array((place // 32).astype(np.int64)), pa.array(np.uint64(1) << place % np.uint64(32)).cast(pa.int64())], names=["slot", "bit"])
 
-    marked = pairs.select("pair").mapInArrow(mark, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marked = counted.select("hash").mapInArrow(mark, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     halves = np.zeros(bits // 32, np.uint32)
     halves[np.asarray(marked.column("slot").combine_chunks())] = np.asarray(marked.column("bits").combine_chunks())
     return halves.view("<u8").astype(np.uint64)
@@ -126,9 +134,9 @@ def frequent_pairs(docs: DataFrame, least: int, bits: int, part_bytes: int) -> n
 
 def phrase_counts(docs: DataFrame, order: int, least: int, filter_bits: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
     """``lang, words, phrase, f`` of all phrases of 1 to ``order`` words with ``f >= least``, and ``lang, n`` of all words."""
-    held = frequent_pairs(docs, least, filter_bits, part_bytes)
+    frequent = frequent_words(docs, least, filter_bits, part_bytes)
     names = [f"w{k}" for k in range(1, order + 1)]
-    sums = counted_windows(docs, order, held, part_bytes).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    sums = counted_windows(docs, order, frequent, part_bytes).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # At the level of k words the last 'order - k' columns are summed over; a pad in the first k is a shorter phrase.
     words = F.expr("CASE " + " ".join(f"WHEN level = {(1 << (order - k)) - 1} THEN {k}" for k in range(order + 1)) + " END")
     whole = F.expr("CASE " + " ".join(f"WHEN words = {k} THEN w{k} IS NOT NULL" for k in range(1, order + 1)) + " ELSE true END")
