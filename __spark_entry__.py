@@ -191,7 +191,7 @@ def whole_texts(spark, sf_dir):
 @query(WHOLE_TEXTS_SQL)
 def roundtrip_csv_texts(spark, sf_dir):
     texts = whole_texts(spark, sf_dir)
-    return round_trip(spark, texts, "csv", load={"schema": texts.schema, "multiLine": True})
+    return round_trip(spark, texts, "csv", load={"schema": texts.schema, "multiLine": True, "rangeBytes": 1_000_000})
 
 
 @query(WHOLE_TEXTS_SQL)
@@ -356,6 +356,24 @@ def html_tables(spark, sf_dir):
     return rows.withColumn("cells", F.array_join("cells", "|"))
 
 
+@query("SELECT * FROM orders")
+def load_json_array(spark, sf_dir):
+    """All orders as one array in one file, read in ranges of 100 KB by several tasks."""
+    orders = load(spark, sf_dir, "orders")
+    folder = shared_folder(spark)
+    element = F.to_json(F.struct("*"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("value")
+    # One file is what this is about: its lines are the opening bracket, the elements and the closing bracket.
+    lines = orders.select(F.lit(1).alias("turn"), element)
+    lines = lines.withColumn("value", F.concat("value", F.lit(",")))
+    last = orders.limit(1).select(F.lit(2).alias("turn"), element)
+    ends = spark.range(0, 1, 1, 1).select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("[").alias("value")), F.struct(F.lit(3).alias("turn"), F.lit("]").alias("value")))).alias("e")).select("e.*")
+    both = lines.unionAll(last.withColumn("value", F.regexp_replace("value", '"o_orderkey":[0-9]+', '"o_orderkey":-1'))).unionAll(ends)
+    both.repartition(1).sortWithinPartitions("turn").select("value").write.text(folder)
+    load_options = {"schema": orders.schema, "rangeBytes": 100_000}
+    catalog = {"array": {"file_path": folder, "file_format": "json", "load": load_options}}
+    return tl.load_data(spark, catalog, "array").filter("o_orderkey >= 0")
+
+
 # File inventory
 
 
@@ -403,6 +421,21 @@ def file_inventory(spark, sf_dir):
     )
 
 
+@query(
+    "SELECT 'month=' || strftime(o_orderdate, '%Y-%m') || '/part=' || (o_orderkey % 3) AS folder, "
+    "CAST(ceil(count(*) / 40.0) AS BIGINT) AS files FROM orders GROUP BY 1"
+)
+def inventory_names_and_counts(spark, sf_dir):
+    """Two levels of folders, each with as many files of 40 rows as its rows need."""
+    orders = load(spark, sf_dir, "orders").withColumn("month", month("o_orderdate"))
+    orders = orders.withColumn("part", F.col("o_orderkey") % 3).repartition("month", "part")
+    save = {"partitionBy": ["month", "part"], "maxRecordsPerFile": 40}
+    catalog = {"orders": {"file_path": shared_folder(spark), "file_format": "parquet", "save": save}}
+    tl.save_data(orders, catalog, "orders")
+    files = tl.file_inventory(spark, catalog).filter("length > 0 AND name LIKE '%.parquet' AND name NOT LIKE '%/.%'")
+    return files.groupBy(F.substring_index("name", "/", 2).alias("folder")).agg(F.count("*").alias("files"))
+
+
 @query(
     "SELECT 'orders_by_month' AS entry, count(*) > 0 AS there, 'true' AS needs_filename FROM orders "
     "UNION ALL SELECT 'lineitem', count(*) > 0, 'false' FROM lineitem UNION ALL SELECT 'gone', false, NULL"

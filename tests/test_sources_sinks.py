@@ -1,8 +1,13 @@
 """Loading and saving by entry, file formats without a Spark reader, and the file inventory."""
 
+import csv
 import datetime as dt
 import glob
+import gzip
+import io
+import json
 import os
+import random
 from decimal import Decimal
 
 import pandas as pd
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 import tidyloom as tl
 from tidyloom.sources import feather as feather_source
-from tidyloom.sources import files
+from tidyloom.sources import files, ranges
 
 
 def same(left, right):
@@ -193,6 +198,99 @@ def test_a_document_among_lines_stops_the_query(spark, tmp_path):
         tl.load_data(spark, entry(tmp_path, "json"), "e", multiLine=False, schema="a int").collect()
 
 
+def nested(rng, depth=0):
+    kind = rng.random()
+    if kind < 0.35:
+        return "".join(rng.choice('ab"\\[]{},é\n\' ') for _ in range(rng.randrange(12)))
+    if kind < 0.6 or depth > 2:
+        return rng.choice([None, True, 1.5, 7])
+    if kind < 0.8:
+        return [nested(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {"".join(rng.choice('ab"\\,') for _ in range(3)): nested(rng, depth + 1) for _ in range(rng.randrange(4))}
+
+
+def pieces_of(size, length):
+    return [(a, min(size, a + length)) for a in range(0, max(size, 1), length)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ranges_of_json_give_each_element_once(monkeypatch, seed):
+    rng = random.Random(seed)
+    for _ in range(150):
+        monkeypatch.setattr(ranges, "BLOCK_BYTES", rng.choice([1, 2, 3, 7, 50, 1000]))
+        document = [nested(rng) for _ in range(rng.randrange(6))] if rng.random() < 0.8 else {"a": nested(rng), "b": [1, {"c": "x]"}]}
+        text = json.dumps(document, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        raw = (rng.choice(["", "\ufeff", " \n"]) + text + rng.choice(["", " \n\n"])).encode()
+        stream, cuts = ranges.Bytes(pa.BufferReader(raw), b" "), pieces_of(len(raw), rng.choice([1, 2, 5, 17, 60, 1000]))
+        parts = [ranges.json_summary(stream, *cut) for cut in cuts]
+        kind = next(p[3] for p in parts if p[3])
+        inside, depth, begun, found = False, 0, False, []
+        for cut, (flips, outside, within, own) in zip(cuts, parts):
+            over = begun and depth == 0 and not inside
+            for texts in ranges.json_records(stream, "p", *cut, len(raw), inside, depth, kind, over):
+                found += map(json.loads, texts)
+            depth, inside, begun = depth + (within if inside else outside), inside ^ flips, begun or own != 0
+        assert found == (document if isinstance(document, list) else [document])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ranges_of_csv_give_each_record_once(monkeypatch, seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        monkeypatch.setattr(ranges, "BLOCK_BYTES", rng.choice([1, 2, 3, 7, 50, 1000]))
+        rows = [["".join(rng.choice('ab",\n\r é') for _ in range(rng.randrange(6))) for _ in range(3)] for _ in range(rng.randrange(6))]
+        text = io.StringIO()
+        csv.writer(text, lineterminator=rng.choice(["\n", "\r\n"]), quoting=rng.choice([csv.QUOTE_MINIMAL, csv.QUOTE_ALL])).writerows(rows)
+        raw = text.getvalue().encode()
+        stream, inside, found = ranges.Bytes(pa.BufferReader(raw), b"\n"), False, []
+        for cut in pieces_of(len(raw), rng.choice([1, 2, 5, 17, 60, 1000])):
+            for texts in ranges.csv_records(stream, "p", *cut, len(raw), inside, ord(",")):
+                found += [next(csv.reader(io.StringIO(x.decode(), newline=""))) for x in texts]
+            inside ^= ranges.csv_summary(stream, *cut)[0]
+        assert found == rows
+
+
+@pytest.mark.parametrize("fmt", ["json", "csv"])
+def test_one_large_file_is_read_by_several_tasks(spark, tmp_path, fmt):
+    rows = [(i, f'text "{i}",\n[{{ é \\ ' * (i % 9 + 1), None if i % 7 else 1.5) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a bigint, b string, c double")
+    folder = tmp_path / "day=3"
+    folder.mkdir()
+    if fmt == "json":
+        (folder / "one.json").write_text("\ufeff" + json.dumps([dict(zip("abc", r)) for r in rows], indent=1), encoding="utf-8")
+    else:
+        with open(folder / "one.csv", "w", newline="", encoding="utf-8") as file:
+            csv.writer(file).writerows([("a", "b", "c"), *(("" if x is None else x for x in r) for r in rows)])
+    load = {"schema": "a bigint, b string, c double, day int", "multiLine": True, "rangeBytes": 30_000}
+    found = tl.load_data(spark, entry(tmp_path, fmt, load=load), "e")
+    assert found.columns == ["a", "b", "c", "day"]
+    assert sorted(tuple(r) for r in found.drop("day").collect()) == sorted(tuple(r) for r in df.collect())
+    tasks = found.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert len(tasks) > 5
+    assert {r["day"] for r in found.collect()} == {3}
+    # Without cutting, Spark's own reader gives the same rows.
+    whole = tl.load_data(spark, entry(tmp_path, fmt, load=load | {"splittable": False}), "e")
+    assert sorted(whole.collect()) == sorted(found.collect())
+
+
+@pytest.mark.parametrize("fmt, text", [("json", '[{"a": 1}] [{"a": 2}]'), ("json", '{"a": 1}\n x'), ("json", "[{'a': 1}]"), ("csv", 'a\nx"y\n')])
+def test_what_cannot_be_cut_stops_the_query(spark, tmp_path, fmt, text):
+    (tmp_path / "one").write_text(text)
+    with pytest.raises(Exception, match="follows the document|apostrophe|quote within"):
+        tl.load_data(spark, entry(tmp_path, fmt, load={"schema": "a string", "multiLine": True}), "e").collect()
+
+
+def test_compressed_and_empty_files_of_documents(spark, tmp_path):
+    with gzip.open(tmp_path / "one.json.gz", "wt") as file:
+        file.write('[{"a": 1}, {"a": 2}]')
+    assert sorted(r["a"] for r in tl.load_data(spark, entry(tmp_path, "json"), "e", schema="a int").collect()) == [1, 2]
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "none.json").write_text("")
+    (tmp_path / "e" / "blank.json").write_text(" \n ")
+    (tmp_path / "e" / "list.json").write_text("[ ]")
+    assert tl.load_data(spark, entry(tmp_path / "e", "json"), "e", schema="a int").collect() == []
+
+
 def test_loading_json_with_a_schema_starts_no_job(spark, tmp_path):
     (tmp_path / "1.json").write_text('{"a": 1}')
     spark.sparkContext.setJobGroup("json", "load")
@@ -430,7 +528,32 @@ def test_inventory_of_many_entries_is_one_branch(spark, tmp_path):
         (tmp_path / str(i)).write_text(str(i))
     files = tl.file_inventory(spark, store)
     assert files.count() == 300
-    assert "Union" not in files._jdf.queryExecution().optimizedPlan().toString()
+    few = tl.file_inventory(spark, {"e0": store["e0"]})
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (files, few)]
+    assert plans[0].count("Relation") == plans[1].count("Relation")
+
+
+def test_inventory_of_a_deep_tree_and_of_a_large_folder(spark, tmp_path):
+    """A first-level folder with nearly everything below it, and a folder of many files, are both listed by many tasks."""
+    expected = {}
+    for i in range(400):
+        folder = tmp_path / "tree" / "all" / f"a={i % 20}" / f"b={i}" / "c"
+        folder.mkdir(parents=True)
+        (folder / "x").write_text("x" * (i % 7))
+        expected[f"all/a={i % 20}/b={i}/c/x"] = i % 7
+    (tmp_path / "tree" / "loop").symlink_to(tmp_path / "tree" / "all" / "a=0" / "b=0")
+    expected["loop/c/x"] = 0
+    (tmp_path / "flat").mkdir()
+    for i in range(20_000):
+        (tmp_path / "flat" / f"f{i}").touch()
+    store = {name: {"file_path": f"{tmp_path}/{name}", "file_format": "csv"} for name in ("tree", "flat")}
+    files = tl.file_inventory(spark, store)
+    rows = files.filter("entry = 'tree'").select("name", "length").collect()
+    assert {r["name"]: r["length"] for r in rows} == expected and len(rows) == len(expected)
+    flat = files.filter("entry = 'flat'")
+    assert {r["name"] for r in flat.select("name").collect()} == {f"f{i}" for i in range(20_000)}
+    spread = flat.groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 4 and max(r["count"] for r in spread) < 10_000
 
 
 def test_missing_inputs(spark, store):

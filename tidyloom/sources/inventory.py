@@ -1,13 +1,17 @@
 """Which files exist under the catalog's entries, and which expected ones do not.
 
-Files are listed by tasks: entries first, then the folders right below them, each by a task of its own.  File
-contents are never read.  Existence is decided by exact paths, not by prefixes; a path that does not
+Files are listed by tasks in rounds: a round lists the folders that the one before it found, dealt out anew, until there are none
+left, so a large subtree spreads as it unfolds.  On a file system that gives names without sizes, the names of a large folder are
+dealt out as well, and tasks ask for their sizes.  File contents are never read.  Existence is decided by exact paths, not by prefixes; a path that does not
 exist as it is may be a glob.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import functools
+import itertools
+import os
 import re
 from collections.abc import Iterable, Iterator, Mapping
 
@@ -17,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import find_entry, join_path, merge_options
+from ..workspace import written
 from .files import open_filesystem
 
 INVENTORY = {
@@ -34,63 +39,110 @@ def file_inventory(
     """One row per file: ``entry, path, name, length, modified``; empty and hidden files count.
 
     ``name`` is the path below the entry's path, and empty where the entry is a file itself.  An entry
-    whose path does not exist has no rows.
+    whose path does not exist has no rows.  The folders are listed at the call, a written table a level; a folder that goes
+    in between has no files.
     """
     names = list(catalog if entries is None else entries)
     roots = [(name, find_entry(catalog, name)["file_path"]) for name in names]
-    schema = "entry string, root string, folder string, " + ", ".join(f"{k} {v}" for k, v in INVENTORY.items() if k != "entry")
-    tasks = max(1, min(len(roots), _MOST_TASKS))
-    known = spark.createDataFrame(roots, "entry string, root string").repartition(tasks, "entry")
-    first = known.mapInPandas(_first_level, schema)
-    folders = first.repartition(max(tasks, spark.sparkContext.defaultParallelism), "entry", "folder", "name")
-    return folders.mapInPandas(_all_below, schema).select(*INVENTORY)
+    known = spark.createDataFrame(roots, "entry string, root string")
+    found = written(_dealt(known, len(roots), "entry").mapInPandas(_first_level, _FOUND), "inventory")
+    levels, unsized = [found], 0
+    while True:
+        folders, more = found.agg(F.count("folder"), F.count_if(F.expr("folder IS NULL AND length IS NULL"))).head()
+        unsized += more
+        if not folders:
+            break
+        below = _dealt(found.filter("folder IS NOT NULL"), folders, "entry", "folder")
+        found = written(below.mapInPandas(_next_level, _FOUND), "inventory")
+        levels.append(found)
+    files = functools.reduce(DataFrame.unionAll, levels).filter("folder IS NULL").select(*INVENTORY, "root")
+    if unsized:
+        asked = _dealt(files.filter("length IS NULL"), unsized, "path")
+        files = files.filter("length IS NOT NULL").unionAll(asked.mapInPandas(_with_sizes, files.schema))
+    return files.select(*INVENTORY)
 
 
 _MOST_TASKS = 1000
-_FRAME_ROWS = 50_000
+_FRAME_ROWS = 10_000
+_COLUMNS = ["entry", "root", "folder", "path", "name", "length", "modified"]
+_FOUND = "entry string, root string, folder string, path string, name string, length bigint, modified timestamp"
+
+
+def _dealt(rows: DataFrame, amount: int, *keys: str) -> DataFrame:
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(amount, max(cores, amount // 16), _MOST_TASKS)), *keys)
 
 
 def _file_row(entry: str, root: str, info: pafs.FileInfo, name: str) -> tuple:
     return entry, root, None, info.path, name, info.size, info.mtime
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["entry", "root", "folder", "path", "name", "length", "modified"])
+def _frame(rows: list[tuple], columns: list[str] = _COLUMNS) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=columns)
     frame["modified"] = pd.to_datetime(frame["modified"], utc=True)
     frame["length"] = frame["length"].astype("Int64")
     return frame
 
 
+def _frames(rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+    """Frames of a bounded size, so that a folder of any size passes through its task piece by piece."""
+    rows = iter(rows)
+    while some := list(itertools.islice(rows, _FRAME_ROWS)):
+        yield _frame(some)
+
+
 def _first_level(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Files at and right below each root, and a row with ``folder`` for each folder there."""
     for frame in frames:
-        rows: list[tuple] = []
         for entry, root in zip(frame["entry"], frame["root"]):
             fs, inner = open_filesystem(root)
             inner = inner.rstrip("/") or "/"
             info = fs.get_file_info(inner)
             if info.type == pafs.FileType.File:
-                rows.append(_file_row(entry, inner, info, ""))
+                yield _frame([_file_row(entry, root, info, "")])
             elif info.type == pafs.FileType.Directory:
-                rows += _level(fs, entry, root, inner, inner)
+                yield from _frames(_level(fs, entry, root, inner, ""))
             elif re.search(r"[*?\[]", inner):
-                rows += _matches(fs, entry, root, inner)
-        yield _frame(rows)
+                yield from _frames(_matches(fs, entry, root, inner))
 
 
-def _level(fs: pafs.FileSystem, entry: str, root: str, base: str, folder: str) -> list[tuple]:
-    """The files of a folder, and its folders; ``base`` is where names begin."""
-    rows = []
-    for info in fs.get_file_info(pafs.FileSelector(folder, recursive=False)):
-        name = info.path[len(base.rstrip("/")) + 1 :]
+def _next_level(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for entry, root, folder, name in zip(frame["entry"], frame["root"], frame["folder"], frame["name"]):
+            fs, _ = open_filesystem(root)
+            yield from _frames(_level(fs, entry, root, folder, f"{name}/"))
+
+
+def _level(fs: pafs.FileSystem, entry: str, root: str, folder: str, name: str) -> Iterator[tuple]:
+    """What lies right in a folder: files, on a local disk without their sizes, and folders; ``name`` leads to the folder."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        try:
+            with os.scandir(folder) as inside:
+                for item in inside:
+                    kind = item.path if item.is_dir() else None
+                    yield entry, root, kind, None if kind else item.path, name + item.name, None, None
+        except FileNotFoundError:
+            return
+        return
+    for info in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True, recursive=False)):
         if info.type == pafs.FileType.Directory:
-            rows.append((entry, root, info.path, None, name, None, None))
+            yield entry, root, info.path, None, name + info.base_name, None, None
         else:
-            rows.append(_file_row(entry, root, info, name))
-    return rows
+            yield _file_row(entry, root, info, name + info.base_name)
+
 
+def _with_sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for root, some in frame.groupby("root", sort=False):
+            fs, _ = open_filesystem(root)
+            for info, entry, name in zip(fs.get_file_info(list(some["path"])), some["entry"], some["name"]):
+                if info.type != pafs.FileType.NotFound:
+                    rows.append((entry, info.path, name, info.size, info.mtime, root))
+        yield _frame(rows, [*INVENTORY, "root"])
 
-def _matches(fs: pafs.FileSystem, entry: str, root: str, pattern: str) -> list[tuple]:
+
+def _matches(fs: pafs.FileSystem, entry: str, root: str, pattern: str) -> Iterator[tuple]:
     """What a glob stands for, segment by segment: files, and the first level of folders."""
     steps = pattern.strip("/").split("/")
     places = ["/" if pattern.startswith("/") else ""]
@@ -105,28 +157,11 @@ def _matches(fs: pafs.FileSystem, entry: str, root: str, pattern: str) -> list[t
             inside = fs.get_file_info(pafs.FileSelector(place, recursive=False))
             found += [info.path for info in inside if fnmatch.fnmatchcase(info.base_name, step)]
         places = found
-    rows = []
     for info in fs.get_file_info(places):
         if info.type == pafs.FileType.File:
-            rows.append(_file_row(entry, root, info, ""))
+            yield _file_row(entry, root, info, "")
         elif info.type == pafs.FileType.Directory:
-            rows += _level(fs, entry, root, info.path, info.path)
-    return rows
-
-
-def _all_below(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Files as they are; in place of a folder all files below it."""
-    for frame in frames:
-        rows = [row for row in frame.itertuples(index=False, name=None) if row[2] is None]
-        for entry, root, folder, _, name, _, _ in frame[frame["folder"].notna()].itertuples(index=False, name=None):
-            fs, _ = open_filesystem(root)
-            for info in fs.get_file_info(pafs.FileSelector(folder, recursive=True)):
-                if info.type != pafs.FileType.Directory:
-                    rows.append(_file_row(entry, root, info, f"{name}/{info.path[len(folder) + 1:]}"))
-                if len(rows) >= _FRAME_ROWS:
-                    yield _frame(rows)
-                    rows = []
-        yield _frame(rows)
+            yield from _level(fs, entry, root, info.path, "")
 
 
 def missing_inputs(required: DataFrame, inventory: DataFrame) -> DataFrame:

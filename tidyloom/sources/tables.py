@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from .feather import FeatherSource
 from .files import FilesSource
 from .fixed_width import read_fixed_width
 from .html import html_tables
+from .ranges import RANGE_BYTES, can_split, split_csv, split_json
 
 FILE_SOURCES: dict[str, type[FilesSource]] = {FeatherSource.name(): FeatherSource}
 
@@ -70,26 +71,72 @@ def _load_spark(spark: SparkSession, fmt: str, path: str, options: dict) -> Data
 
 
 def _load_csv(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
+    """With ``multiLine`` a large file is cut between records by several tasks.
+
+    A quote then begins a field or belongs to one that it began, and lines end in ``\\n`` or ``\\r\\n``; set ``splittable`` to false for
+    other files, which Spark reads one a task.
+    """
     # A quote within a quoted text is doubled, as other programs write it.
     defaults = {"header": True, "escape": '"'} | ({} if fmt == "csv" else {"sep": "\t"})
-    return _load_spark(spark, "csv", path, {**defaults, **options})
+    options = {**defaults, **options}
+    splitting = _pop_splitting(options)
+    df = _load_spark(spark, "csv", path, dict(options))
+    separator = str(options.get("sep") or options.get("delimiter") or ",")
+    plain = len(separator.encode()) == 1 and options["escape"] == options.get("quote", '"') == '"'
+    other = {"comment", "lineSep", "charToEscapeQuoteEscaping", "inferSchema"} & set(options)
+    lenient = str(options.get("mode", "")).upper() == "DROPMALFORMED"
+    if str(options.get("multiLine")).lower() != "true" or not plain or other or lenient or not can_split(spark, path, options | splitting):
+        return df
+    header = str(options["header"]).lower() == "true"
+    rows = split_csv(spark, path, options, header, separator, splitting["range_bytes"])
+    if rows is None:
+        return df
+    parser = {k: v for k, v in options.items() if k not in ("schema", "header", "multiLine")}
+    return _parsed(rows, df.schema, lambda schema: F.from_csv("value", _ddl(schema), parser))
 
 
 def _load_json(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
     """Documents, one a file, unless the entry says ``multiLine`` is false: then a document a line.
 
-    Nothing is guessed from the files.  A line that is no document stops the query, and so does a file with
-    something after its document, of which the reader would say nothing.
+    A document that is an array has a row per element, and a large one is cut between them by several tasks; it is strict JSON.  Set
+    ``splittable`` to false for other files, which Spark reads one a task.  Nothing is guessed from the files but, without a
+    schema, the types.  A line that is no document stops the query, and so does a file with something after its document.
     """
+    splitting = _pop_splitting(options)
     if str(options.get("multiLine", True)).lower() == "false":
         return _load_spark(spark, "json", path, {"mode": "FAILFAST", **options})
     df = _load_spark(spark, "json", path, {**options, "multiLine": True})
+    lenient = {"allowComments", "allowSingleQuotes", "allowUnquotedFieldNames", "lineSep"} & set(options)
+    dropping = str(options.get("mode", "")).upper() == "DROPMALFORMED"
+    if not lenient and not dropping and can_split(spark, path, options | splitting):
+        rows = split_json(spark, path, options, splitting["range_bytes"])
+        if rows is not None:
+            parser = {k: str(v) for k, v in options.items() if k not in ("schema", "multiLine")}
+            return _parsed(rows, df.schema, lambda schema: F.from_json("value", schema, parser))
     layout = {k: v for k, v in options.items() if k in ("pathGlobFilter", "recursiveFileLookup", "modifiedBefore", "modifiedAfter")}
     files = spark.read.options(**layout).format("binaryFile").load(path).select("path", "content")
     encoding = options.get("encoding") or options.get("charset")
     return df.unionByName(files.mapInArrow(_single_documents(encoding), df.schema))
 
 
+def _pop_splitting(options: dict) -> dict:
+    """The options about cutting files; they are no reader's."""
+    return {"splittable": options.pop("splittable", True), "range_bytes": int(options.pop("rangeBytes", RANGE_BYTES))}
+
+
+def _parsed(rows: DataFrame, schema: T.StructType, parse: Callable[[T.StructType], Column]) -> DataFrame:
+    """The fields of each row's ``value``, then the columns of partition folders, as ``schema`` has them."""
+    folders = [name for name in rows.columns if name != "value"]
+    inner = T.StructType([field for field in schema if field.name not in folders])
+    parsed = rows.select(parse(inner).alias("record"), *[column(name) for name in folders])
+    return parsed.select(*[column(f.name) if f.name in folders else F.col("record")[f.name].alias(f.name) for f in schema])
+
+
+def _ddl(schema: T.StructType) -> str:
+    names = [(field.name.replace("`", "``"), field.dataType.simpleString()) for field in schema]
+    return ", ".join(f"`{name}` {kind}" for name, kind in names)
+
+
 def _single_documents(encoding: str | None) -> Callable:
     """A part of the scan's own plan that has no rows and stops at a file with several documents."""
 
