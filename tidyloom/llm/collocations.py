@@ -1,10 +1,10 @@
 """Collocations by top-order marginalisation: only the longest windows are counted, Spark's ROLLUP gives all shorter ones.
 
-A window is a word and the ``order - 1`` words that lead on from it within its piece, padded behind the piece's end.  Tasks
-count equal windows of their texts, and one ROLLUP over language and window columns sums them: the sums at the
+A window is a word and the ``order - 1`` words that lead on from it within its piece, padded behind the piece's end.  Equal
+windows are counted, and one ROLLUP over language and window columns sums their counts: the sums at the
 first ``k`` columns are the occurrences of phrases of ``k`` words, those at the language all its words.
 
-A phrase that is asked for is frequent, and so is every word and every pair of neighbours in it.  So hashes of words and of
+A phrase that is asked for is frequent, and so is every word and every pair of neighbours in it.  So hashes of words, then of
 neighbours are counted first, and the frequent ones become a Bloom filter of a fixed size; windows are padded behind the
 first pair that it does not hold, and words that it does not hold are pads.  What it holds by mistake costs rows, never results.
 """
@@ -70,10 +70,10 @@ def pieces_of(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[tu
                 yield lang, Pieces(part.column("text").filter(pc.equal(langs.indices, code)), lang)
 
 
-def counted_windows(docs: DataFrame, order: int, frequent: np.ndarray, part_bytes: int) -> DataFrame:
+def counted_windows(docs: DataFrame, order: int, held: np.ndarray, part_bytes: int) -> DataFrame:
     """``lang, w1, ..., n``: equal windows of a part of a task's texts as one row.
 
-    Pads are nulls.  ``frequent``: a Bloom filter of words and pairs; a word that it lacks, and all behind the first pair that it lacks,
+    Pads are nulls.  ``held``: a Bloom filter of words and pairs; a word that it lacks, and all behind the first pair that it lacks,
     is padding.
     """
     names = [f"w{k}" for k in range(1, order + 1)]
@@ -82,8 +82,8 @@ def counted_windows(docs: DataFrame, order: int, frequent: np.ndarray, part_byte
         for lang, pieces in pieces_of(batches, part_bytes):
             ids, joined = pieces.ids, pieces.joined
             if len(joined):
-                joined = joined & in_filter(frequent, pieces.pairs())
-            ids = np.where(in_filter(frequent, pieces.hashes)[ids], ids, -1) if len(ids) else ids
+                joined = joined & in_filter(held, pieces.pairs())
+            ids = np.where(in_filter(held, pieces.hashes)[ids], ids, -1) if len(ids) else ids
             # Windows are numbered column by column: equal numbers so far and equal next words are equal windows.
             columns, alive = [ids], np.ones(len(ids), bool)
             for k in range(1, order):
@@ -105,19 +105,23 @@ def counted_windows(docs: DataFrame, order: int, frequent: np.ndarray, part_byte
     return docs.mapInArrow(count, schema)
 
 
-def frequent_words(docs: DataFrame, least: int, bits: int, part_bytes: int) -> np.ndarray:
-    """A Bloom filter of all words and all pairs of neighbours that occur ``least`` times; at most ``bits / 32`` sums reach the driver.
+def frequent(docs: DataFrame, least: int, bits: int, part_bytes: int, words: np.ndarray | None = None) -> np.ndarray:
+    """A Bloom filter of all words that occur ``least`` times, or with that of the ``words`` also of all such pairs of neighbours.
 
-    They are counted by 64-bit hashes: where two share one, the filter may hold one too many, never one too few.
+    At most ``bits / 32`` sums reach the driver.  Words and pairs are counted by 64-bit hashes: where two share one, the filter
+    may hold one too many, never one too few.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in pieces_of(batches, part_bytes):
-            pairs, times = np.unique(pieces.pairs()[pieces.joined], return_counts=True) if len(pieces.joined) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            hashes = np.concatenate((pieces.hashes, pairs))
-            times = np.concatenate((np.bincount(pieces.ids, minlength=len(pieces.hashes)), times)).astype(np.int64)
+            if words is None:
+                hashes, times = pieces.hashes, np.bincount(pieces.ids, minlength=len(pieces.hashes))
+            else:
+                held = in_filter(words, pieces.hashes)
+                both = pieces.joined & held[pieces.ids[:-1]] & held[pieces.ids[1:]] if len(held) else pieces.joined[:0]
+                hashes, times = np.unique(pieces.pairs()[both] if len(both) else np.zeros(0, np.uint64), return_counts=True)
             for low in range(0, len(hashes), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[low : low + 500_000].view(np.int64)), pa.array(times[low : low + 500_000])], names=["hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[low : low + 500_000].view(np.int64)), pa.array(times[low : low + 500_000].astype(np.int64))], names=["hash", "n"])
 
     counted = docs.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
@@ -129,18 +133,21 @@ def frequent_words(docs: DataFrame, least: int, bits: int, part_bytes: int) -> n
     marked = counted.select("hash").mapInArrow(mark, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     halves = np.zeros(bits // 32, np.uint32)
     halves[np.asarray(marked.column("slot").combine_chunks())] = np.asarray(marked.column("bits").combine_chunks())
-    return halves.view("<u8").astype(np.uint64)
+    found = halves.view("<u8").astype(np.uint64)
+    return found if words is None else found | words
 
 
 def phrase_counts(docs: DataFrame, order: int, least: int, filter_bits: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
     """``lang, words, phrase, f`` of all phrases of 1 to ``order`` words with ``f >= least``, and ``lang, n`` of all words."""
-    frequent = frequent_words(docs, least, filter_bits, part_bytes)
+    words = frequent(docs, least, filter_bits, part_bytes)
+    held = frequent(docs, least, filter_bits, part_bytes, words)
     names = [f"w{k}" for k in range(1, order + 1)]
-    sums = counted_windows(docs, order, frequent, part_bytes).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    windows = counted_windows(docs, order, held, part_bytes).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    sums = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # At the level of k words the last 'order - k' columns are summed over; a pad in the first k is a shorter phrase.
-    words = F.expr("CASE " + " ".join(f"WHEN level = {(1 << (order - k)) - 1} THEN {k}" for k in range(order + 1)) + " END")
+    size = F.expr("CASE " + " ".join(f"WHEN level = {(1 << (order - k)) - 1} THEN {k}" for k in range(order + 1)) + " END")
     whole = F.expr("CASE " + " ".join(f"WHEN words = {k} THEN w{k} IS NOT NULL" for k in range(1, order + 1)) + " ELSE true END")
-    kept = sums.withColumn("words", words).filter(F.col("words").isNotNull() & whole & ((F.col("words") == 0) | (F.col("f") >= least)))
+    kept = sums.withColumn("words", size).filter(F.col("words").isNotNull() & whole & ((F.col("words") == 0) | (F.col("f") >= least)))
     kept = written(kept.select("lang", "words", F.concat_ws(" ", *names).alias("phrase"), "f"), "phrases")
     return kept.filter("words > 0"), kept.filter("words = 0").select("lang", F.col("f").alias("n"))
 
