@@ -374,6 +374,72 @@ def load_json_array(spark, sf_dir):
     return tl.load_data(spark, catalog, "array").filter("o_orderkey >= 0")
 
 
+SUPPLIER_SQL = "SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier"
+
+
+@query(SUPPLIER_SQL)
+def load_fixed_width_inferred(spark, sf_dir):
+    """Rendered suppliers, read without positions or types: both come from all lines."""
+    supplier = load(spark, sf_dir, "supplier")
+    line = F.concat_ws(
+        "  ", F.rpad(F.col("s_suppkey").cast("string"), 12, " "), F.rpad("s_name", 30, " "), F.lpad(F.col("s_nationkey").cast("string"), 5, " "),
+        F.lpad(F.col("s_acctbal").cast("decimal(18,2)").cast("string"), 20, " "),
+    )
+    folder = shared_folder(spark)
+    supplier.select(line.alias("value")).write.text(folder)
+    load_options = {"names": supplier.columns, "inferTypes": True}
+    return tl.load_data(spark, {"lines": {"file_path": folder, "file_format": "fwf", "load": load_options}}, "lines")
+
+
+@query(
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
+    "l_returnflag, l_linestatus, l_shipdate FROM lineitem"
+)
+def load_table_inferred_types(spark, sf_dir):
+    """Line items as tab-separated text, with types inferred from all rows."""
+    folder = shared_folder(spark)
+    catalog = {
+        "written": {"file_path": folder, "file_format": "csv", "save": {"sep": "\t"}},
+        "read": {"file_path": folder, "file_format": "table", "load": {"inferTypes": True}},
+    }
+    tl.save_data(load(spark, sf_dir, "lineitem"), catalog, "written")
+    return tl.load_data(spark, catalog, "read")
+
+
+# Checks of rows
+
+LINEITEM_RULES = {
+    "small": "l_quantity < 45",
+    "late": "l_shipdate >= TIMESTAMP_NTZ '1995-01-01 00:00:00'",
+    "discounted": "l_discount > 0",
+    "open": "l_linestatus = 'O' OR l_returnflag <> 'N'",
+}
+
+
+@query(
+    "SELECT 'rows' AS rule, count(*) AS n FROM lineitem "
+    "UNION ALL SELECT 'small', count(*) FROM lineitem WHERE NOT l_quantity < 45 "
+    "UNION ALL SELECT 'late', count(*) FROM lineitem WHERE NOT l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' "
+    "UNION ALL SELECT 'discounted', count(*) FROM lineitem WHERE NOT l_discount > 0 "
+    "UNION ALL SELECT 'open', count(*) FROM lineitem WHERE NOT (l_linestatus = 'O' OR l_returnflag <> 'N')"
+)
+def check_counts_of_save(spark, sf_dir):
+    """Rows that break each rule, counted by the write itself."""
+    catalog = {"there": {"file_path": shared_folder(spark), "file_format": "parquet", "save": {"checks": LINEITEM_RULES}}}
+    counts = tl.save_data(load(spark, sf_dir, "lineitem"), catalog, "there")
+    return spark.createDataFrame(list(counts.items()), "rule string, n bigint")
+
+
+@query(
+    "SELECT rule, l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, unnest(list_filter(["
+    "CASE WHEN NOT l_quantity < 45 THEN 'small' END, CASE WHEN NOT l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' THEN 'late' END, "
+    "CASE WHEN NOT l_discount > 0 THEN 'discounted' END, CASE WHEN NOT (l_linestatus = 'O' OR l_returnflag <> 'N') THEN 'open' END"
+    "], lambda x: x IS NOT NULL)) AS rule FROM lineitem)"
+)
+def rows_that_break_rules(spark, sf_dir):
+    return tl.broken_rows(load(spark, sf_dir, "lineitem"), LINEITEM_RULES).select("rule", "l_orderkey", "l_linenumber")
+
+
 # File inventory
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 from collections.abc import Mapping
 from typing import Any
 from urllib.parse import unquote
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..catalog import find_entry, join_path, merge_options, table_format
 from ..functions.keys import column
+from ..operators.checks import observe_checks, stop_at_broken
 from ..operators.dtypes import clean_dtypes
 from ..sources.feather import FeatherSource
 
@@ -37,13 +39,16 @@ TEXT_DEFAULTS = {
 
 def save_data(
     df: DataFrame, catalog: Mapping[str, Mapping], catalog_entry: str, **options: Any
-) -> None:
+) -> dict[str, int] | None:
     """Write a table to its entry; call options win over the entry's ``save`` options.
 
     Besides the options of the format's writer: ``suffix`` (call only), ``mode`` (``overwrite`` unless
     given), ``partitionBy``, and ``rebalance`` (shuffle by the partition columns first, so that each
     folder gets few, evenly sized files instead of one per task).  With
     ``partitionOverwriteMode="dynamic"`` an overwrite keeps the partitions it does not write.
+
+    ``checks`` are conditions by name that good rows fulfil.  They are counted in the write's own pass, and the result is the number
+    of ``rows`` and of those that break each; ``broken_rows`` gives these rows.  With ``stopAtBroken`` the first one stops the write.
     """
     entry = find_entry(catalog, catalog_entry)
     suffix = options.pop("suffix", None)
@@ -53,13 +58,17 @@ def save_data(
     fmt = table_format(entry, path)
     if fmt in READ_ONLY_FORMATS:
         raise ValueError(f"{catalog_entry}: format {fmt!r} can only be loaded")
+    rules, seen = options.pop("checks", None), None
+    stops = str(options.pop("stopAtBroken", False)).lower() == "true"
+    if rules:
+        df, seen = observe_checks(stop_at_broken(df, rules) if stops else df, rules)
     mode = options.pop("mode", "overwrite")
     partition_by = _as_list(options.pop("partitionBy", []))
     if options.pop("rebalance", False):
         df = df.hint("rebalance", *[column(name) for name in partition_by])
     if fmt == "sql":
         _write_table(df, path, mode, partition_by, options)
-        return
+        return seen.get if seen else None
     if fmt == "feather":
         if partition_by:
             raise ValueError(f"{catalog_entry}: feather files cannot be partitioned by columns")
@@ -75,6 +84,7 @@ def save_data(
     if mode == "overwrite" and fmt != "feather" and not dynamic:
         _refuse_own_input(df, path)
     _writer(df.write, mode, partition_by, options).format(fmt).save(path)
+    return seen.get if seen else None
 
 
 def publish_data(
@@ -84,19 +94,52 @@ def publish_data(
     prefix: str | None = None,
     **options: Any,
 ) -> str:
-    """Overwrite the published table of an entry, decimals as doubles; returns the table's name.
+    """Replace the published table of an entry, decimals as doubles; returns the table's name.
 
-    The name is the entry's, after ``prefix`` and an underscore if there is one.
+    The name is the entry's, after ``prefix`` and an underscore if there is one.  The rows are written to a table of another
+    name first, which takes the name over when it is whole: until then, and if the query fails, the old table
+    stays.  With ``path``, each publication has a folder of its own below it.
     """
     options = merge_options(find_entry(catalog, catalog_entry), "save", options)
     partition_by = _as_list(options.pop("partitionBy", []))
     for key in ("mode", "suffix", "rebalance"):
         options.pop(key, None)
     name = f"{prefix}_{catalog_entry}" if prefix else catalog_entry
-    _write_table(clean_dtypes(df), name, "overwrite", partition_by, options)
+    spark, turn = df.sparkSession, uuid.uuid4().hex
+    if options.get("path"):
+        _refuse_own_input(df, options["path"])
+        options["path"] = f"{options['path'].rstrip('/')}/published-{turn}"
+    staged, old = f"{name}_staged_{turn}", f"{name}_old_{turn}"
+    # A catalog in memory forgets to move the partitions of a table that is renamed: there, folders say which they are.
+    key, in_memory = "spark.sql.hive.manageFilesourcePartitions", spark.conf.get("spark.sql.catalogImplementation") == "in-memory"
+    managed = spark.conf.get(key)
+    try:
+        if in_memory:
+            spark.conf.set(key, "false")
+        _write_table(clean_dtypes(df), staged, "errorifexists", partition_by, options)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {_quoted(staged)}")
+        raise
+    finally:
+        spark.conf.set(key, managed)
+    replaced = spark.catalog.tableExists(_quoted(name))
+    if replaced:
+        spark.sql(f"ALTER TABLE {_quoted(name)} RENAME TO {_quoted(old)}")
+    try:
+        spark.sql(f"ALTER TABLE {_quoted(staged)} RENAME TO {_quoted(name)}")
+    except Exception:
+        if replaced:
+            spark.sql(f"ALTER TABLE {_quoted(old)} RENAME TO {_quoted(name)}")
+        raise
+    if replaced:
+        spark.sql(f"DROP TABLE {_quoted(old)}")
     return name
 
 
+def _quoted(name: str) -> str:
+    return ".".join(f"`{part}`" for part in name.replace("`", "").split("."))
+
+
 def _one_line(field: T.StructField) -> Column:
     """The column, where a line break stops the query: without ``multiLine`` it would be read as two rows."""
     col = column(field.name)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 TABLE_ROWS = "array<struct<table_no:int,row_no:int,cells:array<string>>>"
 
+#: The most columns that a cell may span; browsers stop at a thousand.
+MOST_SPAN = 10_000
+
 # Fixed value: blanks that read as one blank.
 _BLANKS = re.compile(r"[\r\n]+|\s{2,}")
 
@@ -23,8 +26,9 @@ class _Tables(HTMLParser):
     text of a nested table belongs to its own rows and to the cell around it.
     """
 
-    def __init__(self, tables: int):
+    def __init__(self, tables: int, most_span: int):
         super().__init__(convert_charrefs=True)
+        self.most_span = most_span
         self.rows: list[dict] = []
         self.tables = tables
         self.open: list[dict] = []  # the tables around the current position, innermost last
@@ -67,6 +71,8 @@ class _Tables(HTMLParser):
         if table["text"] is not None:
             text = _BLANKS.sub(" ", "".join(table["text"]).strip())
             columns, rows = table["span"]
+            if columns > self.most_span:
+                raise ValueError(f"a cell spans {columns} columns, more than {self.most_span}")
             for _ in range(columns):
                 self._cells_from_above()
                 if rows > 1:
@@ -133,11 +139,11 @@ def _outer_tables(page: str) -> Iterator[str]:
         yield page[start:]
 
 
-def _page_rows(page: str | None) -> list[dict]:
+def _page_rows(page: str | None, most_span: int) -> list[dict]:
     rows: list[dict] = []
     tables = 0
     for part in _outer_tables(page or ""):
-        parser = _Tables(tables)
+        parser = _Tables(tables, most_span)
         parser.feed(part)
         parser.close()
         rows += parser.rows
@@ -145,20 +151,23 @@ def _page_rows(page: str | None) -> list[dict]:
     return rows
 
 
-def html_table_rows(html: Column | str) -> Column:
-    """All table rows of a page, as an array of ``(table_no, row_no, cells)``."""
+def html_table_rows(html: Column | str, most_span: int = MOST_SPAN) -> Column:
+    """All table rows of a page, as an array of ``(table_no, row_no, cells)``.
+
+    A cell that spans more than ``most_span`` columns stops the query: a short page could ask for any number of cells.
+    """
 
     @F.pandas_udf(TABLE_ROWS)
     def parse(pages: pd.Series) -> pd.Series:
-        return pages.map(_page_rows)
+        return pages.map(lambda page: _page_rows(page, most_span))
 
     return parse(html)
 
 
-def html_tables(df: DataFrame, html: str, *keep: str) -> DataFrame:
+def html_tables(df: DataFrame, html: str, *keep: str, most_span: int = MOST_SPAN) -> DataFrame:
     """One row per table row: the ``keep`` columns, then ``table_no, row_no, cells``.
 
     Pages without a table never leave the JVM, and of the others only the page text does.
     """
     with_tables = df.filter(F.col(html).rlike("(?i)<table"))
-    return with_tables.select(*keep, F.inline(html_table_rows(html)))
+    return with_tables.select(*keep, F.inline(html_table_rows(html, most_span)))

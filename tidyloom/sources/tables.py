@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import find_entry, join_path, merge_options, table_format
 from ..functions.keys import column
+from ..operators.checks import stop_at_broken
+from ..operators.inference import infer_types
 from .feather import FeatherSource
 from .files import FilesSource
 from .fixed_width import read_fixed_width
@@ -28,14 +31,23 @@ def load_data(
     """The table behind an entry.
 
     Call options win over the entry's ``load`` options.  Besides the options of the format's reader:
-    ``suffix`` (a file or folder under the entry's path), ``schema`` (DDL text or a ``StructType``)
-    and ``columns`` (read only these).
+    ``suffix`` (a file or folder under the entry's path), ``schema`` (DDL text or a ``StructType``),
+    ``columns`` (read only these), ``inferTypes`` (text columns get the types that all of their values fit, by a pass over the
+    table) and ``checks`` (conditions by name; a row that breaks one stops the query).
     """
     entry = find_entry(catalog, catalog_entry)
     options = merge_options(entry, "load", options)
     path = join_path(entry["file_path"], options.pop("suffix", None))
     fmt = table_format(entry, path)
     columns = options.pop("columns", None)
+    rules, infer = options.pop("checks", None), str(options.pop("inferTypes", False)).lower() == "true"
+    df = _loaded(spark, fmt, path, columns, options)
+    if infer:
+        df = infer_types(df)
+    return stop_at_broken(df, rules) if rules else df
+
+
+def _loaded(spark: SparkSession, fmt: str, path: str, columns: list[str] | None, options: dict) -> DataFrame:
     if fmt in FILE_SOURCES:
         return _load_file_source(spark, fmt, path, columns, options)
     df = _LOADERS.get(fmt, _load_spark)(spark, fmt, path, options)
@@ -166,9 +178,20 @@ def _load_fixed_width(spark: SparkSession, fmt: str, path: str, options: dict) -
 
 
 def _load_html(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
-    pages = spark.read.options(**options).text(path, wholetext=True, recursiveFileLookup=True)
-    pages = pages.select(F.col("_metadata.file_path").alias("file_path"), F.col("value"))
-    return html_tables(pages, "value", "file_path")
+    """``file_path, table_no, row_no, cells``, and the columns of partition folders; other folders are read all the way down."""
+    more = {"most_span": int(options.pop("mostSpan"))} if "mostSpan" in options else {}
+    try:
+        pages = spark.read.options(**options).text(path, wholetext=True)
+    except AnalysisException as error:
+        if "CONFLICTING" not in str(error):
+            raise
+        pages = None
+    if pages is None or len(pages.columns) == 1:
+        pages = spark.read.options(**{"recursiveFileLookup": True, **options}).text(path, wholetext=True)
+    folders = [name for name in pages.columns if name != "value"]
+    pages = pages.select(F.col("_metadata.file_path").alias("file_path"), F.col("value"), *map(column, folders))
+    tables = html_tables(pages, "value", "file_path", *[f"`{name}`" for name in folders], **more)
+    return tables.select("file_path", "table_no", "row_no", "cells", *map(column, folders))
 
 
 def _load_sql(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
