@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,7 +182,7 @@ def _load_html(spark: SparkSession, fmt: str, path: str, options: dict) -> DataF
     more = {"most_span": int(options.pop("mostSpan"))} if "mostSpan" in options else {}
     try:
         pages = spark.read.options(**options).text(path, wholetext=True)
-    except AnalysisException as error:
+    except PySparkException as error:
         if "CONFLICTING" not in str(error):
             raise
         pages = None
