@@ -197,7 +197,7 @@ def test_collocations_of_other_orders_and_nothing(spark, talk):
 
 
 def test_windows_are_summed_by_one_rollup(spark, talk):
-    held = np.full(4, np.iinfo(np.uint64).max, np.uint64)  # a filter that holds every pair
+    held = np.full(4, np.iinfo(np.uint64).max, np.uint64)  # a filter that holds everything
     windows = collocations.counted_windows(docs(spark, talk).select("lang", "text").na.fill("und", ["lang"]), 4, held, 1 << 20)
     plan = windows.rollup("lang", "w1", "w2", "w3", "w4").agg(F.sum("n"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Expand") == 1 and plan.count("hashpartitioning") == 1

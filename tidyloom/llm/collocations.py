@@ -4,9 +4,9 @@ A window is a word and the ``order - 1`` words that lead on from it within its p
 windows are counted, and one ROLLUP over language and window columns sums their counts: the sums at the
 first ``k`` columns are the occurrences of phrases of ``k`` words, those at the language all its words.
 
-A phrase that is asked for is frequent, and so is every word and every pair of neighbours in it.  So hashes of words, then of
-neighbours are counted first, and the frequent ones become a Bloom filter of a fixed size; windows are padded behind the
-first pair that it does not hold, and words that it does not hold are pads.  What it holds by mistake costs rows, never results.
+A phrase that is asked for is frequent, and so is every shorter one in it.  So hashes of words, of pairs and of triples are
+counted first, each only where the shorter ones are frequent, and the frequent ones become a Bloom filter of a fixed size;
+windows are padded behind the first of them that it does not hold.  What it holds by mistake costs rows, never results.
 """
 
 from __future__ import annotations
@@ -32,11 +32,15 @@ def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes % np.uint64(bits), mix64(hashes) % np.uint64(bits)
 
 
-def in_filter(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    out = np.ones(len(hashes), bool)
-    for place in places(hashes, len(held) * 64):
+def in_filter(held: np.ndarray, hashes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of the ``hashes`` that are ``asked`` the filter holds."""
+    at = np.flatnonzero(asked)
+    out = np.ones(len(at), bool)
+    for place in places(hashes[at], len(held) * 64):
         out &= (held[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-    return out
+    found = np.zeros(len(hashes), bool)
+    found[at[out]] = True
+    return found
 
 
 class Pieces:
@@ -57,9 +61,19 @@ class Pieces:
         salt = span_hashes(name, np.array([0]), np.array([len(name)]))
         self.hashes = mix64(span_hashes(data, opens[first], closes[first]) + salt)
 
-    def pairs(self) -> np.ndarray:
-        """A hash of each word and its successor, whether they are joined or not."""
-        return mix64(self.hashes[self.ids[:-1]] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.ids[1:]])
+    def grams(self, held: np.ndarray, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Hashes of ``size`` words from each word on, and for 1 up to ``size`` words whether they are one that is asked for.
+
+        The words have to lie in one piece, and all shorter grams in them have to be ``held``; the last array is before
+        the filter is asked for grams of that size.
+        """
+        hashes, asked = self.hashes[self.ids], [np.ones(len(self.ids), bool)]
+        for k in range(2, size + 1):
+            here = asked[-1] & in_filter(held, hashes, asked[-1])
+            asked[-1] = here
+            hashes = mix64(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.ids[k - 1 :]])
+            asked.append(here[:-1] & here[1:] & (self.joined if k == 2 else True))
+        return hashes, asked
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[tuple[str, Pieces]]:
@@ -73,25 +87,20 @@ def pieces_of(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[tu
 def counted_windows(docs: DataFrame, order: int, held: np.ndarray, part_bytes: int) -> DataFrame:
     """``lang, w1, ..., n``: equal windows of a part of a task's texts as one row.
 
-    Pads are nulls.  ``held``: a Bloom filter of words and pairs; a word that it lacks, and all behind the first pair that it lacks,
-    is padding.
+    Pads are nulls.  ``held``: a Bloom filter of grams of up to ``order - 1`` words; behind the first gram that it lacks all is padding.
     """
     names = [f"w{k}" for k in range(1, order + 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, pieces in pieces_of(batches, part_bytes):
-            ids, joined = pieces.ids, pieces.joined
-            if len(joined):
-                joined = joined & in_filter(held, pieces.pairs())
-            ids = np.where(in_filter(held, pieces.hashes)[ids], ids, -1) if len(ids) else ids
             # Windows are numbered column by column: equal numbers so far and equal next words are equal windows.
-            columns, alive = [ids], np.ones(len(ids), bool)
-            for k in range(1, order):
-                alive = alive[:-1] & joined[k - 1 :] if len(alive) else alive
-                lead = np.full(len(ids), -1, ids.dtype)
-                lead[: len(alive)] = np.where(alive, ids[k:], -1)
+            columns = []
+            for k, alive in enumerate(pieces.grams(held, order)[1][: len(pieces.ids)]):
+                lead = np.full(len(pieces.ids), -1, pieces.ids.dtype)
+                lead[: len(alive)] = np.where(alive, pieces.ids[k:], -1)
                 columns.append(lead)
-            number, wide = ids.astype(np.int64) + 1, len(pieces.words) + 1
+            columns += [np.full(len(pieces.ids), -1, pieces.ids.dtype)] * (order - len(columns))
+            number, wide = columns[0].astype(np.int64) + 1, len(pieces.words) + 1
             for lead in columns[1:]:
                 number = np.unique(number, return_inverse=True)[1] * wide + lead + 1
             _, at, times = np.unique(number, return_index=True, return_counts=True)
@@ -105,21 +114,19 @@ def counted_windows(docs: DataFrame, order: int, held: np.ndarray, part_bytes: i
     return docs.mapInArrow(count, schema)
 
 
-def frequent(docs: DataFrame, least: int, bits: int, part_bytes: int, words: np.ndarray | None = None) -> np.ndarray:
-    """A Bloom filter of all words that occur ``least`` times, or with that of the ``words`` also of all such pairs of neighbours.
+def frequent(docs: DataFrame, size: int, least: int, bits: int, part_bytes: int, held: np.ndarray) -> np.ndarray:
+    """The Bloom filter ``held`` of shorter grams with all grams of ``size`` words that occur ``least`` times.
 
-    At most ``bits / 32`` sums reach the driver.  Words and pairs are counted by 64-bit hashes: where two share one, the filter
-    may hold one too many, never one too few.
+    Counted are grams whose shorter grams are all held.  At most ``bits / 32`` sums reach the driver.  Grams are counted by 64-bit
+    hashes: where two share one, the filter may hold one too many, never one too few.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in pieces_of(batches, part_bytes):
-            if words is None:
-                hashes, times = pieces.hashes, np.bincount(pieces.ids, minlength=len(pieces.hashes))
-            else:
-                held = in_filter(words, pieces.hashes)
-                both = pieces.joined & held[pieces.ids[:-1]] & held[pieces.ids[1:]] if len(held) else pieces.joined[:0]
-                hashes, times = np.unique(pieces.pairs()[both] if len(both) else np.zeros(0, np.uint64), return_counts=True)
+            if len(pieces.ids) < size:
+                continue
+            hashes, asked = pieces.grams(held, size)
+            hashes, times = np.unique(hashes[asked[-1]], return_counts=True)
             for low in range(0, len(hashes), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[low : low + 500_000].view(np.int64)), pa.array(times[low : low + 500_000].astype(np.int64))], names=["hash", "n"])
 
@@ -134,13 +141,14 @@ def frequent(docs: DataFrame, least: int, bits: int, part_bytes: int, words: np.
     halves = np.zeros(bits // 32, np.uint32)
     halves[np.asarray(marked.column("slot").combine_chunks())] = np.asarray(marked.column("bits").combine_chunks())
     found = halves.view("<u8").astype(np.uint64)
-    return found if words is None else found | words
+    return found | held
 
 
 def phrase_counts(docs: DataFrame, order: int, least: int, filter_bits: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
     """``lang, words, phrase, f`` of all phrases of 1 to ``order`` words with ``f >= least``, and ``lang, n`` of all words."""
-    words = frequent(docs, least, filter_bits, part_bytes)
-    held = frequent(docs, least, filter_bits, part_bytes, words)
+    held = np.zeros(filter_bits // 64, np.uint64)
+    for size in range(1, order):
+        held = frequent(docs, size, least, filter_bits, part_bytes, held)
     names = [f"w{k}" for k in range(1, order + 1)]
     windows = counted_windows(docs, order, held, part_bytes).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     sums = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
