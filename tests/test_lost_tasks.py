@@ -30,7 +30,13 @@ df = spark.range(0, 10_000, 1, 4).mapInArrow(fail_once, "id bigint")
 catalog = {"t": {"file_path": folder + "/t", "file_format": "feather"}}
 tl.save_data(df, catalog, "t")
 back = tl.load_data(spark, catalog, "t")
-print("RESULT", back.count(), back.distinct().count(), sorted({f[:4] for f in os.listdir(folder + "/t")}))
+split = {"t": {"file_path": folder + "/s", "file_format": "feather", "save": {"partitionBy": "k"}}}
+tl.save_data(df.selectExpr("id", "id % 7 AS k"), split, "t")
+there = tl.load_data(spark, split, "t")
+assert there.count() == 10_000 and there.filter("k = id % 7").distinct().count() == 10_000
+assert sum(len(names) for _, _, names in os.walk(folder + "/s")) == 4 * 7 + 1
+files = [f for f in os.listdir(folder + "/t") if f.startswith("part")]
+print("RESULT", back.count(), back.distinct().count(), len(files), sorted({f[:4] for f in os.listdir(folder + "/t")}))
 """
 
 
@@ -43,4 +49,4 @@ def test_repeated_tasks_double_nothing(tmp_path):
         timeout=300,
         cwd=tmp_path,
     )
-    assert "RESULT 10000 10000 ['part']" in run.stdout, run.stdout + run.stderr[-2000:]
+    assert "RESULT 10000 10000 4 ['_man', 'part']" in run.stdout, run.stdout + run.stderr[-2000:]

@@ -71,7 +71,9 @@ def save_data(
         return seen.get if seen else None
     if fmt == "feather":
         if partition_by:
-            raise ValueError(f"{catalog_entry}: feather files cannot be partitioned by columns")
+            # A source written in Python has no partitionBy of its own: rows of a folder follow each other in each task.
+            df = df.sortWithinPartitions(*[column(name) for name in partition_by])
+            options, partition_by = {**options, "partitionColumns": json.dumps(partition_by)}, []
         df.sparkSession.dataSource.register(FeatherSource)
     elif fmt in TEXT_DEFAULTS:
         options = {**TEXT_DEFAULTS[fmt], **options}

@@ -8,12 +8,14 @@ be cut gives a large file to several tasks.
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -144,10 +146,11 @@ class FilesReader(DataSourceReader):
     def __init__(self, source: FilesSource, schema: T.StructType):
         self.source = source
         self.schema = schema
+        self.conditions = checked_conditions(source.conditions, to_arrow_schema(schema))
 
     def partitions(self) -> list[InputPartition]:
-        files = list_files(self.source.path)
-        return [InputPartition(group) for group in pack(self.source.pieces(files))]
+        pieces = self.source.pieces(self.source.listed(self.conditions))
+        return [InputPartition(group) for group in pack(pieces)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(self.schema)
@@ -156,8 +159,7 @@ class FilesReader(DataSourceReader):
             if self.source.inferred:
                 self._refuse_unknown_columns(self.source.file_schema(fs, path).names, path)
             for batch in self.source.batches(fs, path, part, schema.names):
-                yield conform(batch, schema)
-
+                yield selected(conform(batch, schema), self.conditions)
 
     def _refuse_unknown_columns(self, names: list[str], path: str) -> None:
         unknown = [name for name in names if place_of(name, self.schema.names) is None]
@@ -165,6 +167,50 @@ class FilesReader(DataSourceReader):
             raise ValueError(f"{path} has columns that the first file lacks: {unknown}; declare a schema, or columns")
 
 
+def _is_plain(dtype: pa.DataType) -> bool:
+    """Types that Arrow and Spark compare alike: floating-point numbers (NaN) and times with a zone are not among them."""
+    zoned = pa.types.is_timestamp(dtype) and dtype.tz is not None
+    kinds = (pa.types.is_integer, pa.types.is_string, pa.types.is_boolean, pa.types.is_date, pa.types.is_decimal, pa.types.is_timestamp)
+    return not zoned and any(kind(dtype) for kind in kinds)
+
+
+def _given(value: str, dtype: pa.DataType) -> pa.Scalar:
+    return pa.scalar(value, pa.string()).cast(dtype)
+
+
+#: What a condition does to a column; values come as text.
+TESTS = {
+    "=": lambda x, v: pc.equal(x, _given(v, x.type)),
+    ">": lambda x, v: pc.greater(x, _given(v, x.type)),
+    ">=": lambda x, v: pc.greater_equal(x, _given(v, x.type)),
+    "<": lambda x, v: pc.less(x, _given(v, x.type)),
+    "<=": lambda x, v: pc.less_equal(x, _given(v, x.type)),
+    "in": lambda x, v: pc.and_(pc.is_in(x, value_set=pa.array(v, pa.string()).cast(x.type)), pc.is_valid(x)),
+    "is null": lambda x, v: pc.is_null(x),
+    "is not null": lambda x, v: pc.is_valid(x),
+}
+
+#: Column, test and value (a list for ``in``, nothing for the last two).
+Condition = tuple[str, str, object]
+
+
+def checked_conditions(conditions: list[Condition], schema: pa.Schema) -> list[Condition]:
+    for name, test, _ in conditions:
+        if name not in schema.names or test not in TESTS:
+            raise ValueError(f"a condition needs a column of the table and one of {sorted(TESTS)}, not {name!r} and {test!r}")
+        if not _is_plain(schema.field(name).type):
+            raise ValueError(f"{name}: conditions on columns of type {schema.field(name).type} are left to filters of the table")
+    return conditions
+
+
+def selected(batch: pa.RecordBatch, conditions: list[Condition]) -> pa.RecordBatch:
+    """The rows for which all conditions are true; one on a column that the batch lacks says nothing."""
+    for name, test, value in conditions:
+        if name in batch.schema.names:
+            batch = batch.filter(TESTS[test](batch.column(name), value))
+    return batch
+
+
 class FilesSource(DataSource):
     """Base of the formats; a format says how to read a schema and the batches of one piece."""
 
@@ -186,8 +232,17 @@ class FilesSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return FilesReader(self, schema)
 
-    def pieces(self, files: list[tuple[str, int]]) -> Iterable[Piece]:
-        return [(path, None, size) for path, size in files]
+    @property
+    def conditions(self) -> list[Condition]:
+        """Of the option ``where``: rows that fail one do not leave the task, and files of which none can pass are not opened."""
+        return [tuple(x) for x in json.loads(self.options.get("where", "[]"))]
+
+    def listed(self, conditions: list[Condition]) -> list[tuple]:
+        """The data files, each with its path and size first; ``conditions`` may leave some out."""
+        return list_files(self.path)
+
+    def pieces(self, files: list[tuple]) -> Iterable[Piece]:
+        return [(path, None, size) for path, size, *_ in files]
 
     def file_schema(self, fs: pafs.FileSystem, path: str) -> pa.Schema:
         raise NotImplementedError

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
@@ -32,7 +34,8 @@ def load_data(
 
     Call options win over the entry's ``load`` options.  Besides the options of the format's reader:
     ``suffix`` (a file or folder under the entry's path), ``schema`` (DDL text or a ``StructType``),
-    ``columns`` (read only these), ``inferTypes`` (text columns get the types that all of their values fit, by a pass over the
+    ``columns`` (read only these), ``where`` (conditions ``(column, test, value)`` on columns, all of which hold; the test is one of ``=``,
+    ``>``, ``>=``, ``<``, ``<=``, ``in``, ``is null`` and ``is not null``), ``inferTypes`` (text columns get the types that all of their values fit, by a pass over the
     table) and ``checks`` (conditions by name; a row that breaks one stops the query).
     """
     entry = find_entry(catalog, catalog_entry)
@@ -41,7 +44,13 @@ def load_data(
     fmt = table_format(entry, path)
     columns = options.pop("columns", None)
     rules, infer = options.pop("checks", None), str(options.pop("inferTypes", False)).lower() == "true"
-    df = _loaded(spark, fmt, path, columns, options)
+    where = options.get("where", []) if fmt in FILE_SOURCES else options.pop("where", [])
+    if where and fmt not in FILE_SOURCES:
+        # Spark's own readers take filters from the plan.
+        df = _loaded(spark, fmt, path, None, options).filter(functools.reduce(operator.and_, map(_filter, where)))
+        df = df.select(*[column(name) for name in columns]) if columns else df
+    else:
+        df = _loaded(spark, fmt, path, columns, options)
     if infer:
         df = infer_types(df)
     return stop_at_broken(df, rules) if rules else df
@@ -73,6 +82,36 @@ def register_file_sources(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+def _as_texts(condition: tuple) -> tuple:
+    """A condition with its values as text; a null is equal to nothing."""
+    name, test, value = (*condition, None)[:3]
+    if test == "in":
+        return name, test, [_text(v) for v in value if v is not None]
+    return name, test, None if value is None else _text(value)
+
+
+def _text(value: Any) -> str:
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def _filter(condition: tuple) -> Column:
+    name, test, value = (*condition, None)[:3]
+    col = column(name)
+    tests = {
+        "=": lambda: col == value,
+        ">": lambda: col > value,
+        ">=": lambda: col >= value,
+        "<": lambda: col < value,
+        "<=": lambda: col <= value,
+        "in": lambda: col.isin([v for v in value if v is not None]),
+        "is null": col.isNull,
+        "is not null": col.isNotNull,
+    }
+    if test not in tests:
+        raise ValueError(f"a condition needs one of {sorted(tests)}, not {test!r}")
+    return tests[test]()
+
+
 def _load_spark(spark: SparkSession, fmt: str, path: str, options: dict) -> DataFrame:
     reader = spark.read.format(fmt)
     if "schema" in options:
@@ -209,11 +248,13 @@ def _load_file_source(
 ) -> DataFrame:
     spark.dataSource.register(FILE_SOURCES[fmt])
     schema = options.pop("schema", None)
+    where = options.pop("where", [])
+    options["where"] = json.dumps([_as_texts(condition) for condition in where])
     reader = spark.read.format(fmt).options(**options)
     if columns and schema is None:
         # Declaring only the wanted columns keeps the others from being read.
         full = reader.load(path).schema
-        schema = T.StructType([full[name] for name in columns])
+        schema = T.StructType([full[name] for name in dict.fromkeys([*columns, *(name for name, *_ in where)])])
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)
