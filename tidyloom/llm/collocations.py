@@ -25,10 +25,13 @@ from tidyloom.llm.words import byte_set, word_array, word_edges
 BETWEEN = byte_set(b" \t.,;:!?\n\x0b\x0c\r")
 BREAKS = byte_set(b".,;:!?\n\x0b\x0c\r")
 SALTS = 64
+GROUP_BYTES = 4 << 20
 
 
 def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in a filter of ``bits`` for each hash of a word or a pair of words."""
+    """Two places in a filter of ``bits`` for the first 56 bits of each hash."""
+    hashes = hashes >> np.uint64(8) << np.uint64(8)
+    hashes = mix64(hashes + np.uint64(1))
     return hashes % np.uint64(bits), mix64(hashes) % np.uint64(bits)
 
 
@@ -114,30 +117,42 @@ def counted_windows(docs: DataFrame, order: int, held: np.ndarray, part_bytes: i
     return docs.mapInArrow(count, schema)
 
 
-def frequent(docs: DataFrame, size: int, least: int, bits: int, part_bytes: int, held: np.ndarray) -> np.ndarray:
+def frequent(docs: DataFrame, size: int, least: int, bits: int, part_bytes: int, held: np.ndarray, bucket_bits: int) -> np.ndarray:
     """The Bloom filter ``held`` of shorter grams with all grams of ``size`` words that occur ``least`` times.
 
-    Counted are grams whose shorter grams are all held.  At most ``bits / 32`` sums reach the driver.  Grams are counted by 64-bit
-    hashes: where two share one, the filter may hold one too many, never one too few.
+    Counted are grams whose shorter grams are all held.  At most ``bits / 32`` sums reach the driver.  Grams are counted by 56-bit
+    hashes: where two share one, the filter may hold one too many, never one too few.  Their first ``bucket_bits`` say which
+    group counts them; a row holds all that a part of a task's texts has for a group.
     """
+    low_bits = np.uint64(56 - bucket_bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in pieces_of(batches, part_bytes):
             if len(pieces.ids) < size:
                 continue
             hashes, asked = pieces.grams(held, size)
-            hashes, times = np.unique(hashes[asked[-1]], return_counts=True)
-            for low in range(0, len(hashes), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[low : low + 500_000].view(np.int64)), pa.array(times[low : low + 500_000].astype(np.int64))], names=["hash", "n"])
-
-    counted = docs.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = np.unique(np.concatenate(places(np.asarray(batch.column("hash")).view(np.uint64), bits)))
-            yield pa.RecordBatch.from_arrays([pa.array((place // 32).astype(np.int64)), pa.array(np.uint64(1) << place % np.uint64(32)).cast(pa.int64())], names=["slot", "bit"])
-
-    marked = counted.select("hash").mapInArrow(mark, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+            hashes, times = np.unique(hashes[asked[-1]] >> np.uint64(8), return_counts=True)
+            bucket = (hashes >> low_bits).astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))[: len(bucket)])
+            rests = (hashes & ((np.uint64(1) << low_bits) - np.uint64(1))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            counts = times.astype("<u4").tobytes()
+            edges = [*first.tolist(), len(bucket)]
+            blobs = [(rests[6 * a : 6 * b], counts[4 * a : 4 * b]) for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(2))], names=["bucket", "rests", "counts"])
+
+    def mark(table: pa.Table) -> pa.Table:
+        rests = np.frombuffer(b"".join(table.column("rests").to_pylist()), np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(rests), 8), np.uint8)
+        wide[:, :6] = rests
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4").astype(np.int64)
+        rest, which = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+        often = rest[np.bincount(which, weights=counts, minlength=len(rest)) >= least].astype(np.uint64)
+        hashes = (np.uint64(table.column("bucket")[0].as_py()) << low_bits | often) << np.uint64(8)
+        place = np.unique(np.concatenate(places(hashes, bits)))
+        return pa.table({"slot": pa.array((place // 32).astype(np.int64)), "bit": pa.array(np.uint64(1) << place % np.uint64(32)).cast(pa.int64())})
+
+    counted = docs.mapInArrow(count, "bucket bigint, rests binary, counts binary")
+    marked = counted.groupBy("bucket").applyInArrow(mark, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     halves = np.zeros(bits // 32, np.uint32)
     halves[np.asarray(marked.column("slot").combine_chunks())] = np.asarray(marked.column("bits").combine_chunks())
     found = halves.view("<u8").astype(np.uint64)
@@ -147,8 +162,11 @@ def frequent(docs: DataFrame, size: int, least: int, bits: int, part_bytes: int,
 def phrase_counts(docs: DataFrame, order: int, least: int, filter_bits: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
     """``lang, words, phrase, f`` of all phrases of 1 to ``order`` words with ``f >= least``, and ``lang, n`` of all words."""
     held = np.zeros(filter_bits // 64, np.uint64)
+    # A group of counts for every few MB of text.
+    text = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    bucket_bits = max(8, min(40, int(text // GROUP_BYTES).bit_length()))
     for size in range(1, order):
-        held = frequent(docs, size, least, filter_bits, part_bytes, held)
+        held = frequent(docs, size, least, filter_bits, part_bytes, held, bucket_bits)
     names = [f"w{k}" for k in range(1, order + 1)]
     windows = counted_windows(docs, order, held, part_bytes).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     sums = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
