@@ -1,6 +1,9 @@
 """Column functions against literal samples and plain-Python expectations."""
 
+import base64
 import datetime as dt
+import hashlib
+import json
 import random
 import struct
 import time
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import tidyloom as tl
+from tidyloom.functions.fingerprints import canonical_json, record_json
 
 NAMES = {
     "Customer ID": "customer_id",
@@ -377,6 +381,60 @@ def test_record_fingerprints(records, skip, texts, digests):
     assert [tuple(row) for row in got] == list(zip(texts, digests))
 
 
+@pytest.mark.parametrize(
+    "value, text",
+    [
+        ('{"b": [3, "x", null, true, {"z": 1, "a": [2, 1]}, 1.50, [9, 1], false, "a", 10], "a": "é\\n"}',
+         '[["a","\\u00e9\\n"],["b",[false,true,1.5,3,10,"a","x",[1,9],[["a",[1,2]],["z",1]],null]]]'),
+        ("[]", "[]"),
+        ("{}", "[]"),
+        ("null", "null"),
+        ('"q\\"x"', '"q\\"x"'),
+        ("[1e20, 0.1, 12345678901234567890, 1.0, 0.12345678901234567891]", "[0.1,0.12345678901234567891,1,12345678901234567890,1e+20]"),
+        ('[{"skip": 1}, {"k": 2, "skip": 0}]', '[[],[["k",2]]]'),
+    ],
+)
+def test_variants_are_written_by_value(spark, value, text):
+    df = spark.createDataFrame([(value,)], "j string").select(F.parse_json("j").alias("v"), F.lit(1).alias("n"))
+    found = df.select(canonical_json(F.col("v"), df.schema["v"].dataType, ["skip"])).head()[0]
+    assert found == text
+    digest = base64.urlsafe_b64encode(hashlib.sha256(text.encode()).digest()).decode()
+    assert df.select(tl.get_hash_str(F.col("v"), df.schema["v"].dataType, ["skip"])).head()[0] == digest
+    row = base64.urlsafe_b64encode(hashlib.sha256(f'[["n",1],["v",{text}]]'.encode()).digest()).decode()
+    assert df.select(tl.row_hash_str(df, skip=["skip"])).head()[0] == row
+
+
+def test_variants_within_lists_maps_and_records(spark):
+    df = spark.sql("""SELECT array(parse_json('2'), parse_json('"a"'), parse_json('1')) AS l, map('k', parse_json('[2, 1]')) AS m,
+        named_struct('y', parse_json('{"b": 1, "a": 2}'), 'x', CAST(NULL AS variant)) AS s, CAST(NULL AS variant) AS n""")
+    found = df.select(record_json(df)).head()[0]
+    assert found == '[["l",[1,2,"a"]],["m",[["k",[1,2]]]],["n",null],["s",[["x",null],["y",[["a",2],["b",1]]]]]]'
+    bad = spark.sql("SELECT array(named_struct('v', parse_json('1'))) AS a")
+    with pytest.raises(ValueError, match="inside records of a list"):
+        tl.row_hash_str(bad)
+
+
+def test_sha512_of_region_is_fixed(spark):
+    regions = [(0, "AFRICA"), (1, "AMERICA"), (2, "ASIA")]
+    df = spark.createDataFrame(regions, "r_regionkey int, r_name string")
+    expected = {
+        k: base64.urlsafe_b64encode(hashlib.sha512(f'[["r_name","{n}"],["r_regionkey",{k}]]'.encode()).digest()).decode() for k, n in regions
+    }
+    assert {r["r_regionkey"]: r["hash_str"] for r in tl.with_hash_str(df, sha512=True).collect()} == expected
+
+
+def test_sha512_query_equals_hashlib(spark):
+    import __spark_entry__
+
+    smoke = __spark_entry__.SMOKE_DIR
+    customers = spark.read.parquet(f"{smoke}/customer.parquet").collect()
+    found = {r["c_custkey"]: r["hash_str"] for r in __spark_entry__.row_fingerprint_sha512(spark, smoke).collect()}
+    assert len(found) == len(customers)
+    for r in customers:
+        text = json.dumps([[k, r[k]] for k in sorted(r.asDict())], separators=(",", ":"))
+        assert found[r["c_custkey"]] == base64.urlsafe_b64encode(hashlib.sha512(text.encode()).digest()).decode()
+
+
 def test_sha512_fingerprint(records):
     got = [row[0] for row in records.select(tl.row_hash_str(records, sha512=True)).collect()]
     assert got == SHA512_DIGESTS

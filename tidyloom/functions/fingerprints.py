@@ -2,14 +2,17 @@
 
 The canonical text of a record is compact ASCII JSON: ``[["name",value],...]`` with the names sorted
 at every level and every list sorted.  Its SHA-256 (or SHA-512), in URL-safe base64, is the
-fingerprint.  Everything is a native column expression.
+fingerprint.  Everything is a native column expression but the text of variants, which follows each value
+instead of a type and is written by Arrow tasks.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,7 +83,30 @@ def _kept(dtype: T.StructType, skip: frozenset) -> list[T.StructField]:
     return sorted((field for field in dtype if field.name not in skip), key=lambda f: f.name)
 
 
+def _holds_variant(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _holds_variant(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _holds_variant(dtype.keyType) or _holds_variant(dtype.valueType)
+    if isinstance(dtype, T.StructType):
+        return any(_holds_variant(field.dataType) for field in dtype)
+    return isinstance(dtype, T.VariantType)
+
+
+def _is_variant(dtype: T.DataType) -> bool:
+    """A variant, or lists and maps of variants: their texts are written by value."""
+    if isinstance(dtype, T.ArrayType):
+        return _is_variant(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return isinstance(dtype.keyType, _TEXT) and _is_variant(dtype.valueType)
+    return isinstance(dtype, T.VariantType)
+
+
 def _ordered(col: Column, dtype: T.DataType, skip: frozenset) -> Column:
+    if _is_variant(dtype):
+        return _by_value(F.to_json(col), skip)
+    if isinstance(dtype, (T.ArrayType, T.MapType)) and _holds_variant(dtype):
+        raise ValueError(f"variants inside records of a list have no fingerprint text: {dtype.simpleString()}")
     if isinstance(dtype, T.ArrayType):
         inner = dtype.elementType
         if _is_nested(inner):
@@ -114,7 +140,9 @@ def _ordered(col: Column, dtype: T.DataType, skip: frozenset) -> Column:
 
 
 def _json(col: Column, dtype: T.DataType, skip: frozenset) -> Column:
-    if isinstance(dtype, T.ArrayType):
+    if _is_variant(dtype):
+        text = col
+    elif isinstance(dtype, T.ArrayType):
         text = _list_text(col, lambda item: _json(item, dtype.elementType, skip))
     elif isinstance(dtype, T.StructType):
         fields = [(f.name, col.getField(f.name), f.dataType) for f in _kept(dtype, skip)]
@@ -181,3 +209,60 @@ def _escaped_run(run: Column) -> Column:
         .when((F.length(run) == 1) & (run < "\U00010000"), F.concat(F.lit("\\u"), units))
         .otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
     )
+
+
+# Variants: the same text, by value.
+
+
+def _by_value(text: Column, skip: frozenset) -> Column:
+    """The canonical texts of JSON values."""
+
+    @F.pandas_udf(T.StringType())
+    def write(texts: pd.Series) -> pd.Series:
+        values = (None if text is None else json.loads(text, parse_float=_number, object_pairs_hook=_Record) for text in texts)
+        return pd.Series([None if text is None else _value_text(value, skip) for text, value in zip(texts, values)], dtype=object)
+
+    return write(text)
+
+
+class _Record(list):
+    """The pairs of a JSON object."""
+
+
+class _Number(Decimal):
+    """A number with a fraction or an exponent."""
+
+
+def _number(text: str) -> Decimal:
+    return _Number(text)
+
+
+def _rank(value: object, skip: frozenset) -> tuple:
+    """One order over values of all kinds: truth values, numbers, texts, lists, records, and last nulls."""
+    if value is None:
+        return (9,)
+    if isinstance(value, bool):
+        return 0, value
+    if isinstance(value, (int, Decimal)):
+        return 1, value, isinstance(value, Decimal)
+    if isinstance(value, str):
+        return 2, value.encode("utf-8", "surrogatepass")
+    if isinstance(value, _Record):
+        return 4, [(name.encode("utf-8", "surrogatepass"), _rank(inner, skip)) for name, inner in _pairs(value, skip)]
+    return 3, sorted(_rank(inner, skip) for inner in value)
+
+
+def _pairs(record: _Record, skip: frozenset) -> list[tuple[str, object]]:
+    return sorted(((name, value) for name, value in record if name not in skip), key=lambda pair: pair[0])
+
+
+def _value_text(value: object, skip: frozenset) -> str:
+    if isinstance(value, _Record):
+        return "[" + ",".join(f"[{json.dumps(name)},{_value_text(inner, skip)}]" for name, inner in _pairs(value, skip)) + "]"
+    if isinstance(value, list):
+        return "[" + ",".join(_value_text(inner, skip) for inner in sorted(value, key=lambda inner: _rank(inner, skip))) + "]"
+    if isinstance(value, Decimal):
+        # Shortest form, unless a double cannot hold the digits.
+        near = float(value)
+        return repr(near) if Decimal(repr(near)) == value else str(value)
+    return json.dumps(value)
