@@ -91,6 +91,12 @@ def test_best_bins_visit_every_leaf_once():
     assert len(kmeans_tree.best_bins(tree, x[0], 1, np.ones(tree.leaves), 5)) == 5
 
 
+def test_vector_links_of_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0], 1, "r"), (5, [1.0, 0.0], 1, "r"), (5, [0.0, 1.0], 1, "r"), (9, [0.01, 1.0], 1, "r"), (9, [0.02, 1.0], 2, "r"), (7, [1.0, 0.01], 1, "r")]
+    found = embedding_join.near_vectors(spark.createDataFrame(rows, VECTORS).repartition(3), 0.93).collect()
+    assert sorted(tuple(r) for r in found) == [(5, 1, 5, True), (5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (9, 0, 9, True), (9, 1, 5, False)]
+
+
 def test_lone_vectors_get_as_many_neighbours_as_all(spark):
     rng = np.random.default_rng(4)
     middles = rng.normal(size=(100, 16)) * 10

@@ -99,7 +99,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = 8, grid:
     Rows are linked when their labels are equal and their cosine, in double precision, is at least ``least``.
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null
     label, have no link; so have vectors of different lengths.  Equal vectors are one class, verified once
-    and counted as often as they occur.  ``vec_id`` must be unique; rows with a null ``vec_id`` have no link.
+    and counted as often as they occur.  Rows that share an id are vectors of their own, linked like others; rows with a null
+    ``vec_id`` have no link.  An empty table gives no rows, and other columns are not read.
 
     A cell with more than ``chunk`` rows is cut by hash, and pairs of cuts are verified by different tasks.
     """
@@ -110,9 +111,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = 8, grid:
     ready = ready.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
     keys = ["label", "hash_a", "hash_b"]
     hashed = ready.withColumn("hash_a", F.xxhash64("vector")).withColumn("hash_b", F.xxhash64(F.lit(7), "vector"))
-    ranked = hashed.groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    members = written(hashed.join(ranked, keys).select("vec_id", "rep", "copies", "label", F.when(F.col("vec_id") == F.col("rep"), F.col("vector")).alias("vector")), "vectors")
-    reps = members.filter("vector IS NOT NULL").select("rep", "copies", "label", "vector")
+    # A class is named by one of its rows, as ids may repeat; numbers of rows hold in a written table.
+    hashed = written(hashed.withColumn("row", F.monotonically_increasing_id()), "rows")
+    ranked = hashed.groupBy(*keys).agg(F.min("row").alias("rep"), F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    members = hashed.join(ranked, keys).select("vec_id", "rep", "low", "copies", "label", F.when(F.col("row") == F.col("rep"), F.col("vector")).alias("vector"))
+    members = written(members, "vectors")
+    reps = members.filter("vector IS NOT NULL").select("rep", "low", "copies", "label", "vector")
     sizes = [r[0] for r in reps.select(F.size("vector")).distinct().orderBy(F.size("vector")).limit(17).collect()]
     if len(sizes) > 16:
         raise ValueError("vectors have more than 16 different lengths")
@@ -148,7 +152,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = 8, grid:
         ),
     ).otherwise(F.transform(all_cuts, lambda x: F.struct(x.alias("i"), (-1 - cut).alias("j"), F.lit(2).alias("side"))))
     spread = dealt.join(counts, place).withColumn("way", F.explode(ways)).select("rep", *place, "way.i", "way.j", "way.side")
-    rows = spread.join(reps.select("rep", "copies", F.col("vector").cast("array<double>").alias("vector")), "rep")
+    # Vectors of single precision travel as such.
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = spread.join(reps.select("rep", "copies", F.col("vector").cast("array<float>" if single else "array<double>").alias("vector")), "rep")
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -158,7 +164,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = 8, grid:
         n = table.num_rows
         counts, found = np.zeros(n, np.int64), []
         if len(left) and len(right):
-            original = np.asarray(table.column("vector").combine_chunks().flatten()).reshape(n, -1)
+            original = np.asarray(table.column("vector").combine_chunks().flatten()).astype(np.float64).reshape(n, -1)
             lengths = np.sqrt((original * original).sum(axis=1))
             y = unit_vectors(original, n) @ turns[d]
             copies = np.asarray(table.column("copies"))
@@ -196,8 +202,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = 8, grid:
     links = written(rows.groupBy(*KEYS).applyInArrow(verify, "rep bigint, links bigint, low bigint"), "links")
     groups = components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")), "vector-groups")
     totals = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = totals.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    linked = members.select("vec_id", "rep", "copies").join(found, "rep", "left")
-    out = linked.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    groups = groups.select(F.col("node").alias("rep"), "component")
+    names = groups.join(reps.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("name"))
+    found = totals.join(groups, "rep", "left").join(names, "component", "left").select("rep", "links", "name")
+    linked = members.select("vec_id", "rep", "low", "copies").join(found, "rep", "left")
+    out = linked.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "low").alias("component_id"))
     alone = base.filter(~usable("vector") | F.col("label").isNull() | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
