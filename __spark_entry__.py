@@ -607,7 +607,7 @@ def decimals_to_double(spark, sf_dir):
 
 @query(
     "SELECT o_orderkey, o_totalprice::DECIMAL(18,2)::FLOAT::DOUBLE AS price, "
-    "o_totalprice::DECIMAL(18,2)::FLOAT::DOUBLE AS held FROM orders"
+    "o_totalprice::DECIMAL(18,2)::FLOAT::DOUBLE AS listed, o_totalprice::DECIMAL(18,2)::FLOAT::DOUBLE AS held FROM orders"
 )
 def decimals_to_float(spark, sf_dir):
     floats = tl.to_pandas_safe(with_decimals(spark, sf_dir))
@@ -615,6 +615,7 @@ def decimals_to_float(spark, sf_dir):
     return floats.select(
         "o_orderkey",
         F.col("price").cast("double").alias("price"),
+        F.col("prices")[1].cast("double").alias("listed"),
         F.col("record.value").cast("double").alias("held"),
     )
 

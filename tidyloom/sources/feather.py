@@ -91,9 +91,12 @@ class FeatherSource(FilesSource):
             if not _is_ipc(stream):
                 # The first feather version has no batches: such a file is read in one go, by its first part.
                 if not part or part[0] == 0:
-                    yield from pafeather.read_table(stream).to_batches()
+                    table = pafeather.read_table(stream)
+                    self.refuse_unknown(table.schema.names, path)
+                    yield from table.to_batches()
                 return
             names = pa.ipc.open_file(stream).schema.names
+            self.refuse_unknown(names, path)
             wanted = sorted({place for column in columns if (place := place_of(column, names)) is not None})
             # No wanted column (a count, say) still needs one for the number of rows.
             options = pa.ipc.IpcReadOptions(included_fields=wanted or [0])

@@ -155,17 +155,11 @@ class FilesReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(self.schema)
         fs, _ = open_filesystem(self.source.path)
+        self.source.expected = schema.names if self.source.inferred else None
         for path, part, _ in partition.value:
-            if self.source.inferred:
-                self._refuse_unknown_columns(self.source.file_schema(fs, path).names, path)
             for batch in self.source.batches(fs, path, part, schema.names):
                 yield selected(conform(batch, schema), self.conditions)
 
-    def _refuse_unknown_columns(self, names: list[str], path: str) -> None:
-        unknown = [name for name in names if place_of(name, self.schema.names) is None]
-        if unknown:
-            raise ValueError(f"{path} has columns that the first file lacks: {unknown}; declare a schema, or columns")
-
 
 def _is_plain(dtype: pa.DataType) -> bool:
     """Types that Arrow and Spark compare alike: floating-point numbers (NaN) and times with a zone are not among them."""
@@ -216,6 +210,14 @@ class FilesSource(DataSource):
 
     #: Whether the columns were taken from the first file, not declared.
     inferred = False
+    #: The columns that a file may have; None if any.
+    expected: list[str] | None = None
+
+    def refuse_unknown(self, names: list[str], path: str) -> None:
+        """For the formats, once a file is open."""
+        unknown = [] if self.expected is None else [name for name in names if place_of(name, self.expected) is None]
+        if unknown:
+            raise ValueError(f"{path} has columns that the first file lacks: {unknown}; declare a schema, or columns")
 
     @property
     def path(self) -> str:
