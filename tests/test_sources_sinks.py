@@ -847,7 +847,7 @@ def test_a_large_folder_is_listed_in_several_frames(tmp_path, monkeypatch):
         (tmp_path / "a" / f"{i}.txt").write_text("x")
     folder = [("e", str(tmp_path), str(tmp_path / "a"), None, "a", None, None)]
     columns = ["entry", "root", "folder", "path", "name", "length", "modified"]
-    frames = list(inventory._all_below(iter([pd.DataFrame(folder, columns=columns)])))
+    frames = list(inventory._next_level(iter([pd.DataFrame(folder, columns=columns)])))
     assert [len(f) for f in frames] == [3, 3, 2]
     assert sorted(n for f in frames for n in f["name"]) == [f"a/{i}.txt" for i in range(8)]
 
