@@ -20,6 +20,8 @@ from .files import OPEN_COST_BYTES, open_filesystem
 
 RANGE_BYTES = 64 << 20
 BLOCK_BYTES = 4 << 20
+#: What is read first behind a range, for its last record.
+AHEAD_BYTES = 16 << 10
 
 QUOTE, BACKSLASH, NEWLINE, RETURN, COMMA, APOSTROPHE = b'"\\\n\r,\''
 #: What a bracket does to the depth; 2 marks bytes that matter in other ways.
@@ -87,6 +89,12 @@ def _blocks(stream: Bytes, start: int, stop: int) -> Iterator[tuple[int, bytes]]
         yield at, stream.read_at(min(BLOCK_BYTES, stop - at), at)
 
 
+def _piece(stream: Bytes, at: int, stop: int, size: int) -> bytes:
+    """What is read next: nothing behind the range together with it, then pieces that double, as the last record mostly ends soon."""
+    count = stop - at if at < stop else AHEAD_BYTES + at - stop
+    return stream.read_at(min(BLOCK_BYTES, count, size - at), at)
+
+
 def _is_escaped(stream: Bytes, start: int) -> bool:
     """Whether an odd number of backslashes lies before ``start``."""
     count, at = 0, start
@@ -122,7 +130,7 @@ def json_records(stream: Bytes, path: str, start: int, stop: int, size: int, ins
     kept: list[bytes] | None = None if array or not kind else []  # parts of the open record
     at = start
     while at < size and (at < stop or kept is not None):
-        block = stream.read_at(min(BLOCK_BYTES, size - at), at)
+        block = _piece(stream, at, stop, size)
         if over:
             _refuse_rest(path, block[: max(0, stop - at)])
             at += len(block)
@@ -179,7 +187,7 @@ def csv_records(stream: Bytes, path: str, start: int, stop: int, size: int, insi
     kept: list[bytes] | None = [] if before == NEWLINE and not inside else None  # parts of the open record
     at = start
     while at < size and (at < stop or kept is not None):
-        block = stream.read_at(min(BLOCK_BYTES, size - at), at)
+        block = _piece(stream, at, stop, size)
         data = np.frombuffer(block, np.uint8)
         quotes = np.flatnonzero(data == QUOTE)
         opens = quotes[int(inside) :: 2]
@@ -229,7 +237,9 @@ def records(spark: SparkSession, path: str, options: dict, summary: Callable, cu
     names, total = list(listed.inputFiles()), listed.sizeInBytes()
     if any(name.lower().endswith(_COMPRESSED) for name in names):
         return None
-    tasks = max(1, -(-(total + len(names) * OPEN_COST_BYTES) // max(range_bytes, OPEN_COST_BYTES)), -(-total // range_bytes))
+    # Ranges smaller than what opening a file costs share a task, once every core has a few.
+    several = min(-(-total // range_bytes), 4 * spark.sparkContext.defaultParallelism)
+    tasks = max(1, -(-(total + len(names) * OPEN_COST_BYTES) // max(range_bytes, OPEN_COST_BYTES)), several)
     each = F.greatest(F.ceil(F.col("length") / range_bytes), F.lit(1))
     ranges = files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), each - 1)).alias("part"))
 
