@@ -30,6 +30,8 @@ _FULL_TIMESTAMPS = {
 }
 # Its csv strips blanks, and marks quotes by a backslash that texts may hold themselves.
 _WHOLE_TEXTS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+# Without its native library, Hadoop's file system with checksums starts a chmod process for each local file and one for its checksum.
+_NO_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": True}
 TEXT_DEFAULTS = {
     "csv": {**_FULL_TIMESTAMPS, **_WHOLE_TEXTS},
     "json": {**_FULL_TIMESTAMPS, "ignoreNullFields": False},
@@ -45,7 +47,8 @@ def save_data(
     Besides the options of the format's writer: ``suffix`` (call only), ``mode`` (``overwrite`` unless
     given), ``partitionBy``, and ``rebalance`` (shuffle by the partition columns first, so that each
     folder gets few, evenly sized files instead of one per task).  With
-    ``partitionOverwriteMode="dynamic"`` an overwrite keeps the partitions it does not write.
+    ``partitionOverwriteMode="dynamic"`` an overwrite keeps the partitions it does not write.  With ``checksums`` false, files on a
+    local or mounted disk are written without Hadoop's checksum files beside them, which is much faster where files are many and small.
 
     ``checks`` are conditions by name that good rows fulfil.  They are counted in the write's own pass, and the result is the number
     of ``rows`` and of those that break each; ``broken_rows`` gives these rows.  With ``stopAtBroken`` the first one stops the write.
@@ -62,6 +65,7 @@ def save_data(
     stops = str(options.pop("stopAtBroken", False)).lower() == "true"
     if rules:
         df, seen = observe_checks(stop_at_broken(df, rules) if stops else df, rules)
+    checksums = str(options.pop("checksums", True)).lower() != "false"
     mode = options.pop("mode", "overwrite")
     partition_by = _as_list(options.pop("partitionBy", []))
     if options.pop("rebalance", False):
@@ -85,6 +89,7 @@ def save_data(
     # Feather and dynamic overwrites replace files after reading; all others delete them before.
     if mode == "overwrite" and fmt != "feather" and not dynamic:
         _refuse_own_input(df, path)
+    options = options if checksums else {**options, **_NO_CHECKSUMS}
     _writer(df.write, mode, partition_by, options).format(fmt).save(path)
     return seen.get if seen else None
 
